@@ -1,13 +1,16 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, mixing, packing, url_filter, warc
+from . import exact_dedup, fingerprint, language_id, mixing, packing, toxicity, url_filter, warc
 
 
 def queries():
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_mixing": mixing.op2_mixing,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_warc": warc.op5_warc,
+        "op7_fingerprint": fingerprint.op7_fingerprint,
+        "op8_language_id": language_id.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_packing": packing.op10_packing,
     }

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, fingerprint, language_id, mixing, packing, toxicity, url_filter, warc
+from . import exact_dedup, fingerprint, language_id, mixing, near_join, packing, toxicity, url_filter, warc
 
 
 def queries():
@@ -9,6 +9,7 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_warc": warc.op5_warc,
+        "op6_near_join": near_join.op6_near_join,
         "op7_fingerprint": fingerprint.op7_fingerprint,
         "op8_language_id": language_id.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,

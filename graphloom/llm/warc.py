@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import gzip
 import io
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_root, table
+from .common import scratch_path, table
 
 #: Equal payloads of at least so many bytes are stored by one response and revisits.
 REVISIT_BYTES = 1000
@@ -103,7 +102,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_root(spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}/archive"
+    path = scratch_path(spark, "archive")
     write_archive(table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

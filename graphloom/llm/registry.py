@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, fingerprint, language_id, mixing, near_join, packing, toxicity, url_filter, warc
+from . import exact_dedup, fingerprint, language_id, mixing, near_join, packing, substring, toxicity, url_filter, warc
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_mixing": mixing.op2_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_substring": substring.op4_substring,
         "op5_warc": warc.op5_warc,
         "op6_near_join": near_join.op6_near_join,
         "op7_fingerprint": fingerprint.op7_fingerprint,

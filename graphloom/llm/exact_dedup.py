@@ -31,7 +31,7 @@ def _merge(batches):
     """Merge sorted runs: of equal texts the first row stays, with the sum of all counts. One row is held between batches."""
     held = None
     for b in batches:
-        t = pa.Table.from_batches([b])
+        t = pa.Table.from_arrays(b.columns, b.schema.names)  # as nullable columns
         if held is not None:
             t = pa.concat_tables([held, t])
         if not t.num_rows:

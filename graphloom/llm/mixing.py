@@ -25,7 +25,7 @@ def quality(text: Column, n: Column) -> Column:
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, rows, target: weights go to sources by code point (null last), over and over; a target stops at
     most x its source's size, and the excess is shared again by weight. Closed form: with sources by cap / weight, the level
-    is that of the first source which it does not fill. The windows here see one row for each source."""
+    is that of the first source which it does not fill (later ones, wrongly taking earlier ones as full, have lower levels). The windows here see one row for each source."""
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     every = Window.orderBy(F.asc_nulls_last("source"))
     w = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1)
@@ -34,7 +34,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))
     s = s.withColumn("t", (F.col("total") - before) / rest)
-    level = F.min(F.when(F.col("t") * F.col("w") <= F.col("cap"), F.col("t"))).over(Window.partitionBy())
+    level = F.max(F.when(F.col("t") * F.col("w") <= F.col("cap"), F.col("t"))).over(Window.partitionBy())
     return s.select("source", "source_size", "rows", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 
@@ -84,7 +84,7 @@ b AS (SELECT *, -ln(u) / CASE WHEN size > 0 THEN 1e0 + greatest(0e0, 1e0 - abs(l
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
 s2 AS (SELECT *, [5e0, 2e0, 1e0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2e0 * source_size AS cap, 1.5e0 * sum(source_size) OVER ()::DOUBLE AS total FROM s),
 s3 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t FROM s2),
-s4 AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN t * w <= cap THEN t END) OVER () * w, cap)) AS target FROM s3),
+s4 AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN t * w <= cap THEN t END) OVER () * w, cap)) AS target FROM s3),
 c AS (SELECT b.*, s4.source_size, s4.target, coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY e, b.doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead,
     CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 1 END AS epochs FROM b JOIN s4 ON b.source IS NOT DISTINCT FROM s4.source),
 d AS (SELECT *, epochs + (size > 0 AND ahead + size / 2e0 <= target - epochs * source_size)::INT AS copies FROM c)

@@ -16,6 +16,8 @@ LENGTH, END = 2048, 1
 ODD = re.compile(r"<\||[\x1c-\x1f]")
 #: Words that a task's memory of encoded words holds at most.
 CACHE = 500_000
+#: Punctuation that may follow a word of letters; a mark never joins the letters before it in one token.
+CLOSING = ".,;:!?)]}\"*&%$#"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,35 +27,61 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that treats words between white space on their own, remembering words."""
+    """Encodes texts with a tokenizer that treats words between white space on their own, remembering words. A word of letters
+    and closing punctuation is its letters and its punctuation, each remembered once; ASCII letters in lower case."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok, self.seen = Tokenizer.from_file(path), {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.seen) + len(words) > CACHE:
-            self.seen.clear()
+    def learn(self, words: list[str], letters: bool) -> None:
+        """Encode words, joined by spaces, and cut the ids at the words' ends: after each end token where words are letters alone, by offsets otherwise."""
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
             enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            starts = np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc.offsets))
             ids = np.array(enc.ids, np.uint32)
-            cuts = np.searchsorted(np.searchsorted(ends, starts, "right"), np.arange(len(part) + 1))
-            for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.seen[w] = ids[a:b].tobytes()
+            cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1] if letters else ()
+            if len(cuts) != len(part) + 1:
+                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+                starts = np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc.offsets))
+                cuts = np.searchsorted(np.searchsorted(ends, starts, "right"), np.arange(len(part) + 1))
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            self.seen.update(zip(part, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+
+    def meet(self, new: set[str]) -> None:
+        plain, whole, made = set(), [], []
+        for w in new:
+            core = w.rstrip(CLOSING)
+            if not core.lower().isalpha() or not core.isalpha():
+                whole.append(w)
+                continue
+            end = w[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            if core not in self.seen:
+                plain.add(core)
+            if end and end not in self.seen:
+                whole.append(end)
+            made.append((w, core, end))
+        self.learn(list(plain), True)
+        self.learn(list(dict.fromkeys(whole)), False)
+        get = self.seen.__getitem__
+        for w, core, end in made:
+            self.seen[w] = get(core) + get(end) if end else get(core)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if ODD.search(t) else t.split() for t in texts]
-        need = set().union(*(s for s in split if s)) - self.seen.keys()
-        if need:
-            if len(self.seen) + len(need) > CACHE:
-                self.seen.clear()
-                need = set().union(*(s for s in split if s))
-            self.learn(sorted(need))
+        words = set().union(*(s for s in split if s))
+        new = words - self.seen.keys()
+        if new and len(self.seen) + len(new) > CACHE:
+            self.seen.clear()
+            new = words
+        self.meet(new)
         get = self.seen.__getitem__
         return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 

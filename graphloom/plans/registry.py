@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-MODULES = ["graphs", "texts"]
+MODULES = ["graphs", "texts", "aggregates"]
 
 
 def query(name: str, sql: str | None = None):

@@ -43,7 +43,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 10_
     if rows.num_rows > max_queries:
         raise ValueError(f"over {max_queries} queries; ask in blocks")
     ids = rows.column("query_id").to_numpy()
-    q = np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+    q = np.array(rows.column("vector").to_pylist(), np.float64) if len(ids) else np.zeros((0, 1))
     q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
     sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
 

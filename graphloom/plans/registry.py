@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-MODULES = ["graphs", "texts", "aggregates"]
+MODULES = ["scans", "texts", "graphs", "aggregates", "retrievals", "streams"]
 
 
 def query(name: str, sql: str | None = None):

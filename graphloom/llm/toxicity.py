@@ -136,7 +136,7 @@ def prior() -> np.ndarray:
     for h in range(3):
         for tags in range(4):
             for aimed in range(2):
-                w[h * 8 + tags * 2 + aimed] = (2.0 if not tags else 0.3) + aimed * (1.0 + (h == 1))
+                w[h * 8 + tags * 2 + aimed] = (4.0 if not tags else 0.5) + aimed * (2.0 + (h == 1))
     w[PATTERNS - 1], w[-1] = 0.5, -3.0
     return w
 

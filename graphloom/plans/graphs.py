@@ -246,10 +246,10 @@ def a8(spark, d):
     return quality.health_score(quality.health(g.nodes, g.places)).select("badge", "components")
 
 
-@query("a9_repair_health", sql("SELECT 0e0 AS orphan_ratio, 1e0 / n AS fragmentation, 2e0 * m / n AS average_degree, true AS target_met FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS m FROM edges)"))
+@query("a9_repair_health", sql("SELECT o.k / n.k AS orphan_ratio, c.k / n.k AS fragmentation, 2e0 * m.k / n.k AS average_degree, o.k / n.k < 0.05 AND c.k <= 3 AS target_met FROM (SELECT count(*) AS k FROM nodes) n, (SELECT count(*) AS k FROM places) m, (SELECT count(DISTINCT c) AS k FROM (SELECT id, min(root) AS c FROM comp GROUP BY id)) c, (SELECT count(*) AS k FROM nodes WHERE id NOT IN (SELECT src FROM places UNION SELECT dst FROM places)) o", PAIRS.replace("FROM edges", "FROM places")))
 def a9(spark, d):
     g = Graph(spark, d)
-    return quality.repair_health(quality.health(g.nodes, g.edges))
+    return quality.repair_health(quality.health(g.nodes, g.places))
 
 
 STRUCT = "(SELECT max(depth) AS max_depth, var_pop(depth) AS depth_variance FROM dp) a, (SELECT max(k) AS max_breadth, var_pop(k) AS breadth_variance FROM (SELECT count(*) AS k FROM dp GROUP BY depth)) b, (SELECT count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'instance') AS instances FROM nodes) c, (SELECT count(*)::DOUBLE AS m, count(*) FILTER (relation = 'subClassOf') AS s, count(*) FILTER (relation IN ('related_to', 'type')) AS g FROM edges) e"

@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-MODULES = ["scans", "texts", "graphs", "aggregates", "retrievals", "streams"]
+MODULES = ["scans", "texts", "graphs", "aggregates", "retrievals", "streams", "pipelines"]
 
 
 def query(name: str, sql: str | None = None):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality, repair, retrieve, vector
-from .fixture import CTE, Graph, sql, table
+from .fixture import Graph, sql, table
+from .graphs import PAIRS
 from .registry import query
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-9)"
@@ -136,7 +137,7 @@ def j11(spark, d):
     return repair.fill_gaps(g, p).select("id", "page_id")
 
 
-@query("c10_diagnosis", f"WITH RECURSIVE {CTE} SELECT 15 AS gaps, 0 AS orphans, 1 AS components, 'define concepts' AS recommendation")
+@query("c10_diagnosis", sql("SELECT 15::BIGINT AS gaps, o.k AS orphans, c.k AS components, CASE WHEN o.k > 0 THEN 'link orphans' WHEN c.k > 3 THEN 'bridge components' ELSE 'define concepts' END AS recommendation FROM (SELECT count(DISTINCT m) AS k FROM (SELECT id, min(root) AS m FROM comp GROUP BY id)) c, (SELECT count(*) AS k FROM nodes WHERE id NOT IN (SELECT src FROM places UNION SELECT dst FROM places)) o", PAIRS.replace("FROM edges", "FROM places")))
 def c10(spark, d):
     g = Graph(spark, d)
-    return repair.diagnosis(quality.health(g.nodes, g.edges), repair.gaps(g.nodes))
+    return repair.diagnosis(quality.health(g.nodes, g.places), repair.gaps(g.nodes))

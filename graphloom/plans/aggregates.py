@@ -141,7 +141,7 @@ def p11(spark, d):
     return extract.inferred(line.select(F.col("l_suppkey").cast("string").alias("src"), F.lit("related_to").alias("relation"), F.col("l_partkey").cast("string").alias("dst"), (F.col("l_discount") * 10).alias("confidence"))).select(F.col("src").cast("long"), F.col("dst").cast("long"))
 
 
-@query("p13_gate", "SELECT grade, {'A': 0.8, 'B': 0.6, 'C': 0.4, 'D': 0.2, 'F': 0.0}[grade]::DOUBLE AS threshold FROM (SELECT unnest(['A', 'B', 'C', 'D', 'F']) AS grade)".replace("{'A': 0.8, 'B': 0.6, 'C': 0.4, 'D': 0.2, 'F': 0.0}[grade]", "CASE grade WHEN 'A' THEN 0.8 WHEN 'B' THEN 0.6 WHEN 'C' THEN 0.4 WHEN 'D' THEN 0.2 ELSE 0 END"))
+@query("p13_gate", "SELECT grade, (CASE grade WHEN 'A' THEN 0.8 WHEN 'B' THEN 0.6 WHEN 'C' THEN 0.4 WHEN 'D' THEN 0.2 ELSE 0 END)::DOUBLE AS threshold FROM (SELECT unnest(['A', 'B', 'C', 'D', 'F']) AS grade)")
 def p13(spark, d):
     g = spark.createDataFrame([(x,) for x in "ABCDF"], "grade string")
     return g.select("grade", extract.gate(F.lit(None).cast("double"), F.col("grade")).alias("threshold"))

@@ -90,7 +90,7 @@ def j4(spark, d):
 UNION ALL SELECT entity || ' ' || attribute || ': ' || value, 2 FROM data_props WHERE entity IN (SELECT id FROM hit)) GROUP BY "full" ORDER BY 2, 1 LIMIT 30""", f"hit AS (SELECT id, type FROM nodes, (SELECT 'supplier#000000002 africa' AS q) WHERE {MATCH})"))
 def j12(spark, d):
     g = Graph(spark, d)
-    return retrieve.graph_facts("What is the supplier#000000002 of africa".replace("What is", "is"), g.nodes, g.edges, g.data_props)
+    return retrieve.graph_facts("is the supplier#000000002 of africa", g.nodes, g.edges, g.data_props)
 
 
 @query("r4_context", sql("SELECT id, coalesce(description, '') AS definition, coalesce((SELECT string_agg(dst, ', ' ORDER BY dst) FROM edges WHERE relation = 'subClassOf' AND src = id), '') AS superclasses, coalesce((SELECT string_agg(src, ', ' ORDER BY src) FROM edges WHERE relation = 'subClassOf' AND dst = id), '') AS subclasses FROM (SELECT * FROM nodes WHERE contains(lower(id), 'asia') OR contains('asia', lower(id)) ORDER BY seq LIMIT 5)"))

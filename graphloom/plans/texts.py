@@ -199,7 +199,7 @@ def f26(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.clean_answer(F.concat("text", F.lit(" [node:A][dp:B:c]"))).alias("answer"))
 
 
-@query("f27_concepts", f"SELECT conv_id, turn, list_slice(list_aggregate([1], 'count')::INT::VARCHAR[] || [], 1, 0) || (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT regexp_extract_all(lower(c.text), '([a-z0-9]+)', 1) AS t)) WHERE length(w) > 1 AND w NOT IN ({LIST(fixed.STOPWORDS)}) GROUP BY w ORDER BY i LIMIT 10)) AS concepts FROM conversations c".replace("list_slice(list_aggregate([1], 'count')::INT::VARCHAR[] || [], 1, 0) || ", "coalesce(").replace("LIMIT 10))", "LIMIT 10)), [])"))
+@query("f27_concepts", f"SELECT conv_id, turn, coalesce((SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT regexp_extract_all(lower(c.text), '([a-z0-9]+)', 1) AS t)) WHERE length(w) > 1 AND w NOT IN ({LIST(fixed.STOPWORDS)}) GROUP BY w ORDER BY i LIMIT 10)), []) AS concepts FROM conversations c")
 def f27(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.concepts_in("text").alias("concepts"))
 

@@ -19,7 +19,7 @@ def transitive_closure(edges: DataFrame, include_self: bool = False, max_rounds:
         new = stored(left.unionByName(right).distinct().join(every, ["relation", "src", "dst"], "left_anti"), "delta")
         if new.isEmpty():
             break
-        every, delta = stored(every.unionByName(new), "closure"), new
+        every, delta = every.unionByName(new), new
     return every if include_self else every.where("src != dst")
 
 

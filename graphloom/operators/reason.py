@@ -97,21 +97,42 @@ def relation_sets(edges: DataFrame, axioms: DataFrame, subject: str = "", detect
 def infer(edges: DataFrame, axioms: DataFrame, subject: str = "", detect: bool = False, max_rounds: int = fixed.MAX_ITERATIONS) -> DataFrame:
     """(iteration, rule, src, relation, dst): every edge that the rules add, with the rule and round that added it first.
 
-    Rules run in rounds until none adds an edge. An empty graph ends after one round without edges.
+    A round closes transitive relations, then applies the other rules at once to what is known by then. A rule runs again only
+    if the last round added edges of relations that it reads (for closures and symmetry, by other rules: they are complete after one run);
+    which relations these are is a few names. Rounds end when none adds an edge; an empty graph ends after one.
     """
     transitive, sym = relation_sets(edges, axioms, subject, detect)
+    closed = ["subClassOf", *transitive]
+    kinds = {k: [] for k in ("inverse", "domain", "range")}
+    for r in axioms.where(F.col("axiom_type").isin(*kinds)).collect():
+        kinds[r.axiom_type] += list(r.entities[:2] if r.axiom_type == "inverse" else r.entities[:1])
     every = stored(edges.select(*KEYS).distinct(), "known")
-    trace = None
+    trace, added = None, None  # added: (rule, relation) of the last round; none before the first
+
+    def due(relations, *own):
+        return added is None or any(rel in relations and rule not in own for rule, rel in added)
+
     for i in range(1, max_rounds + 1):
-        rules = [("transitive_subsumption", subsumption(every)), ("inheritance", inheritance(every)), ("domain_range", domain_range(every, axioms)), ("transitive_closure", closure(every, transitive)), ("symmetric_closure", symmetric(every, sym)), ("inverse_propagation", inverse(every, axioms))]
+        parts = []
+        if due(closed, "transitive_closure", "transitive_subsumption"):
+            rule = F.when(F.col("relation") == "subClassOf", "transitive_subsumption").otherwise("transitive_closure")
+            parts.append(stored(_new(transitive_closure(every.where(F.col("relation").isin(closed))), every).withColumn("rule", rule), "closed"))
+            every = every.unionByName(parts[0].select(*KEYS))
+        rules = [("inheritance", inheritance, due(["type", "subClassOf"])), ("domain_range", lambda e: domain_range(e, axioms), due([*kinds["domain"], *kinds["range"]])), ("symmetric_closure", lambda e: symmetric(e, sym), due(sym, "symmetric_closure")), ("inverse_propagation", lambda e: inverse(e, axioms), due(kinds["inverse"]))]
         found = None
-        for k, (rule, rows) in enumerate(rules):
-            rows = rows.select(*KEYS).withColumn("rule", F.lit(rule)).withColumn("k", F.lit(k))
-            found = rows if found is None else found.unionByName(rows)
-        new = found.groupBy(*KEYS).agg(F.min(F.struct("k", "rule")).alias("r")).select(F.lit(i).alias("iteration"), F.col("r.rule").alias("rule"), *KEYS)
-        new = stored(new, "inferred")
-        trace = new if trace is None else trace.unionByName(new)
-        if new.isEmpty():
+        for k, (rule, f, wanted) in enumerate(rules):
+            if wanted:
+                rows = f(every).select(*KEYS).withColumn("k", F.lit(k)).withColumn("rule", F.lit(rule))
+                found = rows if found is None else found.unionByName(rows)
+        if found is not None:
+            parts.append(stored(found.groupBy(*KEYS).agg(F.min(F.struct("k", "rule")).alias("r")).select(*KEYS, F.col("r.rule").alias("rule")), "inferred"))
+            every = every.unionByName(parts[-1].select(*KEYS))
+        if not parts:
+            break
+        new = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        rows = new.select(F.lit(i).alias("iteration"), "rule", *KEYS)
+        trace = rows if trace is None else trace.unionByName(rows)
+        added = {(r.rule, r.relation) for r in new.select("rule", "relation").distinct().collect()}
+        if not added:
             break
-        every = every.unionByName(new.select(*KEYS))
     return trace

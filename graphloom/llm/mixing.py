@@ -9,7 +9,7 @@ from .common import WORD, stored, table
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, "mix"
 #: Rows that a slice of a source's key range holds on average: what one window task sorts.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def size(text: Column) -> Column:

@@ -200,9 +200,10 @@ def answer_f1(predicted: Text, reference: Text) -> Column:
 
 
 def entities_in(text: Text) -> Column:
-    """CamelCase words, acronyms of three capitals or more, quoted strings; distinct, in that order."""
-    t = col(text)
-    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), 1), F.regexp_extract_all(t, F.lit(r"\b([A-Z]{3,})\b"), 1), F.regexp_extract_all(t, F.lit(r'"([^"]+)"'), 1)))
+    """CamelCase words, acronyms of three capitals or more, quoted strings; distinct, in that order. A word ends where Python's \\b
+    says so: letters, numbers and _ of any script go on with it."""
+    t, whole = col(text), r"(?<![\p{L}\p{N}_])(%s)(?![\p{L}\p{N}_])"
+    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(whole % "[A-Z][a-z]+(?:[A-Z][a-z]+)+"), 1), F.regexp_extract_all(t, F.lit(whole % "[A-Z]{3,}"), 1), F.regexp_extract_all(t, F.lit(r'"([^"]+)"'), 1)))
 
 
 def claims(text: Text) -> Column:

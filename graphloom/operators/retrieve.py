@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..scratch import stored
+
+#: Scores that a task holds at a time.
+TILE = 4_000_000
 
 
 def records(nodes: DataFrame, edges: DataFrame, data_props: DataFrame) -> DataFrame:
@@ -30,22 +37,43 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
 
 
+def blocks(rows: DataFrame, most: int):
+    """(ids, unit vectors) of at most so many rows (id, vector) at a time; the driver holds one block and one partition."""
+    import numpy as np
+
+    left = rows.toLocalIterator()
+    while got := list(islice(left, most)):
+        q = np.array([r[1] for r in got], np.float64)
+        yield np.array([r[0] for r in got], np.int64), q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """(query_id, vec_id, score, rank): each query's k nearest vectors by cosine, ties by id.
 
-    queries and vectors: id columns query_id, vec_id, and vector (array of floats). The queries, bounded by max_queries, go to
-    every task as one matrix; each batch of vectors is one matrix product, of which only k rows a query go on, so what is shuffled is k
-    rows for each query and task. More queries than that are a job of their own: an error says so.
+    queries and vectors: id columns query_id, vec_id, and vector (array of floats). The queries go to every task as one matrix of
+    at most max_queries rows; each batch of vectors is one matrix product, of which only k rows a query go on, so what is shuffled is k
+    rows for each query and task. More queries than that are asked in blocks, each against all vectors, and the rows of a block are written.
     """
     import numpy as np
 
-    rows = queries.select("query_id", "vector").limit(max_queries + 1).toArrow()
+    queries, vectors = queries.select("query_id", "vector"), vectors.select("vec_id", "vector")
+    rows = queries.limit(max_queries + 1).toArrow()
     if rows.num_rows > max_queries:
-        raise ValueError(f"over {max_queries} queries; ask in blocks")
+        queries, vectors, out = stored(queries, "queries"), stored(vectors, "vectors"), []
+        for ids, q in blocks(queries, max_queries):
+            sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+            out.append(stored(_nearest(vectors, sent, k), "near"))
+            sent.destroy()
+        return reduce(DataFrame.unionByName, out)
     ids = rows.column("query_id").to_numpy()
     q = np.array(rows.column("vector").to_pylist(), np.float64) if len(ids) else np.zeros((0, 1))
     q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    return _nearest(vectors, vectors.sparkSession.sparkContext.broadcast((ids, q)), k)
+
+
+def _nearest(vectors: DataFrame, sent, k: int) -> DataFrame:
+    """The k nearest vectors of each query of one broadcast block; scores are held for TILE pairs at a time."""
+    import numpy as np
 
     def run(batches):
         import pyarrow as pa
@@ -56,13 +84,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 10_
                 continue
             v = b.column(0).to_numpy(zero_copy_only=False)
             x = np.array(b.column(1).to_pylist(), np.float64)
-            s = q @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)).T
-            n = min(k, s.shape[1])
-            order = np.lexsort((np.broadcast_to(v, s.shape), -s))[:, :n] if s.ndim == 2 else None
-            row = np.repeat(np.arange(len(ids)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(v[order.ravel()]), pa.array(s[row, order.ravel()])], ["query_id", "vec_id", "score"])
-
-    near = vectors.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
+            x = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)).T
+            n, step = min(k, len(v)), max(1, TILE // len(v))
+            for at in range(0, len(ids), step):
+                s = np.nan_to_num(q[at : at + step] @ x, nan=-np.inf)
+                least = np.partition(s, len(v) - n, axis=1)[:, len(v) - n]
+                i, j = np.nonzero(s >= least[:, None])
+                order = np.lexsort((v[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < n
+                i, j = i[top], j[top]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(v[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
+
+    near = vectors.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..scratch import stored
 from .components import connected_components
 from .quality import node_components
-from .retrieve import cosine, top_k
+from .retrieve import TILE, blocks, cosine, top_k
 
 DIMENSIONS = 64
 
@@ -66,35 +68,35 @@ def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP) ->
     return n.select("name", "norm").join(groups.select("norm", "component"), "norm").join(first, "component").select("name", "canonical")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, max_left: int = 10_000) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, max_left: int = 10_000, most: int = 64) -> DataFrame:
     """(a, b, score) with cosine of threshold or more. The left side is asked in blocks of max_left vectors, each sent to all tasks
-    as one matrix: a stated query set against all rows."""
+    as one matrix: a stated query set against all rows. After most blocks, what they found is written."""
     import pyarrow as pa
 
-    ids = vectors.select("vec_id").orderBy("vec_id")
-    n, found = ids.count(), None
-    if n > 64 * max_left:
-        raise ValueError("over 64 blocks; index with top_k per query instead")
-    cuts = [r[0] for r in ids.withColumn("r", F.monotonically_increasing_id()).agg(F.min("vec_id")).collect()] if n <= max_left else [vectors.approxQuantile("vec_id", [i / (n // max_left + 1)], 0.0)[0] for i in range(n // max_left + 1)]
-    for lo, hi in zip(cuts, [*cuts[1:], None], strict=True):
-        block = vectors.where((F.col("vec_id") >= lo) & (F.lit(True) if hi is None else F.col("vec_id") < hi)).toArrow()
-        q = np.array(block.column("vector").to_pylist(), np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-12
-        sent = vectors.sparkSession.sparkContext.broadcast((block.column("vec_id").to_numpy(), q))
+    vectors, found, kept, sents = stored(vectors.select("vec_id", "vector"), "vectors"), [], [], []
+    for names, q in blocks(vectors, max_left):
+        sent = vectors.sparkSession.sparkContext.broadcast((names, q))
 
         def run(batches, sent=sent):
             names, q = sent.value
+            step = max(1, TILE // len(names))
             for b in batches:
-                v, x = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.float64)
-                if not len(v):
-                    continue
-                s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)) @ q.T
-                i, j = np.nonzero((s >= threshold) & (names[None, :] < v[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(v[i]), pa.array(s[i, j])], ["a", "b", "score"])
-
-        part = vectors.select("vec_id", "vector").mapInArrow(run, "a long, b long, score double")
-        found = part if found is None else found.unionByName(part)
-    return found
+                for at in range(0, b.num_rows, step):
+                    t = b.slice(at, step)
+                    v, x = t.column(0).to_numpy(), np.array(t.column(1).to_pylist(), np.float64)
+                    s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)) @ q.T
+                    i, j = np.nonzero((s >= threshold) & (names[None, :] < v[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(v[i]), pa.array(s[i, j])], ["a", "b", "score"])
+
+        found.append(vectors.mapInArrow(run, "a long, b long, score double"))
+        sents.append(sent)
+        if len(found) == most:
+            kept.append(stored(reduce(DataFrame.unionByName, found), "pairs"))
+            for x in sents:
+                x.destroy()
+            found, sents = [], []
+    none = vectors.sparkSession.createDataFrame([], "a long, b long, score double")
+    return reduce(DataFrame.unionByName, [*kept, *found] or [none])
 
 
 def clusters(vectors: DataFrame, threshold: float = fixed.ORPHAN_COSINE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+from graphloom.operators import retrieve, vector
 from graphloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -13,3 +14,17 @@ def test_entities_of_all_documents(spark, tmp_path):
     of = lambda t: set(re.findall(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", t) + re.findall(r"\b([A-Z]{3,})\b", t) + re.findall(r'"([^"]+)"', t))
     got = {r.doc_id: r.n for r in registry.queries()["f19_entities_full"](spark, str(tmp_path)).collect()}
     assert got == {i: len(of(t)) for i, t in enumerate(texts)}
+
+
+def test_more_queries_and_blocks_than_one_job_holds(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).integers(-2, 3, size=(90, 6)).astype(np.float32)
+    v = spark.createDataFrame([(i * 7, [float(f) for f in r]) for i, r in enumerate(x)], "vec_id long, vector array<float>")
+    q = v.withColumnRenamed("vec_id", "query_id")
+    rows = lambda df: sorted((r.query_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    assert rows(retrieve.top_k(q, v, 3, max_queries=8)) == rows(retrieve.top_k(q, v, 3)) and len(rows(retrieve.top_k(q, v, 3, max_queries=8))) == 270
+    pairs = lambda *a: sorted((r.a, r.b) for r in vector.similar_pairs(v, 0.5, *a).collect())
+    u = x.astype(float) / (np.linalg.norm(x.astype(float), axis=1, keepdims=True) + 1e-12)
+    near = {(i * 7, j * 7) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.5 + 1e-9}
+    assert near <= set(pairs()) and pairs(1) == pairs() == pairs(4, 3)

@@ -101,6 +101,12 @@ def j10(spark, d):
     return graph.two_hops(Graph(spark, d).edges.where("relation != 'supplies'"), Graph(spark, d).edges).select("u", "v", "w").distinct()
 
 
+@query("j10_two_hops_full", sql("SELECT DISTINCT a.src AS u, a.dst AS v, b.dst AS w FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst"))
+def j10b(spark, d):
+    g = Graph(spark, d)
+    return graph.two_hops(g.edges, g.edges).select("u", "v", "w").distinct()
+
+
 @query("g1_subsumption", sql("SELECT src, 'subClassOf' AS relation, dst FROM sub EXCEPT SELECT src, relation, dst FROM edges", CLOSE))
 def g1(spark, d):
     return reason.subsumption(Graph(spark, d).edges)

@@ -1,9 +1,13 @@
 """Queries that do the whole job, on small tables where a part of it gives other rows."""
 
 import re
+from types import SimpleNamespace
+
+import test_queries
 
 from graphloom.operators import retrieve, vector
-from graphloom.plans import registry
+from graphloom.plans import registry, scans
+from graphloom.sources import export
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,3 +32,24 @@ def test_more_queries_and_blocks_than_one_job_holds(spark):
     u = x.astype(float) / (np.linalg.norm(x.astype(float), axis=1, keepdims=True) + 1e-12)
     near = {(i * 7, j * 7) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.5 + 1e-9}
     assert near <= set(pairs()) and pairs(1) == pairs() == pairs(4, 3)
+
+
+def test_two_hops_over_all_edges(spark):
+    test_queries.test_query_matches_sql(spark, "j10_two_hops_full")
+    rows = registry.queries()["j10_two_hops_full"](spark, DATA).where("v like 'Part#%'")
+    assert rows.where("u like 'Supplier#%'").count() > 0 and rows.select("w").distinct().count() > 1
+
+
+def test_ntriples_of_all_kinds(spark, monkeypatch):
+    n = spark.createDataFrame([(0, "Animal", "Class", "class", 'a "living"\nthing'), (1, "Dog", "Class", "class", None), (2, "Rex", "Dog", "instance", None)], "seq long, id string, type string, kind string, description string")
+    e = spark.createDataFrame([("Dog", "subClassOf", "Animal"), ("Rex", "type", "Dog"), ("Rex", "likes", "Dog")], "src string, relation string, dst string")
+    p = spark.createDataFrame([("Rex", "age", "5", "integer")], "entity string, attribute string, value string, datatype string")
+    a = spark.createDataFrame([("disjointness", ["Cat", "Dog"])], "axiom_type string, entities array<string>")
+    monkeypatch.setattr(scans, "Graph", lambda spark, d: SimpleNamespace(nodes=n, edges=e, data_props=p, axioms=a))
+    b, rdf, rdfs, owl = export.BASE, export.RDF, export.RDFS, export.OWL
+    uris = [(b + "Animal", rdf + "type", owl + "Class"), (b + "Dog", rdf + "type", owl + "Class"), (b + "Rex", rdf + "type", owl + "NamedIndividual"), (b + "Rex", rdf + "type", b + "Dog"), (b + "Dog", rdfs + "subClassOf", b + "Animal")]
+    uris += [(b + "likes", rdf + "type", owl + "ObjectProperty"), (b + "Rex", b + "likes", b + "Dog"), (b + "age", rdf + "type", owl + "DatatypeProperty"), (b + "Cat", owl + "disjointWith", b + "Dog"), (b.rstrip("#/"), rdf + "type", owl + "Ontology")]
+    want = {f"<{s}> <{p}> <{o}> ." for s, p, o in uris} | {f'<{b}{x}> <{rdfs}label> "{x}" .' for x in ("Animal", "Dog", "Rex")}
+    want |= {f'<{b}Animal> <{rdfs}comment> "a \\"living\\"\\nthing" .', f'<{b}Rex> <{b}age> "5"^^<{export.XSD}integer> .', f'<{b.rstrip("#/")}> <{rdfs}label> "ontology" .'}
+    got = [r.line for r in registry.queries()["k7_ntriples_full"](spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want

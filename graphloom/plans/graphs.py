@@ -76,6 +76,11 @@ def j3(spark, d):
     return graph.node_context(Graph(spark, d).places)
 
 
+@query("j3_node_context_full", sql("SELECT id, string_agg(t, '; ' ORDER BY t) AS context FROM (SELECT src AS id, relation || ' -> ' || dst AS t FROM edges UNION SELECT dst, relation || ' <- ' || src FROM edges) GROUP BY id"))
+def j3b(spark, d):
+    return graph.node_context(Graph(spark, d).edges)
+
+
 @query("j7_cooccurrence", sql("SELECT a.id AS a, b.id AS b, count(DISTINCT a.chunk_id) AS shared FROM members a JOIN members b ON a.chunk_id = b.chunk_id AND a.id < b.id GROUP BY 1, 2 HAVING count(DISTINCT a.chunk_id) >= 2"))
 def j7(spark, d):
     g = Graph(spark, d)
@@ -152,6 +157,12 @@ def g7(spark, d):
     return reason.relation_properties(Graph(spark, d).places).select("relation", "n", "backs", "open_chains")
 
 
+@query("g7_relation_properties_full", sql("""SELECT relation, count(*) AS n, count(*) FILTER (back) AS backs, coalesce(any_value(k), 0) AS open_chains FROM (SELECT e.relation, e.src, e.dst, EXISTS (SELECT 1 FROM edges f WHERE f.relation = e.relation AND f.src = e.dst AND f.dst = e.src) AS back FROM edges e)
+LEFT JOIN (SELECT a.relation, count(*) AS k FROM edges a JOIN edges b ON a.relation = b.relation AND a.dst = b.src AND a.src <> b.dst WHERE NOT EXISTS (SELECT 1 FROM edges c WHERE c.relation = a.relation AND c.src = a.src AND c.dst = b.dst) GROUP BY 1) USING (relation) GROUP BY relation HAVING count(*) >= 2"""))
+def g7b(spark, d):
+    return reason.relation_properties(Graph(spark, d).edges).select("relation", "n", "backs", "open_chains")
+
+
 @query("g8_axiom_relations", "SELECT 'transitive' AS kind, 'partOf' AS relation UNION ALL SELECT 'symmetric', 'tradesWith'")
 def g8(spark, d):
     return reason.axiom_relations(Graph(spark, d).axioms)
@@ -279,6 +290,11 @@ def a12(spark, d):
     return quality.correctness(Graph(spark, d).places).select("src", "relation", "dst", "path_length", F.round(F.col("correctness") * 1000).cast("long").alias("millis"))
 
 
+@query("a12_correctness_full", sql("SELECT src, relation, dst, CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END AS path_length, round(1000 * least(1e0, 0.5 * least(1e0, vote_count / 5e0) + 0.3 * confidence + 0.2 / CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END))::BIGINT AS millis FROM edges"))
+def a12b(spark, d):
+    return quality.correctness(Graph(spark, d).edges).select("src", "relation", "dst", "path_length", F.round(F.col("correctness") * 1000).cast("long").alias("millis"))
+
+
 @query("a15_targets", sql("SELECT n.id, count(DISTINCT e.src) AS instances FROM nodes n LEFT JOIN edges e ON e.relation = 'type' AND e.dst = n.id WHERE n.kind = 'class' GROUP BY n.id"))
 def a15(spark, d):
     g = Graph(spark, d)

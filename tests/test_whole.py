@@ -3,6 +3,7 @@
 import re
 from types import SimpleNamespace
 
+import pytest
 import test_queries
 
 from graphloom.operators import retrieve, vector
@@ -53,3 +54,20 @@ def test_ntriples_of_all_kinds(spark, monkeypatch):
     want |= {f'<{b}Animal> <{rdfs}comment> "a \\"living\\"\\nthing" .', f'<{b}Rex> <{b}age> "5"^^<{export.XSD}integer> .', f'<{b.rstrip("#/")}> <{rdfs}label> "ontology" .'}
     got = [r.line for r in registry.queries()["k7_ntriples_full"](spark, DATA).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["a12_correctness_full", "j3_node_context_full", "g7_relation_properties_full"])
+def test_all_edges(spark, name):
+    test_queries.test_query_matches_sql(spark, name)
+    rows = [str(r) for r in registry.queries()[name](spark, DATA).collect()]
+    assert all(any(x in r for r in rows) for x in ("tradesWith", "hasBrand", "supplies"))
+
+
+def test_build_reads_customers_and_parts(spark):
+    got = {tuple(r) for r in registry.queries()["c1_build"](spark, DATA).select("src", "relation", "dst").collect()}
+    word = lambda t: re.sub("[^a-z]", "", t.lower())
+    want = set()
+    for t, key, kind, of, name in (("part", "p_partkey", "p_type", "product", "Part"), ("customer", "c_custkey", "c_mktsegment", "market", "Customer")):
+        for k, x in spark.read.parquet(f"{DATA}/{t}.parquet").select(key, kind).collect():
+            want |= {(word(x), "subClassOf", of), (f"{name}{k}", "type", word(x)), (f"{name}{k}", "type", of)}
+    assert got == want

@@ -14,7 +14,7 @@ from ..functions import fixed, text
 from ..scratch import stored
 from .components import connected_components
 from .quality import node_components
-from .retrieve import TILE, blocks, cosine, top_k
+from .retrieve import TILE, blocks, cosine, dot, top_k
 
 DIMENSIONS = 64
 
@@ -134,10 +134,14 @@ def link_orphans(nodes: DataFrame, edges: DataFrame, threshold: float = fixed.OR
     return out.select("src", F.lit("related_to").alias("relation"), F.coalesce("parent", "hit").alias("dst"), F.lit(0.85).alias("confidence"))
 
 
-def bridge_components(nodes: DataFrame, edges: DataFrame, threshold: float = fixed.BRIDGE_COSINE, most: int = 50, make=hash_encoder) -> DataFrame:
-    """Edges from each smaller component's representative (most edges, then first by seq) to the most similar node of the largest component, the most likely ones first."""
+def bridge_components(nodes: DataFrame, edges: DataFrame, threshold: float | None = None, most: int = 50, make=hash_encoder, between: float = fixed.BRIDGE_COSINE) -> DataFrame:
+    """Edges from each smaller component's representative (most edges, then first by seq) to the most similar node of the largest
+    component, the most likely ones first, at most so many bridges. The other node of the largest component with the best mean similarity to both ends,
+    if that is between or more, makes two edges of the bridge, by way of it. threshold: by default that of orphans, and 0.7 with more than 20 components."""
     comp = node_components(nodes, edges)
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
+    if threshold is None:
+        threshold = min(fixed.ORPHAN_COSINE, fixed.MANY_COSINE) if size.count() > fixed.MANY_COMPONENTS else fixed.ORPHAN_COSINE
     largest = size.orderBy(F.desc("n"), "component").limit(1).select("component")
     deg = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("k"))
     full = nodes.join(comp, "id").join(deg, "id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
@@ -146,9 +150,19 @@ def bridge_components(nodes: DataFrame, edges: DataFrame, threshold: float = fix
     vec = encode(nodes.select("id", "seq", label.alias("label")), "label", make).select("id", F.col("seq").alias("vec_id"), "vector")
     q = vec.join(reps.select("id"), "id", "left_semi").select(F.col("vec_id").alias("query_id"), "vector", F.col("id").alias("src"))
     big = vec.join(full.join(largest, "component", "left_semi").select("id"), "id", "left_semi")
-    near = top_k(q, big, 1).where(F.col("score") >= threshold)
-    out = near.join(q.select("query_id", "src"), "query_id").join(vec.select("vec_id", F.col("id").alias("dst")), "vec_id")
-    return out.orderBy(F.desc("score"), "src").limit(most).select("src", F.lit("related_to").alias("relation"), "dst", "score")
+    near = top_k(q, big, 1).where(F.col("score") >= threshold).select("query_id", "vec_id", "score")
+    out = near.join(q.withColumnRenamed("vector", "x"), "query_id").join(vec.select("vec_id", F.col("id").alias("dst"), F.col("vector").alias("y")), "vec_id")
+    out = stored(out.orderBy(F.desc("score"), "src").limit(most), "bridges")
+    # The mean of the cosines to two unit vectors is the product with half their sum, whose length is sqrt((1 + their cosine) / 2).
+    unit = lambda c: F.transform(c, lambda x: x / (F.sqrt(dot(F.col(c), F.col(c))) + 1e-12))
+    half = out.select("query_id", F.zip_with(unit("x"), unit("y"), lambda x, y: (x + y) / 2).alias("vector"))
+    way = top_k(half, big, 2).withColumnRenamed("vec_id", "way_id").withColumnRenamed("score", "cos").drop("rank")
+    way = way.join(out.select("query_id", "vec_id", "score"), "query_id").where("way_id != vec_id").withColumn("mean", F.col("cos") * F.sqrt((1 + F.col("score")) / 2)).where(F.col("mean") >= between)
+    way = way.groupBy("query_id").agg(F.min_by("way_id", F.struct(-F.col("mean"), "way_id")).alias("way_id"), F.max("mean").alias("mean"))
+    way = way.join(vec.select(F.col("vec_id").alias("way_id"), F.col("id").alias("way")), "way_id")
+    ends = out.join(way, "query_id", "left").withColumn("score", F.coalesce("mean", "score"))
+    steps = F.when(F.col("way").isNull(), F.array(F.struct("src", "dst"))).otherwise(F.array(F.struct("src", F.col("way").alias("dst")), F.struct(F.col("way").alias("src"), "dst")))
+    return ends.select(F.explode(steps).alias("e"), "score").groupBy("e.src", "e.dst").agg(F.max("score").alias("score")).select("src", F.lit("related_to").alias("relation"), "dst", "score")
 
 
 def similarity(a: str, b: str):

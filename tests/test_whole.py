@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import pytest
 import test_queries
+from pyspark.sql import functions as F
 
 from graphloom.operators import retrieve, vector
 from graphloom.plans import registry, scans
@@ -71,3 +72,23 @@ def test_build_reads_customers_and_parts(spark):
         for k, x in spark.read.parquet(f"{DATA}/{t}.parquet").select(key, kind).collect():
             want |= {(word(x), "subClassOf", of), (f"{name}{k}", "type", word(x)), (f"{name}{k}", "type", of)}
     assert got == want
+
+
+def test_bridges_by_way_of_a_node(spark):
+    at = {"R": (1, 0, 0, 0), "T": (0.8, 0.6, 0, 0), "M": (0.78, 0.5, 0.3764, 0), "S": (0, 0, 0, 1), "D": (0, 0.2, 0, 0.98), "W": (0, -0.74, 0, 0.6726)}
+
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([at.get(t.split()[0], (0, 0, -1, 0)) for t in texts], np.float32)
+
+    def bridges(ids, **more):
+        n = spark.createDataFrame(list(enumerate(["T", "M", "D", "X", *ids])), "seq long, id string").withColumn("description", F.lit(None).cast("string"))
+        e = spark.createDataFrame([("T", "M"), ("M", "D"), ("D", "X")], "src string, dst string").withColumn("relation", F.lit("r"))
+        return {(r.src, r.dst) for r in vector.bridge_components(n, e, make=make, **more).collect()}
+
+    assert bridges(["R", "S"]) == {("R", "M"), ("M", "T"), ("S", "D")}
+    assert bridges(["R", "S"], between=0.95) == {("R", "T"), ("S", "D")}
+    at["D"], at["S"] = (0, 0, 0, 1), (0, 0, (1 - 0.72**2) ** 0.5, 0.72)
+    assert bridges(["S"]) == set()
+    assert ("S", "D") in bridges(["S", *(f"far{i}" for i in range(20))])

@@ -75,5 +75,6 @@ CHUNK_SIZE, CHUNK_OVERLAP = 2000, 300
 TOKEN_OVERLAP, CANONICAL_COSINE, ORPHAN_COSINE, BRIDGE_COSINE = 0.8, 0.85, 0.75, 0.6
 #: With more components than that, bridges need less.
 MANY_COMPONENTS, MANY_COSINE = 20, 0.7
+GROUNDED_RATIO = 0.6
 GRADES = [(0.8, "A"), (0.6, "B"), (0.4, "C"), (0.2, "D"), (0.0, "F")]
 HUB_DEGREE = 80

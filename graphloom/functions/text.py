@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,11 +158,25 @@ def shares_token(name: Text, text: Text) -> Column:
 
 
 def grounded(name: Text, text: Text) -> Column:
-    """The name, or a word of it of four characters or more, is in the text. The similarity of whole strings is sources' business (see pipeline.grounding)."""
+    """The name, or a word of it of four characters or more, is in the text. grounded_or_similar adds the similarity of whole strings."""
     t = F.lower(col(text))
     return F.contains(t, F.lower(F.trim(col(name)))) | F.exists(words(F.lower(col(name))), lambda w: (F.length(w) > 3) & F.contains(t, w))
 
 
+def grounded_or_similar(name: Text, text: Text, least: float = fixed.GROUNDED_RATIO) -> Column:
+    """grounded, or difflib's ratio of name and text is least or more. Texts too long for that by their length stay out of Python."""
+    import pandas as pd
+
+    def similar(names: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and SequenceMatcher(None, n, t).ratio() >= least for n, t in zip(names, texts, strict=True)], dtype=bool)
+
+    n, t = F.lower(col(name)), F.lower(col(text))
+    most = 2.0 * F.least(F.length(n), F.length(t)) / (F.length(n) + F.length(t))
+    found = grounded(name, text)
+    similar.__annotations__ = {"names": pd.Series, "texts": pd.Series, "return": pd.Series}
+    return found | F.pandas_udf(similar, "boolean")(n, F.when(~found & (most >= least - 1e-9), t))
+
+
 # metrics over texts
 
 

@@ -49,9 +49,9 @@ def encode(rows: DataFrame, column: str, make=hash_encoder, out: str = "vector")
     return rows.withColumn(out, F.pandas_udf(vectors, "array<float>")(F.col(column)))
 
 
-def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP) -> DataFrame:
+def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP, make=hash_encoder, near: float = fixed.CANONICAL_COSINE) -> DataFrame:
     """name, canonical, of names (name, seq): equal normal forms are one; then names whose words overlap by threshold join, and
-    each group takes the name of its first row. Candidates share a rare word: each name is indexed under its least frequent
+    each group takes the name of its first row; then, unless make is None, a group joins the first earlier one that stands for itself and whose name has a cosine of near or more. Candidates share a rare word: each name is indexed under its least frequent
     words, as many as two names with that overlap can't both lack, so frequent words make no pairs."""
     n = names.withColumn("norm", text.exact_name(text.normal_name("name")))
     heads = n.groupBy("norm").agg(F.min(F.struct("seq", "name")).alias("h")).select("norm", "h.seq", F.col("h.name").alias("head"))
@@ -64,7 +64,12 @@ def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP) ->
     pairs = pairs.where(text.token_overlap("norm", "other") >= threshold)
     comps = connected_components(pairs, "norm", "other").withColumnRenamed("node", "norm")
     groups = heads.join(comps, "norm", "left").withColumn("component", F.coalesce("component", "norm"))
-    first = groups.groupBy("component").agg(F.min_by("head", "seq").alias("canonical"))
+    first = groups.groupBy("component").agg(F.min_by("head", "seq").alias("canonical"), F.min("seq").alias("seq"))
+    if make is not None:
+        first = stored(first, "groups")
+        led = clusters(encode(first.select(F.col("seq").alias("vec_id"), "canonical"), "canonical", make).select("vec_id", "vector"), near)
+        heads = first.select(F.col("seq").alias("leader"), F.col("canonical").alias("joined"))
+        first = first.join(led.withColumnRenamed("vec_id", "seq"), "seq").join(heads, "leader").select("component", F.col("joined").alias("canonical"))
     return n.select("name", "norm").join(groups.select("norm", "component"), "norm").join(first, "component").select("name", "canonical")
 
 

@@ -33,6 +33,13 @@ def p5(spark, d):
     return table(spark, d, "documents").join(n).select("doc_id", "name", text.grounded("name", "text").alias("grounded"))
 
 
+@query("p5_grounded_full")
+def p5b(spark, d):
+    """With difflib's ratio, which SQL lacks; tests hold this against plain Python."""
+    n = F.broadcast(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct())
+    return table(spark, d, "documents").join(n).select("doc_id", "name", text.grounded_or_similar("name", "text").alias("grounded"))
+
+
 @query("p6_noise", f"WITH {NAMES} SELECT name, coalesce(name, '') = '' OR length(name) > 60 OR c IN ({LIST(fixed.NOISE_NAMES)}) OR {' OR '.join(f'regexp_matches(c, {Q}{p}{Q})' for p in fixed.NOISE_PATTERNS)} OR {STARTS('c', fixed.NOISE_STARTS)} AS noise FROM (SELECT name, lower(trim(name, ' ')) AS c FROM names)")
 def p6(spark, d):
     return names(spark, d).select("name", text.is_noise("name").alias("noise"))

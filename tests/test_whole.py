@@ -1,6 +1,7 @@
 """Queries that do the whole job, on small tables where a part of it gives other rows."""
 
 import re
+from difflib import SequenceMatcher
 from types import SimpleNamespace
 
 import pytest
@@ -92,3 +93,23 @@ def test_bridges_by_way_of_a_node(spark):
     at["D"], at["S"] = (0, 0, 0, 1), (0, 0, (1 - 0.72**2) ** 0.5, 0.72)
     assert bridges(["S"]) == set()
     assert ("S", "D") in bridges(["S", *(f"far{i}" for i in range(20))])
+
+
+def test_names_near_by_cosine_join(spark):
+    n = spark.createDataFrame([("knowledge graphs", 0), ("cat", 1), ("knowledge graph", 2), ("Cat", 3)], "name string, seq long")
+    assert {r.name: r.canonical for r in vector.canonical_names(n).collect()} == {"knowledge graphs": "knowledge graphs", "knowledge graph": "knowledge graphs", "cat": "cat", "Cat": "cat"}
+
+
+def test_grounded_by_ratio(spark, tmp_path):
+    texts, names = ["Red Widgte", "blu gear", "zzz zzz", "a long text that has nothing of it " * 3, "tiny blue gaer cog"], ["red wdget", "blue gear", "ab"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(x,) for x in names], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
+
+    def grounded(name, t):
+        n, t = name.lower(), t.lower()
+        return n in t or any(w in t for w in n.split() if len(w) > 3) or SequenceMatcher(None, n, t).ratio() >= 0.6
+
+    got = {(r.doc_id, r.name): r.grounded for r in registry.queries()["p5_grounded_full"](spark, str(tmp_path)).collect()}
+    assert got == {(i, x): grounded(x, t) for i, t in enumerate(texts) for x in names} and got[(0, "red wdget")]
+    less = {(r.doc_id, r.name): r.grounded for r in registry.queries()["p5_grounded"](spark, str(tmp_path)).collect()}
+    assert not less[(0, "red wdget")]

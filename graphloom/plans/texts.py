@@ -261,7 +261,7 @@ def k13(spark, d):
 @query("s7_page_text")
 def s7(spark, d):
     """Back references in tag pairs differ between engines; tests hold this against small pages."""
-    return table(spark, d, "pages").select("page_id", text.html_text("html", 8000).alias("content"))
+    return table(spark, d, "pages").select("page_id", text.html_text("html").alias("content"))
 
 
 @query("s8_page_reference", "SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 'reference: ' || url ELSE 'page' END AS content FROM pages")

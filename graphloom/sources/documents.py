@@ -64,8 +64,8 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
-def page_rows(pages: DataFrame, most: int = 8000) -> DataFrame:
-    """page_id, url, content, fidelity of pages (page_id, url, html)."""
+def page_rows(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id, url, content, fidelity of pages (page_id, url, html). most cuts the content, for callers that feed a model (8,000 characters)."""
     return pages.select("page_id", "url", text.html_text("html", most).alias("content"), text.fidelity("url").alias("fidelity"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import retrieve, vector
 from graphloom.plans import registry, scans
-from graphloom.sources import export
+from graphloom.sources import documents, export
 
 DATA = "/root/testdata/sf0.001"
 
@@ -113,3 +113,12 @@ def test_grounded_by_ratio(spark, tmp_path):
     assert got == {(i, x): grounded(x, t) for i, t in enumerate(texts) for x in names} and got[(0, "red wdget")]
     less = {(r.doc_id, r.name): r.grounded for r in registry.queries()["p5_grounded"](spark, str(tmp_path)).collect()}
     assert not less[(0, "red wdget")]
+
+
+def test_whole_page_text(spark, tmp_path):
+    html = "<p>" + "a word " * 3000 + "last</p>"
+    pages = spark.createDataFrame([(1, "http://x.org/", html)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    text = "a word " * 3000 + "last"
+    assert registry.queries()["s7_page_text"](spark, str(tmp_path)).first().content == text
+    assert documents.page_rows(pages).first().content == text and len(documents.page_rows(pages, 8000).first().content) == 8000

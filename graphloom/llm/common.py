@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions for an exchange of df's rows: the session's number, or more where Catalyst's estimate of df's bytes gives over `each` to a partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if size >= 1 << 60 else max(n, -(-size // each))  # beyond that, Catalyst has no estimate
+
+
 def doc_key():
     """A long that identifies a document by its id and text. Rows that repeat both are one document."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))
@@ -65,6 +72,23 @@ def shingles(words: list[bytes], hashes: WordHash, k: int = 5) -> np.ndarray:
     return np.unique(grams(h, k))
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places starts[0], starts[0] + 1, ... (counts[0] of them), then those from starts[1], and so on."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def pieces(batch, column: int, size: int):
+    """Cut a record batch into parts whose strings in a column have about size bytes together; a longer string is a part of its own."""
+    import pyarrow.compute as pc
+
+    n = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(n, size + (n[i - 1] if i else 0), "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def runs(batches, key_of):
     """Cut an iterator of pandas frames, sorted by a key, into one frame per key. A key's rows must fit in memory: callers bound them."""
     import pandas as pd

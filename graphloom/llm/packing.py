@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import re
+import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import pieces, ragged, stored, table
 
 LENGTH, END = 2048, 1
-#: White space to str.split() but not to the tokenizer, or special tokens: such texts are encoded as a whole.
-ODD = re.compile(r"<\||[\x1c-\x1f]")
-#: Words that a task's memory of encoded words holds at most.
-CACHE = 500_000
+#: Bytes of text that are encoded at once.
+PIECE = 16 << 20
 #: Punctuation that may follow a word of letters; a mark never joins the letters before it in one token.
 CLOSING = ".,;:!?)]}\"*&%$#"
+#: Words that the vectorised merging takes: letters whose lower case and composed form are plain. Longer ones go to the tokenizer.
+LETTERS, LONGEST = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", 40
+#: What a tokenizer must be for its words to be encoded one by one: normaliser and pre-tokenizer (fixed values of the public file).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+END_OF_WORD = "</w>"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,67 +31,152 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def treats_words_alone(spec: dict) -> bool:
+    """Whether the tokenizer of a file lower-cases, splits letters from marks, and merges by rank within a word only."""
+    m, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = m["type"] == "BPE" and m.get("end_of_word_suffix") == END_OF_WORD and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    split = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLIT} and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return plain and split and spec.get("normalizer") == NORMALIZER and max(m["vocab"].values()) < 1 << 16
+
+
+class Merges:
+    """Byte pair merging of many words at once: in each round, every word merges its leftmost pair of the lowest rank."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, spec: dict):
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        # symbols of bytes within a word, then of bytes that end one
+        self.symbol = np.array([vocab[sign[b] + e] for e in ("", END_OF_WORD) for b in range(256)], np.int32)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.first = self.rank(np.repeat(self.symbol, 512), np.tile(self.symbol, 512)).reshape(512, 512)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = a.astype(np.int64) << 16 | b
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where((self.keys[at] == k) & (a >= 0) & (b >= 0), self.ranks[at], self.NONE)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words, one after another, and how many each has."""
+        data, starts, lens = raw(words)
+        counts, parts, order = np.zeros(len(lens), np.int64), [], np.argsort(lens, kind="stable")
+        for i in range(0, len(order), 16384):
+            part = order[i : i + 16384]
+            ids, n = self.chunk(data, starts[part], lens[part])
+            counts[part] = n
+            parts.append(ids)
+        if not parts:
+            return np.zeros(0, np.uint32), counts
+        n = counts[order]
+        firsts = np.empty(len(order), np.int64)
+        firsts[order] = np.cumsum(n) - n
+        return np.concatenate(parts)[ragged(firsts, counts)], counts
+
+    def chunk(self, data, starts, lens):
+        width, rows = int(lens.max()), np.arange(len(lens))
+        code = data[np.minimum(starts[:, None] + np.arange(width), len(data) - 1)].astype(np.int32)
+        code[rows, lens - 1] += 256
+        inside = np.arange(width) < lens[:, None]
+        sym = np.where(inside, self.symbol[code], -1)
+        rank = np.where(inside[:, 1:], self.first[code[:, :-1], code[:, 1:]], self.NONE)
+        out, counts = np.full((len(lens), width), -1, np.int32), lens.copy()
+        while len(rows):
+            j = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(rows), np.int64)
+            best = rank[np.arange(len(rows)), j] if rank.shape[1] else np.full(len(rows), self.NONE)
+            done = best == self.NONE
+            if done.any():
+                out[rows[done], : sym.shape[1]] = sym[done]
+                go = ~done
+                rows, sym, rank, j, best = rows[go], sym[go], rank[go], j[go], best[go]
+                if not len(rows):
+                    break
+            at, place, new = np.arange(len(rows)), np.arange(sym.shape[1] - 1), self.made[best]
+            counts[rows] -= 1
+            sym = np.take_along_axis(sym, place + (place > j[:, None]), axis=1)
+            sym[at, j] = new
+            place = place[:-1]
+            rank = np.take_along_axis(rank, place + (place >= j[:, None]), axis=1)
+            if len(place):
+                left, right = np.flatnonzero(j > 0), np.flatnonzero(j < len(place))
+                rank[left, j[left] - 1] = self.rank(sym[left, j[left] - 1], new[left])
+                rank[right, j[right]] = self.rank(new[right], sym[right, j[right] + 1])
+        return out[out >= 0].astype(np.uint32), counts
+
+
+def raw(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and lengths of an array of strings."""
+    strings = pa.concat_arrays([strings.cast(pa.string())])
+    _, offsets, data = strings.buffers()
+    o = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    return np.frombuffer(data or b"\0", np.uint8), o[:-1], np.diff(o)
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer that treats words between white space on their own, remembering words. A word of letters
-    and closing punctuation is its letters and its punctuation, each remembered once; ASCII letters in lower case."""
+    """Ids of texts. Where the tokenizer treats words between white space on their own, each different word of a piece is encoded
+    once: a word of letters and closing marks as the letters, merged in numpy, and the marks; others by the tokenizer. Any other
+    tokenizer encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.seen = Tokenizer.from_file(path), {}
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.merges = Merges(spec) if treats_words_alone(spec) else None
 
-    def learn(self, words: list[str], letters: bool) -> None:
-        """Encode words, joined by spaces, and cut the ids at the words' ends: after each end token where words are letters alone, by offsets otherwise."""
+    def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the tokenizer, joined by spaces, and how many each has, by their offsets."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
             enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, np.uint32)
-            cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1] if letters else ()
-            if len(cuts) != len(part) + 1:
-                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-                starts = np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc.offsets))
-                cuts = np.searchsorted(np.searchsorted(ends, starts, "right"), np.arange(len(part) + 1))
-            raw, at = ids.tobytes(), (4 * cuts).tolist()
-            self.seen.update(zip(part, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
-
-    def meet(self, new: set[str]) -> None:
-        plain, whole, made = set(), [], []
-        for w in new:
-            core = w.rstrip(CLOSING)
-            if not core.lower().isalpha() or not core.isalpha():
-                whole.append(w)
-                continue
-            end = w[len(core) :]
-            if core.isascii():
-                core = core.lower()
-            if core not in self.seen:
-                plain.add(core)
-            if end and end not in self.seen:
-                whole.append(end)
-            made.append((w, core, end))
-        self.learn(list(plain), True)
-        self.learn(list(dict.fromkeys(whole)), False)
-        get = self.seen.__getitem__
-        for w, core, end in made:
-            self.seen[w] = get(core) + get(end) if end else get(core)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if ODD.search(t) else t.split() for t in texts]
-        words = set().union(*(s for s in split if s))
-        new = words - self.seen.keys()
-        if new and len(self.seen) + len(new) > CACHE:
-            self.seen.clear()
-            new = words
-        self.meet(new)
-        get = self.seen.__getitem__
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-
-
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, step: int = 256) -> DataFrame:
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            starts = np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc.offsets))
+            counts.append(np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(part)))
+            ids.append(np.array(enc.ids, np.uint32))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one after another, and how many each has."""
+        core = pc.utf8_rtrim(words, characters=CLOSING)
+        plain = pc.and_(pc.match_substring_regex(core, LETTERS), pc.less_equal(pc.binary_length(core), LONGEST))
+        core = pc.utf8_lower(core.filter(plain)).dictionary_encode()
+        marks = pc.replace_substring_regex(words.filter(plain), LETTERS[:-1], "").dictionary_encode()
+        got = [self.merges.encode(core.dictionary), self.ask(marks.dictionary.to_pylist()), self.ask(words.filter(pc.invert(plain)).to_pylist())]
+        ids, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        starts, at = np.cumsum(n) - n, plain.to_numpy(zero_copy_only=False)
+        cores, others = len(core.dictionary), len(core.dictionary) + len(marks.dictionary)
+        unit = np.zeros((len(words), 2), np.int64)
+        unit[at, 0], unit[at, 1] = core.indices.to_numpy(), cores + marks.indices.to_numpy()
+        unit[~at, 0] = np.arange(others, len(n))
+        counts = n[unit]
+        counts[~at, 1] = 0
+        return ids[ragged(starts[unit].ravel(), counts.ravel())], counts.sum(axis=1)
+
+    def encode(self, texts: pa.Array, tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by tail, one after another, and how many each has."""
+        if self.merges is None:
+            got = [np.array([*e.ids, *tail], np.uint32) for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.fromiter(map(len, got), np.int64, len(got))
+        words = pc.ascii_split_whitespace(texts)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        ends -= ends[0]
+        flat = words.flatten().dictionary_encode()
+        ids, n = self.learn(flat.dictionary)
+        ids, n = np.r_[ids, np.array(tail, np.uint32)], np.r_[n, len(tail)]
+        word = np.insert(flat.indices.to_numpy(), ends[1:], len(n) - 1)
+        many = n[word]
+        last = np.r_[0, np.cumsum(many)][ends + np.arange(len(ends))]
+        return ids[ragged((np.cumsum(n) - n)[word], many)], np.diff(last)
+
+
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """Pieces: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its ids and the end id. Documents follow each other in the order of the partitions of docs; the stream is
@@ -96,20 +186,19 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     any length makes as many pieces as it needs. Other columns are ignored. No rows: no rows.
     """
     path = path or tokenizer_path()
-    tail = np.array([end], "<u4").tobytes()
 
     def encode(batches):
         enc, at = WordEncoder(path), 0
         for b in batches:
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
-                ids = [x + tail for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for part in pieces(b, 1, PIECE):
+                ids, n = enc.encode(part.column(1), (end,))
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(before)], ["doc_id", "ids", "n", "before"])
+                offsets = np.r_[0, np.cumsum(4 * n)].astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([part.column(0), held, pa.array(n), pa.array(before)], ["doc_id", "ids", "n", "before"])
 
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, n long, before long")
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "doc_id long, ids binary, n long, before long")
     encoded = stored(encoded.withColumn("part", F.spark_partition_id()), "ids")
     totals = sorted(tuple(r) for r in encoded.groupBy("part").agg(F.sum("n")).collect())
     base, at = {}, 0

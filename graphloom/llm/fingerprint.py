@@ -2,80 +2,124 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, stored, table
+from .common import WordHash, mix, partitions, pieces, stored, table
 
-#: Samples of a fingerprint; each is written as 16 bits.
+#: Samples of a fingerprint; each is written as 16 bits. Terms are hashed words; weights are their counts.
 SAMPLES = 64
-#: Terms are hashed words; weights are their counts. A task remembers the samples of so many (term, count) pairs.
-CACHE = 200_000
+#: Bytes of text that are signed at once; (term, count) pairs whose samples are held at once; pairs that are drawn at once.
+PIECE, HELD, CHUNK = 4 << 20, 400_000, 1024
 
 
 class Sampler:
     """Ioffe's scheme: for each sample k and term of weight w, with r, c ~ Gamma(2, 1) and b ~ U(0, 1) drawn from a hash of (term, k):
-    t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp r); the term with the smallest a is the sample, (term, t) its name."""
+    t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp r); the term with the smallest a is the sample, (term, t) its name.
+
+    For a weight of 1, t is 0, and a = c exp(-r (1 - b)) has the distribution Exp(1). So v = 1 - exp(-a), which is uniform, is drawn
+    first, and c, r, b, in their distribution given a, only for larger weights: c = a + Exp(1), and with e = ln(c / a) = r (1 - b),
+    r = e + Exp(1). v stands for a in comparisons, as a whole number of 32 bits."""
 
     def __init__(self, samples: int = SAMPLES):
-        self.k = samples
-        self.words = WordHash()
-        self.rows: dict[tuple[int, int], int] = {}
-        self.a = np.empty((0, samples), np.float32)
-        self.names = np.empty((0, samples), np.uint16)
-        self.salt = mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def draw(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln a and the names of all samples, one row for each term."""
-        h = [mix(terms[:, None] ^ self.salt)]
-        for _ in range(2):
-            h.append(mix(h[-1] + np.uint64(0x632BE59BD9B4E019)))
-        u = []
-        for x in h:
-            u += [((x & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32), ((x >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)]
-        r, c, b = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
-        t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-        name = mix(h[0] + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return np.log(c) - r * (t - b) - r, (name >> np.uint64(48)).astype(np.uint16)
-
-    def learn(self, keys: list[tuple[int, int]]) -> None:
-        for i in range(0, len(keys), 4096):
-            part = keys[i : i + 4096]
-            a, names = self.draw(np.array([k[0] for k in part], np.uint64), np.array([k[1] for k in part]))
-            n = len(self.rows)
-            if n + len(part) > len(self.a):
-                more = max(len(part), len(self.a))
-                self.a = np.concatenate([self.a, np.empty((more, self.k), np.float32)])
-                self.names = np.concatenate([self.names, np.empty((more, self.k), np.uint16)])
-            self.a[n : n + len(part)], self.names[n : n + len(part)] = a, names
-            self.rows.update(zip(part, range(n, n + len(part)), strict=True))
-
-    def sign(self, texts: list[str]) -> np.ndarray:
+        self.k, self.words = samples, WordHash()
+        salt = mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.salts = [(salt >> np.uint64(j)).astype(np.uint32) for j in (0, 32)]
+
+    def hash(self, terms: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """32 bits for each term and sample."""
+        low, high = terms.astype(np.uint32)[:, None], (terms >> np.uint64(32)).astype(np.uint32)[:, None]
+        x = (low ^ salt) * np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(15)
+        x += high
+        x *= np.uint32(0xC2B2AE35)
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(0x27D4EB2F)
+        x ^= x >> np.uint32(16)
+        return x
+
+    def steps(self, terms: np.ndarray, weights: np.ndarray, v: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """t and ln a, given v, for terms of any weight."""
+        u = self.hash(terms, salt + np.uint32(0x3C6EF372))
+        half = [(x.astype(np.float32) + np.float32(0.5)) * np.float32(2**-16) for x in (u & np.uint32(0xFFFF), u >> np.uint32(16))]
+        a = -np.log1p(-np.minimum((v.astype(np.float32) + np.float32(0.5)) * np.float32(2**-32), np.float32(1 - 2**-24)))
+        ln_c = np.log(a - np.log(half[0]))
+        e = ln_c - np.log(a)
+        r = e - np.log(half[1])
+        t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + 1 - e / r)
+        return t, ln_c - e - r * t  # r (t - b + 1) is r t + e
+
+    def draw(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """v of all samples, one row for each term."""
+        out = np.empty((len(terms), self.k), np.uint32)
+        for i in range(0, len(terms), CHUNK):
+            s = slice(i, i + CHUNK)
+            v = out[s] = self.hash(terms[s], self.salts[0])
+            many = np.flatnonzero(weights[s] > 1)
+            if len(many):
+                t, ln_a = self.steps(terms[s][many], weights[s][many], v[many], self.salts[0])
+                out[i + many] = np.where(t == 0, v[many], (-np.expm1(-np.exp(ln_a.astype(np.float64))) * 2.0**32).astype(np.uint32))
+        return out
+
+    def names(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """16 bits for each sample's (term, t): terms and weights have a column for each sample."""
+        x = self.hash(terms.ravel(), np.zeros(1, np.uint32)).reshape(terms.shape) ^ self.salts[1]
+        many = weights > 1
+        if many.any():
+            i, k = np.nonzero(many)
+            salt = self.salts[0][k][:, None]
+            v = self.hash(terms[i, k], salt)
+            t, _ = self.steps(terms[i, k], weights[i, k], v, salt)
+            x[i, k] += t[:, 0].astype(np.int64).astype(np.uint32) * np.uint32(0x9E3779B1)
+        x *= np.uint32(0x85EBCA6B)
+        return (x >> np.uint32(16)).astype(np.uint16)
+
+    def sign(self, texts: pa.Array) -> np.ndarray:
         """One signature (uint16 x samples) per text; texts without words get the name of nothing, zeros."""
+        words = pc.ascii_split_whitespace(texts)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        flat = words.flatten().dictionary_encode()
+        index, known = flat.indices.to_numpy(), flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        hashes = self.words.array(known)
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        terms, size = hashes[order], max(1, len(order))
+        # (text, term), terms in the order of their hashes, whatever else the piece holds
+        key = np.repeat(np.arange(len(texts)) * size, np.diff(ends)) + place[index]
+        if b"" in known:  # white space at an end of a text
+            key = key[index != known.index(b"")]
+        key.sort()
+        first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+        weight = np.diff(np.r_[first, len(key)])
+        key = key[first]
+        at = np.searchsorted(key, np.arange(len(texts) + 1) * size)
+        term = key - np.repeat(np.arange(len(texts)) * size, np.diff(at))
+        top = int(weight.max(initial=1)) + 1
+        pairs, row = np.unique(term * top + weight, return_inverse=True)
+        best = np.zeros((len(texts), self.k), np.int64)
+        some = np.flatnonzero(np.diff(at))
+        if len(pairs) <= HELD:
+            v = self.draw(terms[pairs // top], pairs % top)
+            for i in some.tolist():
+                r = row[at[i] : at[i + 1]]
+                best[i] = at[i] + v.take(r, axis=0).argmin(axis=0)
+        else:  # too many to hold: a running least for each text
+            for i in some.tolist():
+                least = np.full(self.k, 2**32 - 1, np.uint32)
+                best[i] = at[i]
+                for j in range(at[i], at[i + 1], 64 * CHUNK):
+                    z = min(at[i + 1], j + 64 * CHUNK)
+                    v = self.draw(terms[term[j:z]], weight[j:z])
+                    b = v.argmin(axis=0)
+                    low = v[b, np.arange(self.k)]
+                    best[i] = np.where(low < least, j + b, best[i])
+                    least = np.minimum(low, least)
         out = np.zeros((len(texts), self.k), np.uint16)
-        word = self.words.__getitem__
-        keyed = []
-        for t in texts:
-            c = Counter(t.encode("utf-8", "replace").split())
-            keyed.append(list(zip(map(word, c), c.values(), strict=True)))
-        for i, keys in enumerate(keyed):
-            if not keys:
-                continue
-            new = [k for k in keys if k not in self.rows]
-            if len(self.rows) + len(new) > CACHE:
-                self.rows.clear()
-                if len(self.a) > CACHE:
-                    self.a, self.names = self.a[:CACHE].copy(), self.names[:CACHE].copy()
-                new = keys
-            if new:
-                self.learn(new)
-            at = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-            best = at[self.a[at].argmin(axis=0)]
-            out[i] = self.names[best, np.arange(self.k)]
+        out[some] = self.names(terms[term[best[some]]], weight[best[some]]) if len(some) else 0
         return out
 
 
@@ -94,17 +138,18 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",),
     def run(batches):
         s = Sampler(samples)
         for b in batches:
-            sig = s.sign([t or "" for t in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(map(text_of, sig), pa.string())], [*b.schema.names[1:], "fingerprint"])
+            for p in pieces(b, 0, PIECE):
+                sig = s.sign(p.column(0))
+                yield pa.RecordBatch.from_arrays([*p.columns[1:], pa.array(map(text_of, sig), pa.string())], [*p.schema.names[1:], "fingerprint"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", fingerprint string"
-    return docs.select(text, *keep).mapInArrow(run, schema)
+    return docs.select(F.coalesce(text, F.lit("")), *keep).mapInArrow(run, schema)
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_neighbours(docs: DataFrame, samples: int = SAMPLES, step: int = 64) -> DataFrame:
+def edited_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Each document's fingerprint, that of its text with the last third replaced from the next document (descending doc_id,
     null last; ties by a hash of the text, then any order; after the last: the first), and how alike they are.
 
@@ -117,11 +162,11 @@ def edited_neighbours(docs: DataFrame, samples: int = SAMPLES, step: int = 64) -
     order = [F.desc_nulls_last("doc_id"), F.desc("tie")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
 
-    def results(s, ids, texts, sigs, nexts, next_sigs):
-        cut = [len(t) // 3 for t in texts]
-        edited = [t[: len(t) - c] + x[:c] for t, c, x in zip(texts, cut, nexts, strict=True)]
-        es = s.sign(edited)
-        return [[i, len(t), hashlib.sha256(e.encode("utf-8", "replace")).hexdigest(), text_of(a), text_of(b), likeness(a, b), likeness(a, n)] for i, t, e, a, b, n in zip(ids, texts, edited, sigs, es, next_sigs, strict=True)]
+    def edit(texts, nexts):
+        return [t[: len(t) - len(t) // 3] + x[: len(t) // 3] for t, x in zip(texts, nexts, strict=True)]
+
+    def results(ids, texts, edited, sigs, edited_sigs, next_sigs):
+        return [[i, len(t), hashlib.sha256(e.encode("utf-8", "replace")).hexdigest(), text_of(a), text_of(b), likeness(a, b), likeness(a, n)] for i, t, e, a, b, n in zip(ids, texts, edited, sigs, edited_sigs, next_sigs, strict=True)]
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -137,20 +182,21 @@ def edited_neighbours(docs: DataFrame, samples: int = SAMPLES, step: int = 64) -
     def run(batches):
         s, held = Sampler(samples), None
         for b in batches:
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
+            for part in pieces(b, 1, PIECE):
                 ids, texts, where = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)[0].as_py()
-                sigs = s.sign(texts)
                 edges = [(0, ids[0], texts[0], where)] if held is None else []
+                rows = texts if held is None else [held[1], *texts]
+                edited = edit(rows[:-1], rows[1:])
+                both = s.sign(pa.array(texts + edited, pa.string()))
+                sigs = both[: len(texts)]
                 if held is not None:
-                    ids, texts, sigs = [held[0], *ids], [held[1], *texts], np.vstack([held[2], sigs])
+                    ids, sigs = [held[0], *ids], np.vstack([held[2], sigs])
                 held = (ids[-1], texts[-1], sigs[-1], where)
-                yield batch(results(s, ids[:-1], texts[:-1], sigs[:-1], texts[1:], sigs[1:]), edges)
+                yield batch(results(ids[:-1], rows[:-1], edited, sigs[:-1], both[len(texts) :], sigs[1:]), edges)
         if held is not None:
             yield batch([], [(1, held[0], held[1], held[3])])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    dealt = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
     out = stored(dealt.mapInArrow(run, ROW + ", edge int, text string, part int"), "neighbours")
 
     def close(batches):
@@ -162,8 +208,10 @@ def edited_neighbours(docs: DataFrame, samples: int = SAMPLES, step: int = 64) -
         ids, texts, edge = t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("edge").to_pylist()
         last = [i for i, e in enumerate(edge) if e == 1]
         after = [(i + 1) % len(ids) for i in last]
-        sigs = s.sign(texts)
-        done = results(s, [ids[i] for i in last], [texts[i] for i in last], sigs[last], [texts[i] for i in after], sigs[after])
+        own, nexts = [texts[i] for i in last], [texts[i] for i in after]
+        edited = edit(own, nexts)
+        sigs = s.sign(pa.array(own + edited + nexts, pa.string())).reshape(3, len(last), -1)
+        done = results([ids[i] for i in last], own, edited, sigs[0], sigs[1], sigs[2])
         yield batch(done, []).select(names)
 
     edges = out.where("edge is not null").select("doc_id", "text", "edge", "part").repartition(1)

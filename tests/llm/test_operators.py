@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,22 +288,32 @@ def test_pruning_keeps_true_pairs():
 
 
 def test_fingerprints(spark, docs, none):
-    rows = [(i, t or "") for i, t, *_ in messy() if i is not None and i != 7]
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r for r in fingerprint.edited_neighbours(d).collect()}
-    order = sorted(rows, key=lambda r: -r[0])
-    prints = {}
+    rows = [r for r in messy() if r[0] != 7 and (r[0] is not None or r[1] == messy()[0][1])]
+    got = {r.doc_id: r for r in fingerprint.edited_neighbours(make(spark, rows).repartition(4)).collect()}
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    s, prints = fingerprint.Sampler(), {}
+    assert len(got) == len(order)
+
+    def plain(text):  # one term after another
+        c = collections.Counter(text.encode().split())
+        if not c:
+            return "0" * 4 * s.k
+        h, n = s.words.array(list(c)), np.array(list(c.values()))
+        best = np.array([s.draw(h[i : i + 1], n[i : i + 1])[0] for i in range(len(h))]).argmin(axis=0)
+        return fingerprint.text_of(s.names(h[best][None], n[best][None])[0])
+
+    share = lambda a, b: sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / s.k
     for k, (i, t) in enumerate(order):
-        nxt = order[(k + 1) % len(order)][1]
+        follows, nxt = order[(k + 1) % len(order)]
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
         r = got[i]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and 0 <= r.near_next <= 1
-        assert prints.setdefault(t, r.fingerprint) == r.fingerprint
-        if edited == t:
-            assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert prints.setdefault(t, r.fingerprint) == r.fingerprint == plain(t) and r.edited_fingerprint == plain(edited)
+        assert r.near_edited == share(r.fingerprint, r.edited_fingerprint) and r.near_next == share(r.fingerprint, got[follows].fingerprint)
     assert got[1].fingerprint == got[2].fingerprint and fingerprint.edited_neighbours(none).count() == 0
     assert fingerprint.edited_neighbours(docs).count() == len(messy())
+    assert {r.fingerprint for r in fingerprint.fingerprints(docs.where("doc_id in (1, 2)")).collect()} == {got[1].fingerprint}
 
 
 def test_collision_rate_is_the_weighted_jaccard():
@@ -313,15 +324,29 @@ def test_collision_rate_is_the_weighted_jaccard():
         b = a[:30] + [rng.choice("klmnopqrstuv") for _ in range(rng.randrange(10, 60))]
         x, y = collections.Counter(a), collections.Counter(b)
         want = sum((x & y).values()) / sum((x | y).values())
-        p, q = s.sign([" ".join(a), " ".join(b)])
+        p, q = s.sign(pa.array([" ".join(a), " ".join(b)]))
         assert abs(fingerprint.likeness(p, q) - want) < 0.07
 
 
-def test_sampler_gives_the_same_after_its_memory_is_cleared(monkeypatch):
-    texts = [" ".join(f"t{j * k}" for j in range(30)) for k in range(1, 20)]
+def test_samples_do_not_depend_on_what_is_held(monkeypatch):
+    texts = pa.array([" ".join(f"t{j * k % 37}" for j in range(30)) for k in range(1, 20)] + ["", " a  a "])
     want = fingerprint.Sampler().sign(texts)
-    monkeypatch.setattr(fingerprint, "CACHE", 40)
-    assert (fingerprint.Sampler().sign(texts) == want).all()
+    monkeypatch.setattr(fingerprint, "HELD", 3)
+    monkeypatch.setattr(fingerprint, "CHUNK", 1)
+    s = fingerprint.Sampler()
+    assert (s.sign(texts) == want).all() and (np.vstack([s.sign(texts[i : i + 1]) for i in range(len(texts))]) == want).all()
+
+
+def test_samples_have_their_distributions():
+    """a is Exp(w); given that, v of a term with weight w is below v of one with weight 1 with probability w / (w + 1)."""
+    s, rng = fingerprint.Sampler(64), np.random.default_rng(1)
+    terms = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    one = s.draw(terms, np.ones(4000, np.int64)) / 2**32
+    assert abs(one.mean() - 0.5) < 0.005 and abs(np.corrcoef(one[:, 0], one[:, 1])[0, 1]) < 0.05
+    for w in (2, 3, 10, 1000):
+        v = s.draw(terms, np.full(4000, w)) / 2**32
+        assert abs(v.mean() - 1 / (w + 1)) < 0.02 / w ** 0.5 and abs((v < np.roll(one, 1, axis=0)).mean() - w / (w + 1)) < 0.01
+        assert (v <= one).all()
 
 
 # 8
@@ -405,6 +430,16 @@ def test_word_encoder_equals_the_tokenizer():
     e = packing.WordEncoder(packing.tokenizer_path())
     rng = random.Random(3)
     letters = list("abcÉß'’.,!?\t \n\r\x0b\x1c\x85\xa0\u2003\u200b\u0338ΣσİıŁ12½日😀<|>")
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 40))) for _ in range(2000)] + ["<|endoftext|> a", "It's we'll  DON'T"]
-    for t, got in zip(texts, e.encode(texts), strict=True):
-        assert got == np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 40))) for _ in range(2000)] + ["<|endoftext|> a", "It's we'll  DON'T", "x" * 41 + " ÀÖß. straße,,, aaaaaaaa", ""]
+    for tail in ((), (7, 8)):
+        ids, n = e.encode(pa.array(texts), tail)
+        for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == [*e.tok.encode(t, add_special_tokens=False).ids, *tail], repr(t)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    e = packing.WordEncoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    assert e.merges is None
+    texts = ["A  b\n c", "", "naïve Words"]
+    ids, n = e.encode(pa.array(texts), (1,))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*e.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(df: DataFrame) -> list:
+    """All columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def partitions(df: DataFrame, each: int = 128 << 20) -> int:
     """Partitions for an exchange of df's rows: the session's number, or more where Catalyst's estimate of df's bytes gives over `each` to a partition."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, quoted, stored, table
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, "mix"
 #: Rows that a slice of a source's key range holds on average: what one window task sorts.
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     text = F.coalesce("text", F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
-    base = docs.select("doc_id", "source", size(F.col("text")).alias("size"), quality(text, size(F.col("text"))).alias("q"), u.alias("u"), *([F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if carry else []))
+    base = docs.select("doc_id", "source", size(F.col("text")).alias("size"), quality(text, size(F.col("text"))).alias("q"), u.alias("u"), *([F.struct(*quoted(docs)).alias("doc")] if carry else []))
     base = base.withColumn("e", -F.ln("u") / F.col("q")).drop("u", "q")
     if not carry:
         base = stored(base, "sized")

@@ -380,8 +380,8 @@ def test_language_scores_match_a_plain_model(spark):
 # 9
 
 
-@pytest.mark.parametrize("fan", [2, 8])
-def test_exact_dedup_matches_brute_force(docs, none, fan):
+@pytest.mark.parametrize("parts, rounds", [(1, 1), (2, 3), (7, 2), (3, None)])
+def test_exact_dedup_matches_brute_force(docs, none, parts, rounds):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = collections.defaultdict(list)
     for i, t, *_ in messy():
@@ -391,13 +391,29 @@ def test_exact_dedup_matches_brute_force(docs, none, fan):
         least = min((i for i in ids if i is not None), default=None)
         for i in ids:
             want[i, least, len(ids), hashlib.sha256(t.encode()).hexdigest()] += 1
-    got = exact_dedup.exact_dedup(docs, fan).collect()
+    got = exact_dedup.exact_dedup(docs.repartition(parts), rounds).collect()
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     kept = [(r.doc_id, r.text_sha256) for r in got if r.kept]
     assert len(kept) == len(groups) == len({k[1] for k in kept}) and all(r.doc_id == r.keep_id for r in got if r.kept)
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_runs_are_merged_evenly_and_in_order(spark):
+    rows = spark.range(8000).select(exact_dedup.text_key((F.col("id") % 4000).cast("string")).alias("key"), F.col("id").alias("doc_id"), F.col("id").alias("row"), F.lit(1).cast("long").alias("n")).repartition(5)
+    sizes = exact_dedup.merge_runs(rows, 3).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.sum("n").alias("all")).collect()
+    assert len(sizes) == 8 and sum(r.n for r in sizes) == 4000 and max(r.n for r in sizes) < 600 and max(r.top for r in sizes) < 4000 and sum(r["all"] for r in sizes) == 8000
+    assert [exact_dedup.rounds_for(n, 200) for n in (0, 1 << 11, 1 << 20, 1 << 30)] == [1, 1, 8, 10]
+    a, b = (exact_dedup.Run(np.array(k, "S48"), np.zeros(3, bool), np.array(i), np.array(i), np.ones(3, int)) for k, i in ((["a", "c", "d"], [5, 1, 2]), (["a", "b", "d"], [4, 7, 3])))
+    m = exact_dedup.merge(a, b)
+    assert m.key.tolist() == [b"a", b"b", b"c", b"d"] and m.doc_id.tolist() == [4, 7, 1, 2] and m.n.tolist() == [2, 1, 1, 2]
+
+
+def test_carried_columns_may_have_any_name(spark):
+    odd = spark.createDataFrame([(1, "a b", "s", 1.5), (2, "a  b", "s", 2.5)], "doc_id long, text string, source string, `a.b``c` double")
+    for rows in (exact_dedup.exact_dedup(odd, carry=True), mixing.mix(odd, carry=True)):
+        assert sorted(tuple(r.doc) for r in rows.collect()) == [(1, "a b", "s", 1.5), (2, "a  b", "s", 2.5)]
+
+
 # 10
 
 

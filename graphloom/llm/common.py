@@ -30,9 +30,18 @@ def partitions(df: DataFrame, each: int = 128 << 20) -> int:
     return n if size >= 1 << 60 else max(n, -(-size // each))  # beyond that, Catalyst has no estimate
 
 
-def doc_key():
-    """A long that identifies a document by its id and text. Rows that repeat both are one document."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def doc_key(seed: int = 0):
+    """A long for a document's id and text. Rows that repeat both are one document; key_seed gives a seed with which no others share a key."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
+def key_seed(docs: DataFrame, tries: int = 8) -> int:
+    """The first seed with which each document of docs (doc_id, text) has a key of its own: a second hash tells documents apart. What travels is two longs a document."""
+    for seed in range(tries):
+        both = docs.select(doc_key(seed).alias("key"), F.xxhash64(F.lit("other"), F.col("text"), F.col("doc_id")).alias("other"))
+        if both.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("z")).where("a < z").isEmpty():
+            return seed
+    raise RuntimeError(f"documents shared a 64-bit key with each of {tries} seeds")
 
 
 class WordHash(dict):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WordHash, doc_key, mix, runs, shingles, stored, table
+from .common import WordHash, doc_key, key_seed, mix, runs, shingles, stored, table
 
 #: Words of a shingle, similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -53,7 +53,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, seed: int = 0) -> DataFrame:
     """key, doc_id, cls (digest of the set of shingles), sig (16 bits of each MinHash value), bands: one row per row of docs."""
 
     def run(batches):
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             bands = [None if n else r for n, r in zip(none, h.astype(np.int64), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(cls, pa.binary()), pa.array([r.tobytes() for r in sigs.astype(np.uint16)], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "doc_id", "cls", "sig", "bands"])
 
-    rows = docs.select(doc_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(doc_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = rows.mapInArrow(run, "key long, doc_id long, cls binary, sig binary, bands array<long>")
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
@@ -110,8 +110,8 @@ def compare(sig: np.ndarray, bands: np.ndarray, band: int, sets: list[np.ndarray
             yield i, js
 
 
-def near_join(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): key, doc_id, class_id, rep_id, n_links, kept.
+def near_join(docs: DataFrame, seed: int | None = None) -> DataFrame:
+    """One row per row of docs (doc_id: a whole number, text): key (doc_key by seed; None: one without collisions), doc_id, class_id, rep_id, n_links, kept.
 
     Similarity is the Jaccard of the sets of word 5-grams (fewer words: the text is one shingle). Documents with the same set
     are one class of copies, with rep_id the smallest doc_id (null last). n_links counts the other documents with similarity
@@ -124,7 +124,8 @@ def near_join(docs: DataFrame) -> DataFrame:
     task compares a bucket, or two tiles of a large one, and returns a count for each member and a spanning forest, never
     pairs, so what leaves a group of near copies is in proportion to its members.
     """
-    t = signatures(docs)
+    seed = key_seed(docs) if seed is None else seed
+    t = signatures(docs, seed)
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     classes = stored(t.groupBy("cls").agg(F.min(order).alias("r"), F.count("*").alias("size")).select("cls", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_id"), "size"), "classes")
     reps = t.join(classes.select(F.col("rep").alias("row"), "size"), "row")
@@ -134,7 +135,8 @@ def near_join(docs: DataFrame) -> DataFrame:
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     at = banded.join(kept.select("bucket", tiles.alias("m")), "bucket").withColumn("tile", F.pmod(F.xxhash64("row"), "m").cast("int"))
     places = at.groupBy("row").agg(F.collect_list(F.struct("bucket", "m", "tile")).alias("places"))
-    texts = docs.select(doc_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    # one text for each key, and one for each partition before they travel: repeated rows are no more to compare
+    texts = docs.select(doc_key(seed).alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     members = places.join(reps.select("row", "key", "sig", "bands", "size"), "row").join(texts, "key")
     members = members.select("row", "sig", "bands", "size", "text", F.explode("places").alias("p")).select("row", "sig", "bands", "size", "text", "p.bucket", "p.m", "p.tile")
     other = F.explode(F.when(F.col("m") > 1, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array("tile")))

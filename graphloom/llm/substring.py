@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WordHash, doc_key, grams, runs, stored, table
+from .common import WordHash, doc_key, grams, key_seed, runs, stored, table
 
 #: Words of a window, and of the gram whose least hash sends a window to its shard.
 WINDOW, GRAM = 20, 5
@@ -142,7 +142,7 @@ def covered(start: int, flags: np.ndarray) -> list[tuple[int, int]]:
 OCCURRENCE = "gram long, digest binary, doc_id long, key long, start int, n int, words binary"
 
 
-def find_repeats(docs: DataFrame, bloom_bytes: int = 32 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, seed: int = 0, bloom_bytes: int = 32 << 20) -> DataFrame:
     """key, a, b: words [a, b) of the document (doc_key) are under windows whose words also start earlier, in a document with a
     smaller doc_id (null last; of one id, the smaller key) or earlier in the same document.
 
@@ -160,7 +160,7 @@ def find_repeats(docs: DataFrame, bloom_bytes: int = 32 << 20) -> DataFrame:
             u, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    rows = docs.select(doc_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(doc_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     often = stored(rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(often, "gram", often.count(), bloom_bytes))
 
@@ -234,11 +234,12 @@ def split(text: str | None) -> list[bytes]:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for every row of docs (doc_id, text). Null text:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for every row of docs (doc_id: a whole number, text). Null text:
     no words. Rows that repeat both doc_id and text are one document, so neither is earlier; they get the same result.
     Texts of fewer than 20 words keep all. No rows: no rows."""
-    spans = find_repeats(docs).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(doc_key().alias("key"), "doc_id", "text").join(spans, "key", "left").select("doc_id", "text", "spans")
+    seed = key_seed(docs)
+    spans = find_repeats(docs, seed).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    rows = docs.select(doc_key(seed).alias("key"), "doc_id", "text").join(spans, "key", "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for b in batches:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import gzip
 import io
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop
 from .common import scratch_path, table
 
 #: Equal payloads of at least so many bytes are stored by one response and revisits.
@@ -25,29 +28,31 @@ def _safe(url: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write path/payloads (digest, bytes, sha1, payload: each different payload once) and path/headers (row, page_id, digest,
-    record_type, header: the exact header block of each record).
+    """Write path/payloads (digest, bytes, sha1, payload: each different payload once) and path/headers (page_id, url, digest,
+    record_type, header: the exact header block of each record; url as it came, since a header line holds it without line ends).
 
     pages: page_id, url, html. Null html: an empty payload; null url: an empty target; null page_id: a record of its own that
     is never referred to while another has an id. Of equal payloads of at least revisit_bytes, the largest page_id is the response (rows that repeat it
-    as well), the others revisit it. Payload bytes travel once per partition at most, since copies are merged before the
+    as well), the others revisit it. A record's id is made of the archive, its page_id and its payload, so the id that a revisit refers to
+    is the response's; rows that repeat page_id and html are the same record and have the same id. Payload bytes travel once per partition at most, since copies are merged before the
     exchange; headers are joined to digests alone, so that a hot payload is a hot key of small rows that AQE may split.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), _safe(F.col("url")).alias("url"), body.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     payloads = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.max("page_id").alias("top"), F.count("*").alias("n"))
     payloads = payloads.select("digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"), "top", "n", "payload")
     payloads.write.parquet(f"{path}/payloads")
     known = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "bytes", "sha1", "top", "n")
-    heads = rows.select("page_id", "url", "digest").withColumn("row", F.monotonically_increasing_id()).join(known, "digest")
+    heads = rows.select("page_id", "url", "digest").join(known, "digest")
+    archive = uuid.uuid4().hex
     again = (F.col("bytes") >= revisit_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     kind = F.when(again, "revisit").otherwise("response")
-    ident = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("row").cast("string"), F.lit(">"))
-    refers = F.when(again, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("top").cast("string"), F.lit(f">\r\nWARC-Profile: {PROFILE}\r\n"))).otherwise("")
-    header = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), ident, F.lit("\r\nWARC-Target-URI: "), F.col("url"), F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"), F.lit("\r\n"), refers,
+    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(":"), F.lower(F.hex("digest")), F.lit(f":{archive}>"))
+    ident, refers = name("page_id"), F.when(again, F.concat(F.lit("WARC-Refers-To: "), name("top"), F.lit(f"\r\nWARC-Profile: {PROFILE}\r\n"))).otherwise("")
+    header = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), ident, F.lit("\r\nWARC-Target-URI: "), _safe(F.col("url")), F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"), F.lit("\r\n"), refers,
                       F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(again, 0).otherwise(F.col("bytes")).cast("string"), F.lit("\r\n\r\n"))
-    heads.select("row", "page_id", "digest", kind.alias("record_type"), header.alias("header")).write.parquet(f"{path}/headers")
+    heads.select("page_id", "url", "digest", kind.alias("record_type"), header.alias("header")).write.parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +64,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
     out = h.join(p, "digest")
     out = out.where(F.assert_true(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest"), F.lit("a header names another digest")).isNull())
-    return out.select("page_id", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.try_to_number(F.nullif(F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1), F.lit("")), F.lit("S9999999999999999999")).cast("long").alias("refers_to"), "header", "digest")
+    return out.select("page_id", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.try_to_number(F.nullif(F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+):", 1), F.lit("")), F.lit("S9999999999999999999")).cast("long").alias("refers_to"), "header", "digest")
 
 
 def records(spark: SparkSession, path: str, resolve: bool = False) -> DataFrame:
@@ -103,6 +108,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
+    atexit.register(drop, spark, path)
     write_archive(table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

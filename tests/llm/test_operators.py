@@ -223,6 +223,12 @@ def test_warc_round_trip(spark, tmp_path):
         want[r.page_id, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", 5 if again else None] += 1
     assert got == want and spark.read.parquet(path + "/payloads").count() == 4
     data = b"".join(bytes(r.record) for r in warc.records(spark, path).collect())
+    lines = data.decode().split("\r\n")
+    ids = [x.split(": ", 1)[1] for x in lines if x.startswith("WARC-Record-ID: ")]
+    referred = [x.split(": ", 1)[1] for x in lines if x.startswith("WARC-Refers-To: ")]
+    responses = {i for i, kind in zip(ids, (x for x in lines if x.startswith("WARC-Type: ")), strict=True) if kind.endswith("response")}
+    assert len(referred) == 3 and set(referred) <= responses and len(set(ids)) == 8  # one row is repeated
+    assert {r.url for r in spark.read.parquet(path + "/headers").collect()} == {r.url for r in pages.collect()}
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.warc").write_bytes(data)
     back = warc.read_warc(spark, str(tmp_path / "f")).collect()
@@ -279,6 +285,21 @@ def test_near_join_matches_brute_force(spark, docs, none, monkeypatch, tile):
     assert near_join.near_join(none).count() == 0
 
 
+def test_repeated_rows_send_one_text(spark):
+    a, b = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(1, 101))
+    got = near_join.near_join(make(spark, [(1, a, "s", "en"), (2, b, "s", "en")] * 60)).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(1, 1, 119), (2, 1, 119)} and sum(r.kept for r in got) == 1
+
+
+def test_keys_that_collide_get_another_seed(spark, monkeypatch):
+    from graphloom.llm import common
+
+    docs = make(spark, [(1, "a", "s", "en"), (1, "a", "s", "en"), (2, "b", "s", "en")])
+    assert common.key_seed(docs) == 0
+    monkeypatch.setattr(common, "doc_key", lambda seed: F.lit(7) if seed < 2 else F.xxhash64("doc_id", "text"))
+    assert common.key_seed(docs) == 2
+
+
 def test_pruning_keeps_true_pairs():
     m = near_join.least_matches()
     assert m == sorted(m) and m[-1] < 0.8 * 128 and m[0] < 10

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, mixing, near_join, packing, toxicity
-from graphloom.llm.common import doc_key, stored, table
+from graphloom.llm.common import doc_key, key_seed, quoted, stored, table
 from graphloom.llm.language_id import held_out
 
 #: Whole columns of docs in one struct, so that no name clashes with a stage's own.
@@ -18,7 +18,7 @@ DOC = "doc"
 
 
 def _whole(docs: DataFrame):
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(DOC)
+    return F.struct(*quoted(docs)).alias(DOC)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of similarity 0.8 or more join, the document with the smallest doc_id."""
-    kept = near_join.near_join(docs.select("doc_id", "text")).where("kept").select("key")
-    return docs.select(doc_key().alias("key"), _whole(docs)).join(kept, "key").dropDuplicates(["key"]).select(f"{DOC}.*")
+    seed = key_seed(docs)
+    kept = near_join.near_join(docs.select("doc_id", "text"), seed).where("kept").select("key")
+    return docs.select(doc_key(seed).alias("key"), _whole(docs)).join(kept, "key").dropDuplicates(["key"]).select(f"{DOC}.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

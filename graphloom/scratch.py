@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -13,9 +14,16 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir; a temporary one, which goes when Python ends, only where that is unset and everything runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or _own.setdefault("dir", tempfile.mkdtemp(prefix="graphloom-"))).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, _own["dir"], True)
+    return _own["dir"]
 
 
 def scratch_path(spark: SparkSession, name: str = "t") -> str:

@@ -11,23 +11,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import WordHash, grams, stored, table
 from .language_id import held_out
 
 #: Word classes: what the first transducer writes.
 OTHER, INSULT, THREAT, LEARNED, TARGET, NEGATION, REPORT = range(7)
 HITS = (INSULT, THREAT, LEARNED)
+#: English, German, French and Spanish.
 LEXICON = {
-    INSULT: "idiot idiots moron morons stupid dumb loser losers scum trash garbage clown clowns pathetic worthless disgusting fool fools imbecile jerk filth vermin parasite coward liar pig",
-    THREAT: "kill killed hurt destroy punch stab shoot murder strangle crush",
+    INSULT: """idiot idiots moron morons stupid dumb loser losers scum trash garbage clown clowns pathetic worthless disgusting fool fools imbecile jerk filth vermin parasite coward liar pig
+        dumm dummkopf trottel depp idiotin abschaum versager widerlich erbärmlich wertlos lügner feigling
+        imbécile stupide crétin crétine abruti ordure minable pathétique dégoûtant salaud débile menteur
+        idiota idiotas estúpido estúpida imbécil basura asqueroso patético perdedor payaso escoria mentiroso cobarde""",
+    THREAT: """kill killed hurt destroy punch stab shoot murder strangle crush
+        töten umbringen verprügeln erschießen erwürgen zerstören tuer frapper massacrer étrangler détruire matar golpear destruir disparar apuñalar""",
     TARGET: "you your yours yourself u ur he she they them him her these those people everyone du dich dir ihr euch sie tu toi vous ton te tú usted ustedes vosotros",
-    NEGATION: "not no never n't isn't aren't wasn't don't doesn't won't cannot can't nobody nicht kein keine nie ne pas jamais nunca jamás",
-    REPORT: "said says say claimed claims wrote writes reported reports called quoted according allegedly sagte behauptete schrieb dit écrit selon dijo escribió según",
+    NEGATION: "not no never n't isn't aren't wasn't don't doesn't won't cannot can't nobody nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás tampoco",
+    REPORT: "said says say claimed claims wrote writes reported reports called quoted according allegedly sagte sagten behauptete behauptet schrieb laut angeblich dit disait écrit selon affirme dijo dice escribió según afirma",
 }
 #: Words that a negation reaches, characters of a learned prefix, and how sure a learned term must be: log-odds over their error, and share of toxic texts.
 REACH, PREFIXES, SURE, SHARE = 3, (4, 5, 6), 2.7, 0.8
-#: The classifier is fitted on at most so many labelled rows, chosen by a hash of doc_id, and learns at most so many terms.
-MAX_FIT, MAX_TERMS = 40_000, 5_000
+#: The classifier is fitted on at most so many labelled rows, chosen by a hash of doc_id.
+MAX_FIT = 40_000
 STRIP = ".,;:!?\"'()[]{}<>|*#%&$_-–—«»“”„’…¡¿"
 ENDS = ".!?;:"
 
@@ -123,9 +129,14 @@ def features(texts: list[str], words: Words, g: Transducer) -> np.ndarray:
     return out
 
 
+#: Patterns of hits that are neither negated nor reported.
+DIRECT = [h * 8 + aimed for h in range(len(HITS)) for aimed in range(2)]
+
+
 def design(x: np.ndarray) -> np.ndarray:
-    """Log counts of the patterns, of all matched clauses, and these by the logarithm of the length; a constant."""
-    hits = x[:, : PATTERNS - 1].sum(axis=1)
+    """Log counts of the patterns; of the clauses with a direct hit, also by the logarithm of the length; a constant. Clauses whose hits
+    are all negated or reported weigh by their own patterns alone."""
+    hits = x[:, DIRECT].sum(axis=1)
     words = np.log1p(x[:, -1])
     return np.column_stack([np.log1p(x[:, :PATTERNS]), np.log1p(hits), hits > 1, np.log1p(hits) * words / 10, np.ones(len(x))])
 
@@ -163,6 +174,10 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, decay: float = 1.0
     return w
 
 
+def hashes(terms: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in terms), np.uint64, len(terms))
+
+
 def terms_of(text: str) -> set[str]:
     ws = {w.strip(STRIP).lower() for w in text.split()}
     ws.discard("")
@@ -175,7 +190,10 @@ def terms_of(text: str) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[frozenset, np.ndarray]:
     """Terms and weights from labelled rows; docs and labels: doc_id and text, toxic. Of the labelled ids at most max_fit are
     used, by a hash; null ids and null labels are not. Texts that share their least shingle count once, so copies don't teach
-    their words. Terms with most evidence join the grammar's lexicon; the patterns' weights follow by logistic regression."""
+    their words. Terms that toxic texts have surely more often (SURE, SHARE) join the grammar's lexicon as words of a class, so they count
+    in its patterns only; these are all terms that pass, each in at least 3 toxic texts and 0.5 % of them, so their number is bounded by that of
+    the words of the fitted rows. The patterns' weights follow by logistic regression. Null and empty texts are texts without terms. With one
+    label only, or none: no terms, and the weights of prior()."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
 
@@ -197,30 +215,30 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[f
     if not pos or not neg:
         return frozenset(), prior()
 
-    def counted(known: frozenset | None):
+    def counted(bits=None):
         def run(batches):
             c = Counter()
             for b in batches:
                 for t in b.column("text").to_pylist():
-                    c.update(terms_of(t) if known is None else terms_of(t) & known)
+                    terms = list(terms_of(t))
+                    h = hashes(terms)
+                    c.update(terms if bits is None else (terms[i] for i in np.flatnonzero(bloom.probe(bits.value, h)).tolist()))
             keys = list(c)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([c[k] for k in keys], pa.int64())], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(hashes(keys).view(np.int64)), pa.array([c[k] for k in keys], pa.int64())], ["term", "h", "n"])
 
         return run
 
-    least = max(3, pos // 200)
-    a = unique.where("toxic = 1").mapInArrow(counted(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    a = {r.term: r.a for r in a.orderBy(F.desc("a"), "term").limit(10 * MAX_TERMS).collect()}
-    known = frozenset(a)
-    b = {r.term: r.n for r in unique.where("toxic = 0").mapInArrow(counted(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    sure = []
-    for term, n in a.items():
-        m = b.get(term, 0)
-        odds = np.log((n + 0.5) / (pos - n + 0.5)) - np.log((m + 0.5) / (neg - m + 0.5))
-        z = odds / np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if z >= SURE and n / (n + m) >= SHARE:
-            sure.append((-z, term))
-    terms = frozenset(t for _, t in sorted(sure)[:MAX_TERMS])
+    # Terms of toxic texts; a Bloom filter of these, of bounded size, spares most terms of the others, and a join is exact.
+    schema, least = "term string, h long, n long", max(3, pos // 200)
+    a = unique.where("toxic = 1").mapInArrow(counted(), schema).groupBy("term").agg(F.sum("n").alias("a"), F.first("h").alias("h")).where(F.col("a") >= least)
+    a = stored(a, "terms")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(a, "h", a.count()))
+    b = unique.where("toxic = 0").mapInArrow(counted(bits), schema).groupBy("term").agg(F.sum("n").alias("b"))
+    half = lambda c: c + F.lit(0.5)
+    n, m = F.col("a"), F.coalesce("b", F.lit(0))
+    odds = F.ln(half(n) / half(pos - n)) - F.ln(half(m) / half(neg - m))
+    sure = (odds / F.sqrt(1 / half(n) + 1 / half(m)) >= SURE) & (n / (n + m) >= SHARE)
+    terms = frozenset(r.term for r in a.join(b, "term", "left").where(sure).select("term").collect())
 
     def measure(batches):
         words, g = Words(terms), grammar()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -165,6 +166,61 @@ def test_toxicity_learns_and_is_whole(spark):
     assert {r.doc_id: r.score >= 0.5 for r in toxicity.score(make(spark, [(1, "you are a stupid idiot", "a", "en"), (2, "they said he is not stupid", "a", "en")]), terms, w).collect()} == {1: True, 2: False}
 
 
+def plain_features(text, terms):
+    """By definition: for each clause, the patterns of its hits and whether a target follows one."""
+    t, kinds = toxicity, {w: k for k, ws in toxicity.LEXICON.items() for w in ws.split()}
+    out, clause, raw = [0] * (t.PATTERNS + 1), [], text.split()
+    out[-1] = len(raw)
+    for j, r in enumerate(raw):
+        w = r.strip(t.STRIP).lower()
+        clause.append(kinds.get(w, t.LEARNED if w in terms or any(len(w) >= n and w[:n] + "*" in terms for n in t.PREFIXES) else t.OTHER))
+        if r[-1] in t.ENDS or j == len(raw) - 1:
+            seen = set()
+            for i, k in enumerate(clause):
+                before = clause[:i]
+                if k in t.HITS:
+                    negated, reported, aimed = t.NEGATION in before[-t.REACH :], t.REPORT in before, t.TARGET in before
+                    seen.add(t.HITS.index(k) * 8 + reported * 4 + negated * 2 + aimed)
+                if k == t.TARGET and any(h in before for h in t.HITS):
+                    seen.add(24)
+            for o in seen:
+                out[o] += 1
+            clause = []
+    return out
+
+
+def test_grammar_matches_its_definition():
+    rng, terms = random.Random(6), frozenset({"zurgan", "bluk*"})
+    pool = ["idiot", "Idiot!", "dumm", "kill", "you", "dich", "not", "nicht", "said", "selon", "zurgan", "blukert", "a", "b.", "c,", "word;", "..", "estúpido", "pas", "matar?"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    x = toxicity.features(texts, toxicity.Words(terms), toxicity.grammar())
+    assert x.tolist() == [plain_features(t, terms) for t in texts]
+
+
+def test_scores_follow_from_the_definition(spark):
+    rng = random.Random(9)
+    pool = ["idiot", "you", "not", "said", "word", "other.", "kill", "trash,", "tu", "crétin"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(i % 40)), "s", "en") for i in range(120)]
+    w, got = toxicity.prior(), None
+    got = {r.doc_id: r.score for r in toxicity.score(make(spark, rows), frozenset(), w).collect()}
+    for i, t, *_ in rows:
+        x = np.array(plain_features(t, ()), float)
+        hits = x[[0, 1, 8, 9, 16, 17]].sum()
+        m = w[:25] @ np.log1p(x[:25]) + w[25] * np.log1p(hits) + w[26] * (hits > 1) + w[27] * np.log1p(hits) * np.log1p(x[-1]) / 10 + w[28]
+        assert abs(got[i] - 1 / (1 + np.exp(-m))) < 1e-9
+
+
+def test_patterns_and_not_words_carry_the_result(spark):
+    """Fitted on the tables: direct insults are toxic in four languages, the same words negated or reported are not."""
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+    terms, w = toxicity.trained(spark, data)
+    direct = ["You are a stupid idiot. You trash.", "Du bist ein Trottel. Ihr seid Abschaum, widerlich.", "Tu es un crétin. Vous êtes minable, ordure.", "Tú eres un imbécil. Usted es escoria y basura."]
+    soft = ["He said you are a stupid idiot. They said trash.", "Er sagte du bist ein Trottel. Laut Bericht ihr seid Abschaum, widerlich.", "Il disait tu es un crétin. Selon lui vous êtes minable, ordure.", "Dijo que tú eres un imbécil. Según él usted es escoria y basura.", "You are not stupid. You are never pathetic.", "Du bist kein Trottel. Ihr seid nicht widerlich."]
+    s = toxicity.score(make(spark, [(i, t, "s", None) for i, t in enumerate(direct + soft)]), terms, w).collect()
+    s = {r.doc_id: r.score for r in s}
+    assert all(s[i] >= 0.5 for i in range(4)) and all(s[i] < 0.5 for i in range(4, len(s))), s
+
+
 # 4
 
 

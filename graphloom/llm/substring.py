@@ -20,31 +20,47 @@ STRIDE = 5
 SHARD, TASK, HOT = 8_000, 64_000, 20_000
 
 
+class Bits:
+    """A bit vector with ranks: a count of 32 bits at each 1024th 64-bit word and one of 16 bits at each word."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.r_[packed, np.zeros(8 + (-len(packed)) % 8, np.uint8)].view(np.uint64)
+        ones = np.cumsum(np.bitwise_count(self.words), dtype=np.int64) - np.bitwise_count(self.words)
+        self.far = ones[::1024].astype(np.uint32)
+        self.near = (ones - np.repeat(self.far, 1024)[: len(ones)]).astype(np.uint16)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before place i."""
+        w = i >> 6
+        return self.far[w >> 10].astype(np.int64) + self.near[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.far.nbytes + self.near.nbytes
+
+
 class WaveletMatrix:
-    """Ranks over a sequence of symbols below 2**levels: one bit vector a level, with a count at each 64-bit word."""
+    """Ranks over a sequence of symbols below 2**levels: one bit vector a level."""
 
     def __init__(self, x: np.ndarray, levels: int):
-        self.n, self.levels = len(x), levels
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels, self.bits, self.zeros = levels, [], []
         x = x.astype(np.int32)
         for level in range(levels - 1, -1, -1):
             b = ((x >> level) & 1).astype(bool)
-            packed = np.packbits(b, bitorder="little")
-            packed = np.r_[packed, np.zeros(8 + (-len(packed)) % 8, np.uint8)].view(np.uint64)
-            ones = np.bitwise_count(packed).astype(np.int64)
-            self.words.append(packed)
-            self.counts.append(np.cumsum(ones) - ones)
-            self.zeros.append(self.n - int(b.sum()))
+            self.bits.append(Bits(b))
+            self.zeros.append(len(x) - int(b.sum()))
             x = np.concatenate([x[~b], x[b]])
 
     def go(self, symbols: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Where place i comes to lie after all levels, on the path of its symbol. Differences on one path are ranks."""
         for level in range(self.levels):
-            w = i >> 6
-            ones = self.counts[level][w] + np.bitwise_count(self.words[level][w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = self.bits[level].rank(i)
             i = np.where((symbols >> (self.levels - 1 - level)) & 1, self.zeros[level] + ones, i - ones)
         return i
 
+    def nbytes(self) -> int:
+        return sum(b.nbytes() for b in self.bits)
+
 
 def ranks(x: np.ndarray) -> tuple[np.ndarray, int]:
     u, inv = np.unique(x, return_inverse=True)
@@ -53,46 +69,73 @@ def ranks(x: np.ndarray) -> tuple[np.ndarray, int]:
 
 class FMIndex:
     """Over text, word numbers from 1 with 0 between segments: suffixes sorted by their first WINDOW words or more, and the gram
-    of STRIDE words before each of them in a wavelet matrix. A step of the search takes a gram, so WINDOW / STRIDE steps find a window."""
+    of STRIDE words before each of them in a wavelet matrix. A step of the search takes a gram, so WINDOW / STRIDE steps find a window.
+
+    What is kept is compressed: the wavelet matrix, with about 1.3 bits for each bit of a symbol, a bit for each suffix that begins an interval of
+    equal windows, and of the suffix array one number for each such interval, its earliest suffix."""
 
-    def __init__(self, text: np.ndarray):
+    @classmethod
+    def build(cls, text: np.ndarray) -> tuple[FMIndex, np.ndarray]:
+        """The index, and the number of the gram at each place of the text, by which its windows are asked."""
+        fm = cls.__new__(cls)
+        return fm, fm._build(text)
+
+    def _build(self, text):
         n = len(text)
-        r, size, h = *ranks(text), 1
-        self.gram = r
-        by = {1: (r, size)}
+        by = {1: ranks(text)}
 
         def ahead(a, k):
             return np.concatenate([a[k:], np.zeros(min(k, n), np.int64)])[:n]
 
-        def joined(a, ka, b):
+        def joined(a, b):
             (x, _), (y, ny) = by[a], by[b]
-            by[a + b] = ranks(x * (ny + 1) + np.where(np.arange(n) + ka < n, ahead(y, ka) + 1, 0))
+            by[a + b] = ranks(x * (ny + 1) + np.where(np.arange(n) + a < n, ahead(y, a) + 1, 0))
 
-        while h < WINDOW:
-            joined(h, h, h)
+        h = 1
+        while 2 * h <= WINDOW:
+            joined(h, h)
             h *= 2
-        joined(4, 4, 1)
-        self.gram, size = by[STRIDE]
-        self.suffixes = np.argsort(by[h][0], kind="stable")
-        before = self.suffixes - STRIDE
-        last = np.where(before >= 0, self.gram[before], size)  # no whole gram before: a symbol of its own
-        self.first = np.searchsorted(self.gram[self.suffixes], np.arange(size + 1))
+        joined(4, 1)
+        joined(16, 4)
+        gram, size = by[STRIDE]
+        suffixes = np.argsort(by[WINDOW][0], kind="stable")
+        before = suffixes - STRIDE
+        last = np.where(before >= 0, gram[before], size)  # no whole gram before: a symbol of its own
+        self.first = np.searchsorted(gram[suffixes], np.arange(size + 1)).astype(np.int32)
         self.tree = WaveletMatrix(last, max(1, int(size).bit_length()))
-        self.base = self.tree.go(np.arange(size), np.zeros(size, np.int64))
-
-    def search(self, at: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the suffixes that begin with the width words at each place; those that shrink to one suffix stop there."""
-        g = self.gram[at + width - STRIDE]
-        lo, hi = self.first[g], self.first[g + 1]
-        for k in range(2, width // STRIDE + 1):
+        self.base = self.tree.go(np.arange(size), np.zeros(size, np.int64)).astype(np.int32)
+        window = by[WINDOW][0][suffixes]
+        starts = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+        several = np.diff(np.r_[starts, n]) > 1
+        mark = np.zeros(n, bool)
+        mark[starts[several]] = True
+        self.heads, self.least = Bits(mark), np.minimum.reduceat(suffixes, starts)[several].astype(np.uint32)
+        return gram
+
+    def search(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the suffixes that begin with the words of each row: the numbers of its grams, the last one first; those that shrink to one suffix stop there."""
+        lo, hi = self.first[grams[:, 0]].astype(np.int64), self.first[grams[:, 0] + 1].astype(np.int64)
+        for k in range(1, grams.shape[1]):
             open_ = np.flatnonzero(hi - lo > 1)
             if not len(open_):
                 break
-            g = self.gram[at[open_] + width - k * STRIDE]
-            both = self.tree.go(np.r_[g, g], np.r_[lo[open_], hi[open_]]) - np.r_[self.base[g], self.base[g]] + np.r_[self.first[g], self.first[g]]
+            g = grams[open_, k]
+            both = self.tree.go(np.r_[g, g], np.r_[lo[open_], hi[open_]]) + np.tile(self.first[g].astype(np.int64) - self.base[g], 2)
             lo[open_], hi[open_] = both[: len(open_)], both[len(open_) :]
         return lo, hi
 
+    def earliest(self, lo: np.ndarray) -> np.ndarray:
+        """Where the earliest window of an interval of several, which begins at lo, stands in the text."""
+        return self.least[self.heads.rank(lo)].astype(np.int64)
+
+    def nbytes(self) -> int:
+        return self.tree.nbytes() + self.heads.nbytes() + self.first.nbytes + self.base.nbytes + self.least.nbytes
+
+
+def windows_of(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For windows at places of a text with these gram numbers, their grams, the last one first."""
+    return np.column_stack([gram[at + WINDOW - k * STRIDE] for k in range(1, WINDOW // STRIDE + 1)])
+
 
 def repeated(segments: list[bytes]) -> list[np.ndarray]:
     """For segments (words joined by a space) in order: which of each one's windows also start earlier in them."""
@@ -104,17 +147,11 @@ def repeated(segments: list[bytes]) -> list[np.ndarray]:
     starts = np.cumsum(lengths + 1) - lengths - 1
     counts = lengths - WINDOW + 1
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    fm = FMIndex(text)
-    lo, hi = fm.search(at)
+    fm, gram = FMIndex.build(text)
+    lo, hi = fm.search(windows_of(gram, at))
     flag = np.zeros(len(at), bool)
     many = np.flatnonzero(hi - lo > 1)
-    if len(many):
-        order = many[np.argsort(lo[many], kind="stable")]
-        l, z = lo[order], hi[order]
-        new = np.r_[True, l[1:] != l[:-1]]
-        pairs = np.column_stack([l[new], z[new]]).ravel()
-        least = np.minimum.reduceat(np.r_[fm.suffixes, len(text)], pairs)[::2]
-        flag[order] = at[order] != least[np.cumsum(new) - 1]
+    flag[many] = at[many] != fm.earliest(lo[many])
     return np.split(flag, np.cumsum(counts)[:-1])
 
 

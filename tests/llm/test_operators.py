@@ -255,12 +255,21 @@ def test_fm_index_intervals():
     rng = np.random.default_rng(0)
     text = np.r_[rng.integers(1, 4, 300), 0, rng.integers(1, 4, 200), 0]
     text[100:140] = text[20:60]
-    fm = substring.FMIndex(text)
+    fm, gram = substring.FMIndex.build(text)
     at = np.array([i for i in range(len(text) - 20) if 0 not in text[i : i + 20]])
-    lo, hi = fm.search(at)
+    lo, hi = fm.search(substring.windows_of(gram, at))
     for i, a, z in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
         same = [j for j in at.tolist() if (text[j : j + 20] == text[i : i + 20]).all()]
-        assert (sorted(fm.suffixes[a:z].tolist()) == same) if len(same) > 1 else z - a <= 1
+        assert (z - a == len(same) and fm.earliest(np.array([a]))[0] == min(same)) if len(same) > 1 else z - a <= 1
+
+
+def test_fm_index_is_compressed():
+    rng = np.random.default_rng(2)
+    text = np.r_[rng.zipf(1.3, 100_000) % 5000 + 1, 0]
+    assert substring.FMIndex.build(text)[0].nbytes() < 12 * len(text)
+    bits = rng.random(200_000) < 0.3
+    at = np.array([0, 1, 63, 64, 65_535, 65_536, 131_072, 199_999, 200_000])
+    assert substring.Bits(bits).rank(at).tolist() == [int(bits[:i].sum()) for i in at]
 
 
 # 5

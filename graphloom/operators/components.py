@@ -29,5 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components still changed after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -88,7 +88,16 @@ def cooccurrence(members: DataFrame, related: DataFrame, least: int = 2) -> Data
 
 
 def interleave(rows: DataFrame, batch: int) -> DataFrame:
-    """Round robin over components of rows (id, component, seq), by turns within a component, cut into batches by the number of the turn and the component: adds turn and batch.
-    Batches are numbered within a turn, so no window spans all rows."""
+    """Round robin over components of rows (id, component, seq), in the order of each one's first seq: adds turn (within the component), place in the
+    interleaved list, and batch, of a fixed number of rows each. The place is what earlier turns hold and the rank within the turn;
+    earlier turns are summed by blocks of turns first, so no window spans all rows."""
+    first = rows.groupBy("component").agg(F.min("seq").alias("_first"))
     turn = F.row_number().over(Window.partitionBy("component").orderBy("seq")) - 1
-    return rows.withColumn("turn", turn).withColumn("batch", F.floor(F.col("turn") / batch))
+    rows = rows.withColumn("turn", turn).join(first, "component")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("turn").orderBy("_first", "component")) - 1)
+    per = rows.groupBy("turn").agg(F.count("*").alias("k")).withColumn("_b", F.floor(F.col("turn") / 4096))
+    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per.groupBy("_b").agg(F.sum("k").alias("k")).select("_b", F.coalesce(F.sum("k").over(ahead("_b")), F.lit(0)).alias("_far"))
+    per = per.withColumn("_near", F.coalesce(F.sum("k").over(ahead("_b", "turn")), F.lit(0))).join(blocks, "_b").select("turn", (F.col("_far") + F.col("_near")).alias("_before"))
+    rows = rows.join(per, "turn").withColumn("place", F.col("_before") + F.col("_r"))
+    return rows.withColumn("batch", F.floor(F.col("place") / batch)).drop("_first", "_r", "_before")

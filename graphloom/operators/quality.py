@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..scratch import stored
 from .components import connected_components
 from .fixpoint import bfs_levels
 
@@ -31,6 +32,7 @@ def entropy(edges: DataFrame) -> DataFrame:
 
 def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of structural health: counts, density (2m / n(n-1)), mean and greatest degree, orphans, components, largest component, score and badge."""
+    edges = stored(edges.select("src", "relation", "dst"), "edges")
     d = degrees(nodes, edges).agg(F.count("*").alias("n"), F.sum("degree").alias("ends"), F.max("degree").alias("max_degree"), F.stddev_pop("degree").alias("degree_stddev"), F.count_if(F.expr("degree = 0")).alias("orphans"))
     sizes = node_components(nodes, edges).groupBy("component").agg(F.count("*").alias("k"))
     c = sizes.agg(F.count("*").alias("components"), F.max("k").alias("largest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,42 +14,45 @@ from .fixpoint import transitive_closure
 KEYS = ["src", "relation", "dst"]
 
 
-def _new(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def _new(rows: DataFrame, edges: DataFrame, relations=None) -> DataFrame:
+    """Rows that edges lack. relations: names that the rows' relations are among, so that only such edges are compared."""
+    if relations is not None:
+        edges = edges.where(F.col("relation").isin(list(relations)))
     return rows.select(*KEYS).distinct().join(edges.select(*KEYS), KEYS, "left_anti")
 
 
 def subsumption(edges: DataFrame) -> DataFrame:
-    return _new(transitive_closure(edges.where("relation = 'subClassOf'")), edges)
+    return _new(transitive_closure(edges.where("relation = 'subClassOf'")), edges, ["subClassOf"])
 
 
 def inheritance(edges: DataFrame) -> DataFrame:
     """x type A, A subClassOf B: x type B."""
     t, s = edges.where("relation = 'type'").alias("t"), edges.where("relation = 'subClassOf'").alias("s")
-    return _new(t.join(s, F.col("t.dst") == F.col("s.src")).select(F.col("t.src").alias("src"), F.lit("type").alias("relation"), F.col("s.dst").alias("dst")), edges)
+    return _new(t.join(s, F.col("t.dst") == F.col("s.src")).select(F.col("t.src").alias("src"), F.lit("type").alias("relation"), F.col("s.dst").alias("dst")), edges, ["type"])
 
 
 def domain_range(edges: DataFrame, axioms: DataFrame) -> DataFrame:
     """s p o: s type each domain of p, o type each range of p. Axioms: axiom_type, entities [property, class]."""
     a = axioms.where("axiom_type in ('domain', 'range')").select("axiom_type", F.get("entities", F.lit(0)).alias("relation"), F.get("entities", F.lit(1)).alias("dst"))
     e = edges.select(F.col("src").alias("s"), "relation", F.col("dst").alias("o")).join(a, "relation")
-    return _new(e.select(F.when(F.col("axiom_type") == "domain", F.col("s")).otherwise(F.col("o")).alias("src"), F.lit("type").alias("relation"), "dst"), edges)
+    return _new(e.select(F.when(F.col("axiom_type") == "domain", F.col("s")).otherwise(F.col("o")).alias("src"), F.lit("type").alias("relation"), "dst"), edges, ["type"])
 
 
 def closure(edges: DataFrame, relations: list[str]) -> DataFrame:
-    return _new(transitive_closure(edges.where(F.col("relation").isin(relations))), edges)
+    return _new(transitive_closure(edges.where(F.col("relation").isin(relations))), edges, relations)
 
 
 def symmetric(edges: DataFrame, relations: list[str], any_relation: bool = False) -> DataFrame:
     """Reverse edges of symmetric relations; with any_relation, only where no edge goes back at all."""
     back = edges.where(F.col("relation").isin(relations)).select(F.col("dst").alias("src"), "relation", F.col("src").alias("dst"))
     keys = ["src", "dst"] if any_relation else KEYS
-    return back.select(*KEYS).distinct().join(edges.select(*keys).distinct(), keys, "left_anti")
+    return back.select(*KEYS).distinct().join((edges if any_relation else edges.where(F.col("relation").isin(relations))).select(*keys).distinct(), keys, "left_anti")
 
 
 def inverse(edges: DataFrame, axioms: DataFrame) -> DataFrame:
     a = axioms.where("axiom_type = 'inverse'").select(F.get("entities", F.lit(0)).alias("p"), F.get("entities", F.lit(1)).alias("q"))
     both = a.unionByName(a.select(F.col("q").alias("p"), F.col("p").alias("q")))
-    return _new(edges.join(both, F.col("relation") == F.col("p")).select(F.col("dst").alias("src"), F.col("q").alias("relation"), F.col("src").alias("dst")), edges)
+    return _new(edges.join(both, F.col("relation") == F.col("p")).select(F.col("dst").alias("src"), F.col("q").alias("relation"), F.col("src").alias("dst")), edges.join(F.broadcast(both.select(F.col("q").alias("relation")).distinct()), "relation", "left_semi"))
 
 
 def disjointness(edges: DataFrame, axioms: DataFrame) -> DataFrame:
@@ -66,14 +71,28 @@ def axiom_relations(axioms: DataFrame) -> DataFrame:
 
 def relation_properties(edges: DataFrame, open_chains: int = 3, back_share: float = 0.7) -> DataFrame:
     """(relation, open_chains, n, backs, transitive, symmetric) of relations with two edges or more: transitive with more than
-    open_chains chains a, b, c (a not c) without a to c; symmetric if more than back_share of the edges have a reverse. Edges
-    from or to a hub are joined by key, so that a chain count is an aggregation and no chain leaves its task as a row more than once."""
-    e = edges.select(*KEYS).distinct()
-    chains = e.select("relation", F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select("relation", F.col("src").alias("b"), F.col("dst").alias("c")), ["relation", "b"]).where("a != c")
-    open_ = chains.join(e.select("relation", F.col("src").alias("a"), F.col("dst").alias("c")), ["relation", "a", "c"], "left_anti").groupBy("relation").agg(F.count("*").alias("open_chains"))
+    open_chains chains a, b, c (a not c) without a to c; symmetric if more than back_share of the edges have a reverse.
+
+    Open chains are counted, not listed: all chains, by products of in- and out-degrees, less those that turn back, less closed ones.
+    Closed ones are triangles, found from each one's node of the lowest degree, so a hub's edges never meet each other."""
+    e = stored(edges.select(*KEYS).distinct(), "relations")
     back = e.select("relation", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back"))
-    n = e.join(back, KEYS, "left").groupBy("relation").agg(F.count("*").alias("n"), F.count("back").alias("backs")).where("n >= 2")
-    out = n.join(open_, "relation", "left").withColumn("open_chains", F.coalesce("open_chains", F.lit(0)))
+    n = e.join(back, KEYS, "left").groupBy("relation").agg(F.count("*").alias("n"), F.count("back").alias("backs"), F.count_if(F.expr("back is not null and src != dst")).alias("turns")).where("n >= 2")
+    e = e.where("src != dst")  # a loop only makes closed chains
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).cast("long").alias("o"), F.lit(0).cast("long").alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).cast("long").alias("o"), F.lit(1).cast("long").alias("i"))))
+    chains = e.select("relation", ends.alias("x")).groupBy("relation", "x.id").agg(F.sum("x.o").alias("o"), F.sum("x.i").alias("i")).groupBy("relation").agg(F.sum(F.col("o") * F.col("i")).alias("chains"))
+    pair = e.groupBy("relation", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("up"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("down"))
+    pair = stored(pair, "pairs")
+    deg = pair.select("relation", F.explode(F.array("x", "y")).alias("id")).groupBy("relation", "id").agg(F.count("*").alias("k"))
+    full = pair.join(deg.select("relation", F.col("id").alias("x"), F.col("k").alias("kx")), ["relation", "x"]).join(deg.select("relation", F.col("id").alias("y"), F.col("k").alias("ky")), ["relation", "y"])
+    low = F.expr("struct(kx, x) < struct(ky, y)")
+    oriented = full.select("relation", F.when(low, F.col("x")).otherwise(F.col("y")).alias("l"), F.when(low, F.col("y")).otherwise(F.col("x")).alias("h"), F.when(low, F.col("up")).otherwise(F.col("down")).alias("lh"), F.when(low, F.col("down")).otherwise(F.col("up")).alias("hl"))
+    a = oriented.select("relation", "l", F.col("h").alias("x"), F.col("lh").alias("lx"), F.col("hl").alias("xl"))
+    b = oriented.select("relation", "l", F.col("h").alias("y"), F.col("lh").alias("ly"), F.col("hl").alias("yl"))
+    tri = a.join(b, ["relation", "l"]).where("x < y").join(pair, ["relation", "x", "y"])
+    closed = tri.select("relation", F.expr("lx * up * ly + ly * down * lx + xl * ly * up + up * yl * xl + yl * lx * down + down * xl * yl").alias("c")).groupBy("relation").agg(F.sum("c").alias("closed"))
+    out = n.join(chains, "relation", "left").join(closed, "relation", "left")
+    out = out.withColumn("open_chains", (F.coalesce("chains", F.lit(0)) - F.col("turns") - F.coalesce("closed", F.lit(0))).cast("long"))
     return out.select("relation", "open_chains", "n", "backs", (F.col("open_chains") > open_chains).alias("transitive"), (F.col("backs") > back_share * F.col("n")).alias("symmetric"))
 
 
@@ -116,7 +135,7 @@ def infer(edges: DataFrame, axioms: DataFrame, subject: str = "", detect: bool =
         parts = []
         if due(closed, "transitive_closure", "transitive_subsumption"):
             rule = F.when(F.col("relation") == "subClassOf", "transitive_subsumption").otherwise("transitive_closure")
-            parts.append(stored(_new(transitive_closure(every.where(F.col("relation").isin(closed))), every).withColumn("rule", rule), "closed"))
+            parts.append(stored(_new(transitive_closure(every.where(F.col("relation").isin(closed))), every, closed).withColumn("rule", rule), "closed"))
             every = every.unionByName(parts[0].select(*KEYS))
         rules = [("inheritance", inheritance, due(["type", "subClassOf"])), ("domain_range", lambda e: domain_range(e, axioms), due([*kinds["domain"], *kinds["range"]])), ("symmetric_closure", lambda e: symmetric(e, sym), due(sym, "symmetric_closure")), ("inverse_propagation", lambda e: inverse(e, axioms), due(kinds["inverse"]))]
         found = None
@@ -135,4 +154,6 @@ def infer(edges: DataFrame, axioms: DataFrame, subject: str = "", detect: bool =
         added = {(r.rule, r.relation) for r in new.select("rule", "relation").distinct().collect()}
         if not added:
             break
+    else:
+        warnings.warn(f"inference ended after {max_rounds} rounds, before its fixpoint", RuntimeWarning, stacklevel=2)
     return trace

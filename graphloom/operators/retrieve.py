@@ -79,6 +79,15 @@ def _nearest(vectors: DataFrame, sent, k: int) -> DataFrame:
         import pyarrow as pa
 
         ids, q = sent.value
+        held = []  # of this task: positions of queries, vectors, scores
+
+        def best(held):
+            i, v, s = map(np.concatenate, zip(*held, strict=True))
+            order = np.lexsort((v, -s, i))
+            i, v, s = i[order], v[order], s[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            return i[top], v[top], s[top]
+
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
@@ -94,7 +103,12 @@ def _nearest(vectors: DataFrame, sent, k: int) -> DataFrame:
                 i, j = i[order], j[order]
                 top = np.arange(len(i)) - np.searchsorted(i, i) < n
                 i, j = i[top], j[top]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(v[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
+                held.append((at + i, v[j], s[i, j]))
+            if sum(len(h[0]) for h in held) > 4 * k * len(ids):
+                held = [best(held)]
+        if held:
+            i, v, s = best(held)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
     near = vectors.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

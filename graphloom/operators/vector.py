@@ -7,14 +7,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..scratch import stored
 from .components import connected_components
 from .quality import node_components
-from .retrieve import TILE, blocks, cosine, dot, top_k
+from .retrieve import TILE, blocks, dot, top_k
 
 DIMENSIONS = 64
 
@@ -75,10 +75,10 @@ def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP, ma
 
 def similar_pairs(vectors: DataFrame, threshold: float, max_left: int = 10_000, most: int = 64) -> DataFrame:
     """(a, b, score) with cosine of threshold or more. The left side is asked in blocks of max_left vectors, each sent to all tasks
-    as one matrix: a stated query set against all rows. After most blocks, what they found is written."""
+    as one matrix: a stated query set against all rows. Null vectors are like nothing; no vectors: no pairs. After most blocks, what they found is written."""
     import pyarrow as pa
 
-    vectors, found, kept, sents = stored(vectors.select("vec_id", "vector"), "vectors"), [], [], []
+    vectors, found, kept, sents = stored(vectors.select("vec_id", "vector").where("vector is not null"), "vectors"), [], [], []
     for names, q in blocks(vectors, max_left):
         sent = vectors.sparkSession.sparkContext.broadcast((names, q))
 
@@ -86,7 +86,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, max_left: int = 10_000,
             names, q = sent.value
             step = max(1, TILE // len(names))
             for b in batches:
-                for at in range(0, b.num_rows, step):
+                for at in range(0, b.num_rows, step):  # none for an empty batch
                     t = b.slice(at, step)
                     v, x = t.column(0).to_numpy(), np.array(t.column(1).to_pylist(), np.float64)
                     s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)) @ q.T
@@ -168,11 +168,3 @@ def bridge_components(nodes: DataFrame, edges: DataFrame, threshold: float | Non
     ends = out.join(way, "query_id", "left").withColumn("score", F.coalesce("mean", "score"))
     steps = F.when(F.col("way").isNull(), F.array(F.struct("src", "dst"))).otherwise(F.array(F.struct("src", F.col("way").alias("dst")), F.struct(F.col("way").alias("src"), "dst")))
     return ends.select(F.explode(steps).alias("e"), "score").groupBy("e.src", "e.dst").agg(F.max("score").alias("score")).select("src", F.lit("related_to").alias("relation"), "dst", "score")
-
-
-def similarity(a: str, b: str):
-    return cosine(F.col(a), F.col(b))
-
-
-def rank_by(rows: DataFrame, key: str, score: str, k: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score)))).where(F.col("rank") <= k)

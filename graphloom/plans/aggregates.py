@@ -102,7 +102,7 @@ def w5(spark, d):
     return extract.first_by_name(table(spark, d, "part").select(F.col("p_name").alias("id"), F.col("p_partkey").alias("seq"))).select("key", "id")
 
 
-@query("w6_interleave", "SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS turn, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 4 AS batch FROM customer")
+@query("w6_interleave", "SELECT id, turn, (row_number() OVER (ORDER BY turn, f) - 1) // 4 AS batch FROM (SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS turn, min(c_custkey) OVER (PARTITION BY c_nationkey) AS f FROM customer)")
 def w6(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("component"), F.col("c_custkey").alias("seq"))
     return merge.interleave(c, 4).select("id", "turn", "batch")

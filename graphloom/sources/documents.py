@@ -36,8 +36,10 @@ def pdf_text(data: bytes) -> str:
 
 def docx_text(data: bytes) -> str:
     """Paragraphs of a .docx, one a line."""
-    xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8")
-    return "\n".join("".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", p)) for p in re.findall(r"<w:p[ >].*?</w:p>", xml, re.S))
+    import xml.etree.ElementTree as ET
+
+    root, w = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")), "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    return "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
 
 
 PARSERS = {"pdf": pdf_text, "docx": docx_text, "txt": lambda b: b.decode("utf-8", "replace"), "md": lambda b: b.decode("utf-8", "replace")}

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("nodes", "edges", "axioms", "data_props")
-META = "kb_id string, name string, description string, language string, documents array<string>, created_at timestamp"
+META = "kb_id string, name string, description string, language string, documents array<string>, created_at timestamp, tables string"
 
 
 class Catalog:
-    """Knowledge bases under one root. Writes go to a new version folder and are then named by a pointer row, so a reader sees whole versions."""
+    """Knowledge bases under one root. A write makes new folders and at last one marker file, whose name is the version's; readers follow
+    the last marker, so they see whole versions, and a write that dies leaves the version before it in place. The version before the
+    current one stays for its readers; older ones are deleted."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -19,44 +23,75 @@ class Catalog:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def versions(self, kb_id: str) -> list[str]:
+        """Names of the complete versions, the current one last."""
+        return [n for n in self._names(f"{self.root}/{kb_id}/current") if not n.startswith(".")]
+
     def exists(self, kb_id: str) -> bool:
-        fs, p = self._fs(f"{self.root}/{kb_id}/nodes")
-        return fs.exists(p)
+        return bool(self.versions(kb_id))
+
+    def _publish(self, kb_id: str, row: dict, tables: dict[str, DataFrame] | None = None) -> None:
+        old = self.versions(kb_id)
+        name = f"{int(old[-1].split('.')[0]) + 1 if old else 1:08d}.{uuid.uuid4().hex}"
+        base = f"{self.root}/{kb_id}"
+        if tables is not None:
+            row = {**row, "tables": name}
+            for t in TABLES:
+                df = tables[t]
+                df.select(*(c for c, k in df.dtypes if k not in ("array<float>", "array<double>"))).write.parquet(f"{base}/tables/{name}/{t}")
+        meta = self.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in META.split(", "))], META)
+        meta.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())).coalesce(1).write.parquet(f"{base}/meta/{name}")
+        fs, mark = self._fs(f"{base}/current/{name}")
+        fs.create(mark, False).close()
+        keep = self.versions(kb_id)[-2:]
+        used = {r.tables for r in self.spark.read.schema(META).parquet(*(f"{base}/meta/{k}" for k in keep)).collect()}
+        for kind, kept in (("current", set(keep)), ("meta", set(keep)), ("tables", used)):
+            for n in self._names(f"{base}/{kind}"):
+                if n.split(".")[0] < keep[0].split(".")[0] and n not in kept:
+                    fs.delete(self._fs(f"{base}/{kind}/{n}")[1], True)
 
     def save(self, kb_id: str, tables: dict[str, DataFrame], name: str | None = None, description: str | None = None, language: str = "en", documents: list[str] = (), merge: bool = False) -> None:
         """Write the tables without vectors and upsert the metadata: created_at stays; documents are added when merging, else replaced; so is the language."""
         old = self.metadata(kb_id) if self.exists(kb_id) else None
-        for t in TABLES:
-            df = tables[t]
-            df.select(*(c for c, k in df.dtypes if k not in ("array<float>", "array<double>"))).write.mode("overwrite").parquet(f"{self.root}/{kb_id}/{t}")
         docs = list(dict.fromkeys([*(old.documents if old and merge else []), *documents]))
-        lang = old.language if old and merge else language
-        row = [(kb_id, name or (old.name if old else kb_id), description if description is not None else (old.description if old else None), lang, docs, old.created_at if old else None)]
-        meta = self.spark.createDataFrame(row, META).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-        meta.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{kb_id}/meta")
+        row = {"kb_id": kb_id, "name": name or (old.name if old else kb_id), "description": description if description is not None else (old.description if old else None)}
+        self._publish(kb_id, {**row, "language": old.language if old and merge else language, "documents": docs, "created_at": old.created_at if old else None}, tables)
 
     def load(self, kb_id: str) -> dict[str, DataFrame]:
-        if not self.exists(kb_id):
-            raise FileNotFoundError(kb_id)
-        return {t: self.spark.read.parquet(f"{self.root}/{kb_id}/{t}") for t in TABLES}
+        at = self.metadata(kb_id).tables
+        return {t: self.spark.read.parquet(f"{self.root}/{kb_id}/tables/{at}/{t}") for t in TABLES}
 
     def metadata(self, kb_id: str):
         if not self.exists(kb_id):
             raise FileNotFoundError(kb_id)
-        return self.spark.read.schema(META).parquet(f"{self.root}/{kb_id}/meta").first()
+        return self.spark.read.schema(META).parquet(f"{self.root}/{kb_id}/meta/{self.versions(kb_id)[-1]}").first()
 
     def update(self, kb_id: str, **fields) -> None:
-        """Set name, description or language."""
+        """Set name, description or language: a new version of the metadata over the same tables."""
         old = self.metadata(kb_id).asDict()
-        row = {**old, **{k: v for k, v in fields.items() if k in ("name", "description", "language") and v is not None}}
-        self.spark.createDataFrame([tuple(row[c] for c in old)], META).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{kb_id}/meta")
+        self._publish(kb_id, {**old, **{k: v for k, v in fields.items() if k in ("name", "description", "language") and v is not None}})
 
     def list(self) -> DataFrame:
         """Metadata of all knowledge bases, the newest first; names and languages have defaults."""
-        fs, p = self._fs(self.root)
-        found = [f"{self.root}/{s.getPath().getName()}/meta" for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+        found = [f"{self.root}/{k}/meta/{v[-1]}" for k in self._names(self.root) if (v := self.versions(k))]
         df = self.spark.read.schema(META).parquet(*found) if found else self.spark.createDataFrame([], META)
-        return df.withColumn("name", F.coalesce("name", "kb_id")).withColumn("language", F.coalesce("language", F.lit("en"))).orderBy(F.desc("created_at"))
+        return df.drop("tables").withColumn("name", F.coalesce("name", "kb_id")).withColumn("language", F.coalesce("language", F.lit("en"))).orderBy(F.desc("created_at"))
+
+    def save_health(self, kb_id: str, health: DataFrame) -> None:
+        """Keep a health report of a knowledge base, with its id in each row."""
+        health.withColumn("kb_id", F.lit(kb_id)).write.mode("overwrite").parquet(f"{self.root}/{kb_id}/health")
+
+    def load_health(self, kb_id: str) -> DataFrame | None:
+        """The report that was kept for this knowledge base; None if there is none or it is another's."""
+        fs, p = self._fs(f"{self.root}/{kb_id}/health/_SUCCESS")
+        if not fs.exists(p):
+            return None
+        got = self.spark.read.parquet(f"{self.root}/{kb_id}/health").where(F.col("kb_id") == kb_id)
+        return None if got.isEmpty() else got
 
     def delete(self, kb_id: str) -> None:
         fs, p = self._fs(f"{self.root}/{kb_id}")

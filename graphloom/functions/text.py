@@ -308,3 +308,36 @@ def html_text(html: Text, most: int | None = None) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\s*\n\s*\n\s*", "\n\n")
     s = F.btrim(F.regexp_replace(s, r"\n{3,}", "\n\n"), F.lit(" \n\t\r"))
     return s if most is None else F.substring(s, 1, most)
+
+
+def fit_budget(chunk: Text, prompt_tokens: Column, budget: int, mark: str = "\n[truncated]") -> Column:
+    """The chunk, cut so that it fits a budget of tokens beside a prompt, with a margin of 100 characters; 200 characters stay at least. No budget: the chunk."""
+    c = col(chunk)
+    over = (prompt_tokens + estimate_tokens(c) - budget) * 4 + 100
+    keep = F.greatest(F.lit(200), F.length(c) - over)
+    return c if budget <= 0 else F.when(prompt_tokens + estimate_tokens(c) <= budget, c).otherwise(F.concat(F.substr(c, F.lit(1), keep.cast("int")), F.lit(mark)))
+
+
+def link_content(url: Text, html: Text, sites: list[str]) -> Column:
+    """struct(kind, content) of a link: a placeholder that names the url for sites that give no text, the size of a .pdf, else the page's text."""
+    u = col(url)
+    known = F.coalesce(F.exists(F.array(*map(F.lit, sites)), lambda s: F.contains(u, s)), F.lit(False)) if sites else F.lit(False)
+    pdf = F.coalesce(F.endswith(F.lower(u), F.lit(".pdf")), F.lit(False))
+    made = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("content"))
+    return F.when(known, made("reference", F.concat(F.lit("reference: "), u))).when(pdf, made("pdf", F.concat(F.lit("pdf: "), F.octet_length(F.coalesce(col(html), F.lit(""))).cast("string"), F.lit(" bytes")))).otherwise(made("page", html_text(html)))
+
+
+def repaired_json(reply: Text) -> Column:
+    """A model's reply as JSON text, mended where it can be; null otherwise."""
+    import json
+
+    import pandas as pd
+
+    from ..operators.extract import repair_json
+
+    def mend(s: pd.Series) -> pd.Series:
+        got = (repair_json(x or "") for x in s)
+        return pd.Series([None if g is None else json.dumps(g) for g in got], dtype=object)
+
+    mend.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(mend, "string")(col(reply))

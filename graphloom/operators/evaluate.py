@@ -11,6 +11,24 @@ def means(rows: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics), F.avg((F.col("facts") > 0).cast("double")).alias("coverage"), F.count_if(F.col("facts") <= 0).alias("failures"))
 
 
+def fact_recall(rows: DataFrame, key: str) -> DataFrame:
+    """For each key of rows (found, total): facts found among all facts asked for, over all rows together; a row without facts counts as one."""
+    return rows.groupBy(key).agg((F.sum("found") / F.sum(F.greatest("total", F.lit(1)))).alias("fact_recall"))
+
+
+def kb_list(rows: DataFrame, key: str, seq: list[str], recent: int) -> DataFrame:
+    """(key, last, place): the recent keys used last, the latest first, then all others by name."""
+    last = rows.groupBy(key).agg(F.max(F.struct(*seq)).alias("_l"))
+    top = last.orderBy(F.desc("_l"), key).limit(recent).withColumn("_t", F.lit(1))
+    out = last.join(F.broadcast(top.select(key, "_t")), key, "left")
+    return out.select(key, F.col("_l")[seq[0]].alias("last"), F.col("_t").isNotNull().alias("recent")).orderBy(F.desc("recent"), F.when(F.col("recent"), F.col("last")).desc(), key)
+
+
+def best_and_worst(rows: DataFrame, key: str, metric: str) -> DataFrame:
+    """One row: best and worst key by a metric, ties by name."""
+    return rows.agg(F.min_by(key, F.struct(-F.col(metric), key)).alias("best"), F.min_by(key, F.struct(F.col(metric), key)).alias("worst"))
+
+
 def trend(rows: DataFrame, key: str, order: list[str], metric: str, drop: float = -0.05) -> DataFrame:
     """rows with delta to the previous run of the key and whether it is a regression."""
     delta = F.col(metric) - F.lag(metric).over(Window.partitionBy(key).orderBy(*order))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -154,22 +155,67 @@ def repair_json(raw: str):
     return None
 
 
-def complete(items: DataFrame, model: Callable[[str], str] | None = None, attempts: int = 3) -> DataFrame:
-    """items (seq, prompt) with reply: a pluggable model, asked again on failure; an item that fails gets an empty reply. The default model echoes the prompt's last line."""
+#: Errors after which asking again can't help.
+FATAL = ("context size", "context length")
+
+
+def complete(items: DataFrame, model: Callable[[str], str] | None = None, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+    """items (seq, prompt) with reply and error: a pluggable model, asked again on failure after wait, 2 wait, 4 wait ... seconds, 8 at most, but not
+    when the prompt is too long for it; an item that fails gets an empty reply and its error. The default model echoes the prompt's last line."""
     model = model or (lambda p: p.strip().splitlines()[-1] if p.strip() else "")
 
     def run(batches):
         for b in batches:
-            replies = []
+            replies, errors = [], []
             for p in b["prompt"]:
-                reply = ""
-                for _ in range(attempts):
+                reply, why = "", None
+                for i in range(attempts):
                     try:
-                        reply = model(p or "")
+                        reply, why = model(p or ""), None
                         break
-                    except Exception:
-                        continue
+                    except Exception as e:  # any failure of a model
+                        why = str(e)[:500]
+                        if any(f in why.lower() for f in FATAL):
+                            break
+                        if i + 1 < attempts:
+                            time.sleep(min(8.0, wait * 2**i))
                 replies.append(reply)
-            yield b.assign(reply=replies)[["seq", "prompt", "reply"]]
+                errors.append(why)
+            yield b.assign(reply=replies, error=errors)[["seq", "prompt", "reply", "error"]]
+
+    return items.select("seq", "prompt").mapInPandas(run, "seq long, prompt string, reply string, error string")
+
+
+def ordered_distinct(rows: DataFrame, key: str, value: str, seq: str, out: str) -> DataFrame:
+    """key and out: the different values of each key in the order in which they came first."""
+    first = rows.groupBy(key, value).agg(F.min(seq).alias("_f"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", value))), lambda s: s[value]).alias(out))
+
+
+def concatenated(parts: dict[str, DataFrame], tag: str) -> DataFrame:
+    """The rows of all parts, each with the name of its part."""
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn(tag, F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def ranked_pages(pages: DataFrame, most: int) -> DataFrame:
+    """The first pages (page_id, fidelity, content_score) by their score, ties by id: half fidelity and half the score of the content, where there is one; else fidelity."""
+    score = F.coalesce(0.5 * F.col("fidelity") + 0.5 * F.col("content_score"), F.col("fidelity"))
+    return pages.withColumn("score", score).orderBy(F.desc("score"), "page_id").limit(most)
+
+
+def flattened(blocks: DataFrame) -> DataFrame:
+    """(subject, key, value, full) of factual blocks (subject, attributes array<struct<relation,target,key,value,full>>): where key, value or full
+    lacks, it follows from the subject, relation and target."""
+    a = blocks.select("subject", F.inline("attributes"))
+    a = a.withColumn("key", F.coalesce("key", F.concat_ws(" ", "subject", "relation"))).withColumn("value", F.coalesce("value", "target", F.lit("")))
+    return a.select("subject", "key", "value", F.coalesce("full", F.concat("key", F.lit(": "), "value")).alias("full"))
+
 
-    return items.select("seq", "prompt").mapInPandas(run, "seq long, prompt string, reply string")
+def legacy_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, name, kind, target): entities with their type, and relations, of which parents are subClassOf."""
+    n = nodes.select(F.lit("entity").alias("what"), F.col("id").alias("name"), F.when(F.col("kind") == "class", "Class").otherwise(F.col("type")).alias("kind"), F.lit(None).cast("string").alias("target"))
+    return n.unionByName(edges.select(F.lit("relation").alias("what"), F.col("src").alias("name"), F.col("relation").alias("kind"), F.col("dst").alias("target")))

@@ -111,6 +111,25 @@ def hub_ranks(edges: DataFrame, threshold: int = fixed.HUB_DEGREE) -> DataFrame:
     return e.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("rank"))
 
 
+def session_edges(rows: DataFrame) -> DataFrame:
+    """(session, src, relation, dst, n): relations of each session in lower case, once each, with how often they came."""
+    low = [F.lower(c).alias(c) for c in KEYS]
+    return rows.select("session", *low).groupBy("session", *KEYS).agg(F.count("*").alias("n"))
+
+
+def profiles(nodes: DataFrame, edges: DataFrame, data_props: DataFrame, shared: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """(id, profile): candidates() as text; with shared (a, b, shared), also the entities that come together with it most often."""
+    c = candidates(nodes, edges, data_props)
+    parts = [F.concat(F.lit("parent: "), "parent"), *(F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in ("children", "relations", "properties"))]
+    if shared is not None:
+        both = shared.select(F.col("a").alias("id"), F.col("b").alias("other"), "shared").unionByName(shared.select(F.col("b").alias("id"), F.col("a").alias("other"), "shared"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))
+        top = both.withColumn("r", rank).where(F.col("r") <= most).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x.other), ", ").alias("together"))
+        c = c.join(top, "id", "left")
+        parts.append(F.concat(F.lit("with: "), "together"))
+    return c.select("id", F.concat_ws("; ", *parts).alias("profile"))
+
+
 def session_nodes(rows: DataFrame) -> DataFrame:
     """Concepts of each session in lower case, with how often they came."""
     return rows.groupBy("session", F.lower("concept").alias("node")).agg(F.count("*").alias("k"))

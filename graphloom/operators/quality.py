@@ -133,6 +133,17 @@ def consistency(edges: DataFrame, axioms: DataFrame) -> DataFrame:
     return tag(pairs.join(either, ["a", "b"], "left_semi"), "disjoint_subclass", "critical").unionByName(tag(ends.where("a != b").join(back, ["a", "b"], "left_semi"), "two_way_subclass", "critical")).unionByName(tag(shared, "shared_parent", "warning")).unionByName(tag(two, "asymmetric_both_ways", "warning"))
 
 
+def ontology_metrics(predicted: DataFrame, reference: DataFrame, nodes: int, edges: int) -> DataFrame:
+    """One row: f1 of classes, instances and relations (by rows (kind, key), keys of relations in lower case), their mean as overall, and the average degree; rounded to four and three places."""
+    f1 = {}
+    for k in ("class", "instance", "relation"):
+        key = F.lower("key") if k == "relation" else F.col("key")
+        f1[k] = set_metrics(*(t.where(F.col("kind") == k).select(key.alias("key")) for t in (predicted, reference))).select(F.col("f1").alias(k))
+    out = f1["class"].join(f1["instance"]).join(f1["relation"])
+    mean = (F.col("class") + F.col("instance") + F.col("relation")) / 3
+    return out.select(*(F.round(k, 4).alias(f"{k}_f1") for k in f1), F.round(mean, 4).alias("overall"), F.lit(round(2 * edges / nodes, 3) if nodes else 0.0).alias("average_degree"))
+
+
 def set_metrics(predicted: DataFrame, reference: DataFrame, key: str = "key") -> DataFrame:
     """One row: tp, precision, recall, f1 of two sets; both empty 1, one empty 0."""
     p, r = predicted.select(key).distinct().withColumn("p", F.lit(1)), reference.select(key).distinct().withColumn("r", F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..scratch import stored
+from .quality import degrees, node_components
 from .reason import KEYS, infer
 from .vector import bridge_components, link_orphans
 
@@ -37,6 +38,22 @@ def repair(nodes: DataFrame, edges: DataFrame, axioms: DataFrame, root: str = "D
     return added
 
 
+def repair_incremental(nodes: DataFrame, edges: DataFrame, root: str = "DomainRoot") -> DataFrame:
+    """(src, relation, dst, step): what a merge needs at once: the root above classes without edges, and links of orphans."""
+    new = add_root(nodes, edges, root).withColumn("step", F.lit("root"))
+    links = link_orphans(nodes.where(F.col("kind") != "class"), edges).select(*KEYS).withColumn("step", F.lit("orphans"))
+    return new.unionByName(links)
+
+
+def component_pairs(nodes: DataFrame, edges: DataFrame, most: int = 30) -> DataFrame:
+    """(src, dst): representatives of smaller components, each with the largest one's, the largest components first. A component's
+    representative is its node with most edges, ties by seq."""
+    comp = stored(node_components(nodes, edges).join(degrees(nodes, edges), "id").join(nodes.select("id", "seq"), "id"), "components")
+    rep = comp.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("degree")).alias("d"), "seq", "id")).alias("r")).select("component", "n", "r.id", "r.seq")
+    big = rep.orderBy(F.desc("n"), "component").limit(1).select(F.col("component").alias("_c"), F.col("id").alias("dst"))
+    return rep.join(F.broadcast(big)).where("component != _c").orderBy(F.desc("n"), "component").limit(most).select(F.col("id").alias("src"), "dst")
+
+
 def gaps(nodes: DataFrame, most: int = 15) -> DataFrame:
     """(id, seq): concepts without a description, not noise, the first of each name by seq."""
     rows = nodes.where((F.coalesce("description", F.lit("")) == "") & ~text.is_noise("id"))

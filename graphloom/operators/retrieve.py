@@ -16,17 +16,37 @@ TILE = 4_000_000
 
 
 def records(nodes: DataFrame, edges: DataFrame, data_props: DataFrame) -> DataFrame:
-    """node, kind (class, instance, edge, data_property), key, value, full, source_ref: one row per fact."""
-    n = nodes.select(F.col("id").alias("node"), "kind", F.concat("id", F.lit(" type")).alias("key"), F.col("type").alias("value"), F.concat(F.lit("node:"), "id").alias("source_ref"))
-    e = edges.select(F.col("src").alias("node"), F.lit("edge").alias("kind"), F.concat("src", F.lit(" "), "relation").alias("key"), F.col("dst").alias("value"), F.concat(F.lit("edge:"), "src", F.lit("-"), "relation", F.lit("-"), "dst").alias("source_ref"))
-    p = data_props.select(F.col("entity").alias("node"), F.lit("data_property").alias("kind"), F.concat("entity", F.lit(" "), "attribute").alias("key"), "value", F.concat(F.lit("dp:"), "entity", F.lit(":"), "attribute").alias("source_ref"))
+    """node, kind (class, instance, edge, data_property), key, value, full, source_ref: one row per fact. Edges with evidence have it in
+    their value; rows with source_documents name them in their reference."""
+    ref = lambda df, base: (text.with_sources(base, F.coalesce("source_documents", F.array().cast("array<string>"))) if "source_documents" in df.columns else base).alias("source_ref")
+    n = nodes.select(F.col("id").alias("node"), "kind", F.concat("id", F.lit(" type")).alias("key"), F.col("type").alias("value"), ref(nodes, F.concat(F.lit("node:"), "id")))
+    e = edges.select(F.col("src").alias("node"), F.lit("edge").alias("kind"), F.concat("src", F.lit(" "), "relation").alias("key"), (F.when(F.coalesce("evidence", F.lit("")) != "", F.concat("dst", F.lit(" | Evidence: "), "evidence")).otherwise(F.col("dst")) if "evidence" in edges.columns else F.col("dst")).alias("value"), ref(edges, F.concat(F.lit("edge:"), "src", F.lit("-"), "relation", F.lit("-"), "dst")))
+    p = data_props.select(F.col("entity").alias("node"), F.lit("data_property").alias("kind"), F.concat("entity", F.lit(" "), "attribute").alias("key"), "value", ref(data_props, F.concat(F.lit("dp:"), "entity", F.lit(":"), "attribute")))
     return n.unionByName(e).unionByName(p).withColumn("full", F.concat("key", F.lit(": "), "value"))
 
 
-def concept_match(question: Column, name: Column) -> Column:
-    """A word of the question of three characters or more is in the name, or the name in it."""
-    n = F.lower(name)
-    return F.exists(text.words(F.lower(question)), lambda w: (F.length(w) > 2) & (F.contains(n, w) | F.contains(w, n)))
+def concept_match(question: Column, name: Column, synonyms: Column | None = None) -> Column:
+    """A word of the question of three characters or more is in the name, or the name in it; or so with one of the synonyms."""
+    def hit(n):
+        n = F.lower(n)
+        return F.exists(text.words(F.lower(question)), lambda w: (F.length(w) > 2) & (F.contains(n, w) | F.contains(w, n)))
+
+    return hit(name) if synonyms is None else hit(name) | F.coalesce(F.exists(synonyms, hit), F.lit(False))
+
+
+def question_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, id): nodes that phrases of two to four words of a question name. Of each phrase, the first node by seq whose name
+    contains it or is in it, and nodes before that one of which a synonym does. Questions are a stated set, and their phrases go to every task."""
+    phrases = questions.select("query_id", F.explode(text.ngrams("question")).alias("phrase")).distinct()
+    both = lambda n: F.contains(F.lower(n), F.col("phrase")) | F.contains(F.col("phrase"), F.lower(n))
+    names = nodes.select("id", "seq").join(F.broadcast(phrases), both(F.col("id")))
+    first = names.groupBy("query_id", "phrase").agg(F.min("seq").alias("stop"), F.min_by("id", "seq").alias("id"))
+    out = first.select("query_id", "id")
+    if "synonyms" in nodes.columns:
+        syn = nodes.select("id", "seq", F.explode("synonyms").alias("s")).join(F.broadcast(phrases), both(F.col("s")))
+        syn = syn.join(first.select("query_id", "phrase", "stop"), ["query_id", "phrase"], "left").where("stop is null or seq < stop")
+        out = out.unionByName(syn.select("query_id", "id"))
+    return out.distinct()
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -181,15 +201,23 @@ def questions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.unionByName(q(two_hops(edges, edges), "two_hop", F.lit("How does "), "u", F.lit(" relate to "), "w", F.lit("?"))).distinct()
 
 
-def search_queries(nodes: DataFrame, domain: str | None = None) -> DataFrame:
-    base = F.concat(F.lit(f"{domain} "), "id") if domain else F.col("id")
-    return nodes.select("id", F.concat(base, F.lit(" definition")).alias("query"))
+def search_queries(nodes: DataFrame, domain: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """(id, query): a search for each node's definition and, with edges, for each relation between two of the nodes; the domain stands before what doesn't name it."""
+    out = nodes.select("id", F.concat("id", F.lit(" definition")).alias("query"))
+    if edges is not None:
+        ids = nodes.select("id")
+        e = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        out = out.unionByName(e.select(F.col("src").alias("id"), F.concat("src", F.lit(" "), "relation", F.lit(" "), "dst", F.lit(" relationship")).alias("query"))).distinct()
+    if domain:
+        out = out.withColumn("query", F.when(F.contains(F.lower("query"), F.lit(domain.lower())), F.col("query")).otherwise(F.concat(F.lit(f"{domain} "), "query")))
+    return out
 
 
-def domain_hint(nodes: DataFrame) -> DataFrame:
-    """One row: hint, the first domain of which two keywords or more are in names of nodes; else null."""
+def domain_hint(nodes: DataFrame, metadata: str = "") -> DataFrame:
+    """One row: hint, the first domain of which a keyword is in the metadata, or else two or more are in names of nodes; else null."""
+    said = next((hint for words, hint in fixed.DOMAIN_HINTS if any(w in metadata.lower() for w in words)), None)
     cols = []
     for words, hint in fixed.DOMAIN_HINTS:
         hits = sum((F.max(F.contains(F.lower("id"), F.lit(w)).cast("int")) for w in words), F.lit(0))
         cols.append(F.when(hits >= 2, hint))
-    return nodes.agg(F.coalesce(*cols, F.lit(None).cast("string")).alias("hint"))
+    return nodes.agg(F.coalesce(F.lit(said).cast("string"), *cols, F.lit(None).cast("string")).alias("hint"))

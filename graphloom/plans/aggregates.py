@@ -64,10 +64,12 @@ def a14(spark, d):
     return merge.infer_votes(o.withColumn("confidence", F.col("confidence") / 100.0)).select("src", "relation", "dst", "vote_count", "confidence")
 
 
-@query("a16_evaluation", "SELECT user_id AS kb_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS failures FROM events GROUP BY 1")
+@query("a16_evaluation", "SELECT user_id AS kb_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS failures, round(1e6 * count(*) FILTER (event_type <> 'purchase') / count(*))::BIGINT AS coverage, round(1e3 * avg(value))::BIGINT AS mean, round(1e6 * sum(event_id % 3) / sum(greatest(event_id % 5, 1)))::BIGINT AS fact_recall FROM events GROUP BY 1")
 def a16(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("kb_id"), F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("facts"), "value")
-    return evaluate.means(e, "kb_id", ["value"]).select("kb_id", "n", "failures")
+    e = table(spark, d, "events").select(F.col("user_id").alias("kb_id"), F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("facts"), "value", (F.col("event_id") % 3).alias("found"), (F.col("event_id") % 5).alias("total"))
+    out = evaluate.means(e, "kb_id", ["value"]).join(evaluate.fact_recall(e, "kb_id"), "kb_id")
+    whole = lambda c, k: F.round(F.col(c) * k).cast("long")
+    return out.select("kb_id", "n", "failures", whole("coverage", 1e6).alias("coverage"), whole("value", 1e3).alias("mean"), whole("fact_recall", 1e6).alias("fact_recall"))
 
 
 @query("a19_report_merge", "SELECT user_id, count(*) AS chunks, bool_or(event_type = 'purchase') AS merge_skipped, arg_max(event_type, event_id) AS last_reason FROM events GROUP BY 1")
@@ -157,36 +159,40 @@ def p14(spark, d):
 # sorts
 
 
-@query("o7_pages", "SELECT page_id, fidelity FROM (SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'blog\\.|wordpress\\.com|blogspot\\.com') THEN 0.45::DOUBLE ELSE 0.15::DOUBLE END AS fidelity FROM pages) ORDER BY fidelity DESC, page_id LIMIT 20")
+@query("o7_pages", "SELECT page_id, score FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 0.5e0 * f + 0.5e0 * (page_id % 10 / 10e0) ELSE f END AS score FROM (SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'blog\\.|wordpress\\.com|blogspot\\.com') THEN 0.45::DOUBLE ELSE 0.15::DOUBLE END AS f FROM pages)) ORDER BY score DESC, page_id LIMIT 20")
 def o7(spark, d):
     from ..functions import text
 
-    return table(spark, d, "pages").select("page_id", text.fidelity("url").alias("fidelity")).orderBy(F.desc("fidelity"), "page_id").limit(20)
+    p = table(spark, d, "pages").select("page_id", text.fidelity("url").alias("fidelity"), F.when(F.col("page_id") % 2 == 0, F.col("page_id") % 10 / 10.0).alias("content_score"))
+    return extract.ranked_pages(p, 20).select("page_id", "score")
 
 
-@query("o10_recent", "SELECT user_id, max(ts) AS last FROM events GROUP BY 1 ORDER BY last DESC, user_id LIMIT 10")
+@query("o10_recent", "SELECT user_id, last, row_number() OVER (ORDER BY last DESC, e DESC, user_id) <= 5 AS recent FROM (SELECT user_id, max(ts) AS last, arg_max(event_id, (ts, event_id)) AS e FROM events GROUP BY 1)")
 def o10(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "user_id").limit(10)
+    return evaluate.kb_list(table(spark, d, "events"), "user_id", ["ts", "event_id"], 5)
+
+
+@query("o10_best_worst", "SELECT arg_min(user_id, (-v, user_id)) AS best, arg_min(user_id, (v, user_id)) AS worst FROM (SELECT user_id, count(*) AS v FROM events GROUP BY 1)")
+def o10b(spark, d):
+    return evaluate.best_and_worst(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("v")), "user_id", "v")
 
 
 @query("u4_ordered_distinct", "SELECT user_id, list(event_type ORDER BY f) AS types FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) GROUP BY 1")
 def u4(spark, d):
-    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
-    return first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "event_type"))), lambda s: s.event_type).alias("types"))
+    return extract.ordered_distinct(table(spark, d, "events"), "user_id", "event_type", "event_id", "types")
 
 
 @query("u5_union", "SELECT c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_name, 'supplier' FROM supplier UNION ALL SELECT p_name, 'part' FROM part")
 def u5(spark, d):
-    one = lambda t, c: table(spark, d, t).select(F.col(c).alias("name"), F.lit(t).alias("kind"))
-    return one("customer", "c_name").unionByName(one("supplier", "s_name")).unionByName(one("part", "p_name"))
+    return extract.concatenated({t: table(spark, d, t).select(F.col(f"{t[0]}_name").alias("name")) for t in ("customer", "supplier", "part")}, "kind")
 
 
-@query("a18_hypergraph", sql("SELECT count(DISTINCT (relation, dst)) AS hypernodes, count(DISTINCT src) AS hyperedges FROM edges"))
+@query("a18_hypergraph", sql("SELECT relation AS key, dst AS value, count(DISTINCT src) AS blocks FROM edges GROUP BY 1, 2"))
 def a18(spark, d):
     from ..operators.retrieve import hypergraph
 
     n, e = hypergraph(Graph(spark, d).edges.select(F.col("src").alias("block"), F.col("relation").alias("key"), F.col("dst").alias("value")))
-    return n.agg(F.count("*").alias("hypernodes")).join(e.agg(F.count("*").alias("hyperedges")))
+    return n.join(e.select("block", F.explode("hids").alias("hid")), "hid").groupBy("hid", "key", "value").agg(F.count("*").alias("blocks")).drop("hid")
 
 
 @query("m5_attributes", "SELECT p_partkey AS entity, unnest(['brand', 'type']) AS attribute, unnest([p_brand, p_type]) AS value FROM part")
@@ -197,26 +203,39 @@ def m5(spark, d):
 
 @query("m6_wide", sql("SELECT entity, list_sort(list(attribute || '=' || value)) AS props FROM data_props GROUP BY entity"))
 def m6(spark, d):
-    rows = Graph(spark, d).data_props.withColumn("seq", F.lit(0))
+    """Each property comes twice, an older value before the last."""
+    rows = Graph(spark, d).data_props
+    rows = rows.withColumn("seq", F.lit(2)).unionByName(rows.withColumn("value", F.concat(F.lit("old "), "value")).withColumn("seq", F.lit(1)))
     return extract.wide(rows).select("entity", F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e.key, F.lit("="), e.value))).alias("props"))
 
 
-@query("m2_rings", sql("SELECT id, CASE WHEN k > 80 THEN 0 WHEN k >= 10 THEN 1 WHEN k >= 2 THEN 2 ELSE 3 END AS ring FROM (SELECT id, count(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)"))
+@query("m2_rings", sql("SELECT id, CASE WHEN k > 80 THEN 0 WHEN k >= 10 THEN 1 WHEN k >= 2 THEN 2 ELSE 3 END AS ring, round(1000 * least(90, 20 + 14 * ln(k + 1)))::BIGINT AS size, round(1000 * greatest(1.5, least(6, k * 0.6e0)))::BIGINT AS mass FROM (SELECT n.id, count(e.id) AS k FROM nodes n LEFT JOIN (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) e USING (id) GROUP BY n.id)"))
 def m2(spark, d):
-    from ..operators.quality import degrees
+    from ..operators.viewer import styles
 
     g = Graph(spark, d)
-    k = F.col("degree")
-    return degrees(g.nodes, g.edges).select("id", F.when(k > 80, 0).when(k >= 10, 1).when(k >= 2, 2).otherwise(3).alias("ring"))
+    whole = lambda c: F.round(F.col(c) * 1000).cast("long").alias(c)
+    return styles(g.nodes, g.edges).select("id", "ring", whole("size"), whole("mass"))
 
 
-@query("m4_blocks", sql("SELECT src AS block, count(*) AS facts FROM edges GROUP BY 1"))
+@query("m4_blocks", sql("SELECT src AS subject, src || ' ' || relation AS key, dst AS value, src || ' ' || relation || ': ' || dst AS \"full\" FROM edges WHERE relation <> 'partOf' UNION ALL SELECT src, 'k', 'v', 'whole' FROM edges WHERE relation = 'partOf'"))
 def m4(spark, d):
-    b = Graph(spark, d).edges.groupBy(F.col("src").alias("block")).agg(F.collect_list(F.struct("relation", "dst")).alias("facts"))
-    return b.select("block", F.inline("facts")).groupBy("block").agg(F.count("*").alias("facts"))
+    own = lambda v: F.when(F.col("relation") == "partOf", v)
+    b = Graph(spark, d).edges.groupBy(F.col("src").alias("subject")).agg(F.collect_list(F.struct("relation", F.col("dst").alias("target"), own("k").alias("key"), own("v").alias("value"), own("whole").alias("full"))).alias("attributes"))
+    return extract.flattened(b)
 
 
-@query("m8_legacy", sql("SELECT id AS name, CASE WHEN kind = 'class' THEN 'Class' ELSE type END AS type FROM nodes"))
+@query("m8_legacy", sql("SELECT 'entity' AS what, id AS name, CASE WHEN kind = 'class' THEN 'Class' ELSE type END AS kind, NULL AS target FROM nodes UNION ALL SELECT 'relation', src, relation, dst FROM edges"))
 def m8(spark, d):
-    n = Graph(spark, d).nodes
-    return n.where("kind = 'class'").select(F.col("id").alias("name"), F.lit("Class").alias("type")).unionByName(n.where("kind = 'instance'").select(F.col("id").alias("name"), "type"))
+    g = Graph(spark, d)
+    return extract.legacy_view(g.nodes, g.edges)
+
+
+@query("m3_json", "SELECT conv_id, turn, role FROM conversations")
+def m3(spark, d):
+    """Replies with fences, a trailing comma, and an end that is cut off."""
+    c = table(spark, d, "conversations")
+    raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('Sure:\n```json\n{"role": "'), "role", F.lit('",}\n```'))).otherwise(F.concat(F.lit('{"role": "'), "role", F.lit('", "x": [1, 2')))
+    from ..functions import text
+
+    return c.select("conv_id", "turn", F.get_json_object(text.repaired_json(raw), "$.role").alias("role"))

@@ -71,12 +71,7 @@ def j2(spark, d):
     return graph.parents_children(g.nodes.where("kind = 'class'"), g.edges).select("id", F.size("parents").alias("parents"), F.size("children").alias("children"))
 
 
-@query("j3_node_context", sql("SELECT id, string_agg(t, '; ' ORDER BY t) AS context FROM (SELECT src AS id, relation || ' -> ' || dst AS t FROM places UNION SELECT dst, relation || ' <- ' || src FROM places) GROUP BY id"))
-def j3(spark, d):
-    return graph.node_context(Graph(spark, d).places)
-
-
-@query("j3_node_context_full", sql("SELECT id, string_agg(t, '; ' ORDER BY t) AS context FROM (SELECT src AS id, relation || ' -> ' || dst AS t FROM edges UNION SELECT dst, relation || ' <- ' || src FROM edges) GROUP BY id"))
+@query("j3_node_context", sql("SELECT id, string_agg(t, '; ' ORDER BY t) AS context FROM (SELECT src AS id, relation || ' -> ' || dst AS t FROM edges UNION SELECT dst, relation || ' <- ' || src FROM edges) GROUP BY id"))
 def j3b(spark, d):
     return graph.node_context(Graph(spark, d).edges)
 
@@ -101,12 +96,7 @@ def j9(spark, d):
     return quality.consistency(g.edges, g.axioms)
 
 
-@query("j10_two_hops", sql("SELECT DISTINCT a.src AS u, a.dst AS v, b.dst AS w FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst AND a.relation <> 'supplies'"))
-def j10(spark, d):
-    return graph.two_hops(Graph(spark, d).edges.where("relation != 'supplies'"), Graph(spark, d).edges).select("u", "v", "w").distinct()
-
-
-@query("j10_two_hops_full", sql("SELECT DISTINCT a.src AS u, a.dst AS v, b.dst AS w FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst"))
+@query("j10_two_hops", sql("SELECT DISTINCT a.src AS u, a.dst AS v, b.dst AS w FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst"))
 def j10b(spark, d):
     g = Graph(spark, d)
     return graph.two_hops(g.edges, g.edges).select("u", "v", "w").distinct()
@@ -133,13 +123,7 @@ def g4(spark, d):
     return reason.inverse(g.edges, g.axioms)
 
 
-@query("g5_components", sql("SELECT id, min(root) AS component FROM comp GROUP BY id", PAIRS.replace("FROM edges", "FROM places")))
-def g5(spark, d):
-    g = Graph(spark, d)
-    return quality.node_components(g.nodes, g.places)
-
-
-@query("g5_components_full", "SELECT id, min(id) OVER (PARTITION BY g) AS component FROM (SELECT 'World' AS id, 1 AS g UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT n_name, 1 FROM nation UNION ALL SELECT c_name, 1 FROM customer UNION ALL SELECT s_name, 1 FROM supplier UNION ALL SELECT 'Part#' || p_partkey, 1 FROM part UNION ALL SELECT DISTINCT p_brand, 1 FROM part UNION ALL SELECT DISTINCT p_type, 1 FROM part)")
+@query("g5_components", "SELECT id, min(id) OVER (PARTITION BY g) AS component FROM (SELECT 'World' AS id, 1 AS g UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT n_name, 1 FROM nation UNION ALL SELECT c_name, 1 FROM customer UNION ALL SELECT s_name, 1 FROM supplier UNION ALL SELECT 'Part#' || p_partkey, 1 FROM part UNION ALL SELECT DISTINCT p_brand, 1 FROM part UNION ALL SELECT DISTINCT p_type, 1 FROM part)")
 def g5b(spark, d):
     g = Graph(spark, d)
     return quality.node_components(g.nodes, g.edges)
@@ -151,13 +135,7 @@ def g6(spark, d):
     return reason.domain_range(g.edges, g.axioms)
 
 
-@query("g7_relation_properties", sql("""SELECT relation, count(*) AS n, count(*) FILTER (back) AS backs, coalesce(any_value(k), 0) AS open_chains FROM (SELECT e.relation, e.src, e.dst, EXISTS (SELECT 1 FROM places f WHERE f.relation = e.relation AND f.src = e.dst AND f.dst = e.src) AS back FROM places e)
-LEFT JOIN (SELECT a.relation, count(*) AS k FROM places a JOIN places b ON a.relation = b.relation AND a.dst = b.src AND a.src <> b.dst WHERE NOT EXISTS (SELECT 1 FROM places c WHERE c.relation = a.relation AND c.src = a.src AND c.dst = b.dst) GROUP BY 1) USING (relation) GROUP BY relation HAVING count(*) >= 2"""))
-def g7(spark, d):
-    return reason.relation_properties(Graph(spark, d).places).select("relation", "n", "backs", "open_chains")
-
-
-@query("g7_relation_properties_full", sql("""SELECT relation, count(*) AS n, count(*) FILTER (back) AS backs, coalesce(any_value(k), 0) AS open_chains FROM (SELECT e.relation, e.src, e.dst, EXISTS (SELECT 1 FROM edges f WHERE f.relation = e.relation AND f.src = e.dst AND f.dst = e.src) AS back FROM edges e)
+@query("g7_relation_properties", sql("""SELECT relation, count(*) AS n, count(*) FILTER (back) AS backs, coalesce(any_value(k), 0) AS open_chains FROM (SELECT e.relation, e.src, e.dst, EXISTS (SELECT 1 FROM edges f WHERE f.relation = e.relation AND f.src = e.dst AND f.dst = e.src) AS back FROM edges e)
 LEFT JOIN (SELECT a.relation, count(*) AS k FROM edges a JOIN edges b ON a.relation = b.relation AND a.dst = b.src AND a.src <> b.dst WHERE NOT EXISTS (SELECT 1 FROM edges c WHERE c.relation = a.relation AND c.src = a.src AND c.dst = b.dst) GROUP BY 1) USING (relation) GROUP BY relation HAVING count(*) >= 2"""))
 def g7b(spark, d):
     return reason.relation_properties(Graph(spark, d).edges).select("relation", "n", "backs", "open_chains")
@@ -250,17 +228,22 @@ def a7(spark, d):
     return quality.health(g.nodes, g.edges).select("n", "m", "density", "avg_degree", "max_degree", "orphans", "classes", "instances", "unlabeled")
 
 
-@query("a7_entropy", sql("SELECT relation, k, total FROM (SELECT relation, count(*) AS k, sum(count(*)) OVER ()::BIGINT AS total FROM edges GROUP BY relation)"))
+@query("a7_entropy", sql("SELECT count(*) AS relations, round(1e6 * -sum(p * log2(p)))::BIGINT AS micro_bits FROM (SELECT relation, count(*) / sum(count(*)) OVER () AS p FROM edges GROUP BY relation)"))
 def a7b(spark, d):
-    e = Graph(spark, d).edges.groupBy("relation").agg(F.count("*").alias("k"))
-    return e.withColumn("total", F.sum("k").over(Window.partitionBy()))
+    return quality.entropy(Graph(spark, d).edges).select("relations", F.round(F.col("relation_entropy") * 1e6).cast("long").alias("micro_bits"))
+
+
+@query("a7_components", sql("SELECT components, largest, (SELECT round(1e6 * stddev_pop(k))::BIGINT FROM (SELECT count(e.id) AS k FROM nodes n LEFT JOIN (SELECT src AS id FROM places UNION ALL SELECT dst FROM places) e USING (id) GROUP BY n.id)) AS micro_stddev FROM (SELECT count(*) AS components, max(k) AS largest FROM (SELECT c, count(*) AS k FROM (SELECT id, min(root) AS c FROM comp GROUP BY id) GROUP BY c))", PAIRS.replace("FROM edges", "FROM places")))
+def a7c(spark, d):
+    g = Graph(spark, d)
+    return quality.health(g.nodes, g.places).select("components", "largest", F.round(F.col("degree_stddev") * 1e6).cast("long").alias("micro_stddev"))
 
 
-@query("a8_health_score", sql("""SELECT CASE WHEN s >= 80 THEN 'Healthy' WHEN s >= 50 THEN 'Needs Attention' ELSE 'Critical' END AS badge, components FROM (SELECT c.k AS components, 100 - CASE WHEN 100e0 * o.k / n.k > 5 THEN least(30, 200e0 * o.k / n.k) ELSE 0 END - CASE WHEN c.k > 10 THEN least(25, 2 * (c.k - 10)) ELSE 0 END - CASE WHEN m.k::DOUBLE / n.k < 2 THEN least(20, 10 * (2 - m.k::DOUBLE / n.k)) ELSE 0 END AS s
+@query("a8_health_score", sql("""SELECT CASE WHEN s >= 80 THEN 'Healthy' WHEN s >= 50 THEN 'Needs Attention' ELSE 'Critical' END AS badge, components, round(1000 * s)::BIGINT AS millis FROM (SELECT c.k AS components, 100 - CASE WHEN 100e0 * o.k / n.k > 5 THEN least(30, 200e0 * o.k / n.k) ELSE 0 END - CASE WHEN c.k > 10 THEN least(25, 2 * (c.k - 10)) ELSE 0 END - CASE WHEN m.k::DOUBLE / n.k < 2 THEN least(20, 10 * (2 - m.k::DOUBLE / n.k)) ELSE 0 END AS s
 FROM (SELECT count(*) AS k FROM nodes) n, (SELECT count(*) AS k FROM places) m, (SELECT count(DISTINCT c) AS k FROM (SELECT id, min(root) AS c FROM comp GROUP BY id)) c, (SELECT count(*) AS k FROM nodes WHERE id NOT IN (SELECT src FROM places UNION SELECT dst FROM places)) o)""", PAIRS.replace("FROM edges", "FROM places")))
 def a8(spark, d):
     g = Graph(spark, d)
-    return quality.health_score(quality.health(g.nodes, g.places)).select("badge", "components")
+    return quality.health_score(quality.health(g.nodes, g.places)).select("badge", "components", F.round(F.col("score") * 1000).cast("long").alias("millis"))
 
 
 @query("a9_repair_health", sql("SELECT o.k / n.k AS orphan_ratio, c.k / n.k AS fragmentation, 2e0 * m.k / n.k AS average_degree, o.k / n.k < 0.05 AND c.k <= 3 AS target_met FROM (SELECT count(*) AS k FROM nodes) n, (SELECT count(*) AS k FROM places) m, (SELECT count(DISTINCT c) AS k FROM (SELECT id, min(root) AS c FROM comp GROUP BY id)) c, (SELECT count(*) AS k FROM nodes WHERE id NOT IN (SELECT src FROM places UNION SELECT dst FROM places)) o", PAIRS.replace("FROM edges", "FROM places")))
@@ -278,19 +261,14 @@ def a10(spark, d):
     return quality.structure(g.nodes, g.edges).select("max_depth", "max_breadth", "classes", "instances", "subclass_ratio", "named_ratio", "generic_ratio")
 
 
-@query("a11_reliability", sql(f"""SELECT CASE WHEN score >= .8 THEN 'A' WHEN score >= .6 THEN 'B' WHEN score >= .4 THEN 'C' WHEN score >= .2 THEN 'D' ELSE 'F' END AS grade FROM (SELECT CASE WHEN depth_variance >= .9 THEN .3 WHEN depth_variance >= .5 THEN .15 ELSE 0 END + CASE WHEN breadth_variance >= 20 THEN .25 WHEN breadth_variance >= 5 THEN .12 ELSE 0 END + CASE WHEN max_breadth >= 100 THEN .2 WHEN max_breadth >= 30 THEN .08 ELSE 0 END
+@query("a11_reliability", sql(f"""SELECT CASE WHEN score >= .8 THEN 'A' WHEN score >= .6 THEN 'B' WHEN score >= .4 THEN 'C' WHEN score >= .2 THEN 'D' ELSE 'F' END AS grade, round(1000 * score)::BIGINT AS millis FROM (SELECT CASE WHEN depth_variance >= .9 THEN .3 WHEN depth_variance >= .5 THEN .15 ELSE 0 END + CASE WHEN breadth_variance >= 20 THEN .25 WHEN breadth_variance >= 5 THEN .12 ELSE 0 END + CASE WHEN max_breadth >= 100 THEN .2 WHEN max_breadth >= 30 THEN .08 ELSE 0 END
 + CASE WHEN instances / classes >= 1 THEN .15 WHEN instances / classes >= .3 THEN .07 ELSE 0 END + CASE WHEN max_depth >= 5 THEN .1 WHEN max_depth >= 3 THEN .05 ELSE 0 END + CASE WHEN (m - s - g) / m >= .3 THEN .1 WHEN (m - s - g) / m >= .15 THEN .05 ELSE 0 END - CASE WHEN g / m >= .6 THEN .15 ELSE 0 END AS score FROM {STRUCT})""", DEPTH))
 def a11(spark, d):
     g = Graph(spark, d)
-    return quality.reliability(quality.structure(g.nodes, g.edges)).select("grade")
-
+    return quality.reliability(quality.structure(g.nodes, g.edges)).select("grade", F.round(F.col("score") * 1000).cast("long").alias("millis"))
 
-@query("a12_correctness", sql("SELECT src, relation, dst, CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END AS path_length, round(1000 * least(1e0, 0.5 * least(1e0, vote_count / 5e0) + 0.3 * confidence + 0.2 / CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END))::BIGINT AS millis FROM places"))
-def a12(spark, d):
-    return quality.correctness(Graph(spark, d).places).select("src", "relation", "dst", "path_length", F.round(F.col("correctness") * 1000).cast("long").alias("millis"))
 
-
-@query("a12_correctness_full", sql("SELECT src, relation, dst, CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END AS path_length, round(1000 * least(1e0, 0.5 * least(1e0, vote_count / 5e0) + 0.3 * confidence + 0.2 / CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END))::BIGINT AS millis FROM edges"))
+@query("a12_correctness", sql("SELECT src, relation, dst, CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END AS path_length, round(1000 * least(1e0, 0.5 * least(1e0, vote_count / 5e0) + 0.3 * confidence + 0.2 / CASE WHEN origin = 'extraction' THEN 1 ELSE 2 END))::BIGINT AS millis FROM edges"))
 def a12b(spark, d):
     return quality.correctness(Graph(spark, d).edges).select("src", "relation", "dst", "path_length", F.round(F.col("correctness") * 1000).cast("long").alias("millis"))
 
@@ -311,10 +289,12 @@ def a22(spark, d):
     return Graph(spark, d).edges.rollup("relation", "origin").agg(F.count("*").alias("k"))
 
 
-@query("c5_component_pairs", sql("SELECT DISTINCT root AS component, min(id) AS representative FROM (SELECT id, min(root) AS root FROM comp GROUP BY id) GROUP BY root", PAIRS.replace("FROM edges", "FROM places")))
+@query("c5_component_pairs", sql("""SELECT r.id AS src, b.id AS dst FROM rep r, (SELECT * FROM rep ORDER BY n DESC, c LIMIT 1) b WHERE r.c <> b.c ORDER BY r.n DESC, r.c LIMIT 30""", PAIRS.replace("FROM edges", "FROM places") + """, rep AS (SELECT c, count(*) AS n, arg_min(id, (-k, seq)) AS id FROM (SELECT x.id, x.c, n.seq, coalesce(d.k, 0) AS k FROM (SELECT id, min(root) AS c FROM comp GROUP BY id) x JOIN nodes n USING (id) LEFT JOIN (SELECT id, count(*) AS k FROM (SELECT src AS id FROM places UNION ALL SELECT dst FROM places) GROUP BY 1) d USING (id)) GROUP BY c)"""))
 def c5(spark, d):
+    from ..operators.repair import component_pairs
+
     g = Graph(spark, d)
-    return quality.node_components(g.nodes, g.places).groupBy("component").agg(F.min("id").alias("representative"))
+    return component_pairs(g.nodes, g.places)
 
 
 @query("o4_node_rank", sql("SELECT n.id, v.votes, d.k AS degree FROM nodes n JOIN (SELECT src AS id, sum(vote_count)::BIGINT AS votes FROM edges GROUP BY 1) v USING (id) JOIN (SELECT id, count(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) d USING (id) ORDER BY 0.6 * v.votes / (SELECT max(x) FROM (SELECT sum(vote_count) AS x FROM edges GROUP BY src)) + 0.4 * d.k / (SELECT max(x) FROM (SELECT count(*) AS x FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)) DESC, seq LIMIT 20"))
@@ -376,7 +356,65 @@ def a13(spark, d):
     return quality.set_metrics(n.where("kind = 'class' or seq % 2 = 0"), n.where("kind = 'instance'"))
 
 
-@query("g18_session_graph", "SELECT lower(p_brand) AS node, count(*) AS k FROM part GROUP BY 1")
+@query("g18_session_graph", "SELECT 'node' AS what, lower(p_brand) AS a, NULL AS relation, NULL AS b, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'edge', lower(p_brand), 'makes', lower(p_type), count(*) FROM part GROUP BY 2, 4")
 def g18(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
-    return graph.session_nodes(p.select(F.lit("s").alias("session"), F.col("p_brand").alias("concept"))).select("node", "k")
+    n = graph.session_nodes(p.select(F.lit("s").alias("session"), F.col("p_brand").alias("concept"))).select(F.lit("node").alias("what"), F.col("node").alias("a"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("b"), F.col("k").alias("n"))
+    e = graph.session_edges(p.select(F.lit("s").alias("session"), F.col("p_brand").alias("src"), F.lit("Makes").alias("relation"), F.col("p_type").alias("dst")))
+    return n.unionByName(e.select(F.lit("edge").alias("what"), F.col("src").alias("a"), "relation", F.col("dst").alias("b"), "n"))
+
+
+@query("g13_view", sql("SELECT n.id, kind = 'class' AND n.id NOT IN (SELECT src FROM places WHERE relation = 'subClassOf') AS root, l.level, c.cluster, n.id NOT IN (SELECT src FROM places UNION SELECT dst FROM places) AS isolated FROM nodes n LEFT JOIN (SELECT id, min(depth) AS level FROM top GROUP BY id) l USING (id) JOIN (SELECT id, min(root) AS cluster FROM comp GROUP BY id) c USING (id)", PAIRS.replace("FROM edges", "FROM places") + ", top(id, depth) AS (SELECT id, 0 FROM nodes WHERE kind = 'class' AND id NOT IN (SELECT src FROM places WHERE relation = 'subClassOf') UNION SELECT e.src, top.depth + 1 FROM top JOIN places e ON e.relation = 'subClassOf' AND e.dst = top.id)"))
+def g13v(spark, d):
+    from ..operators.viewer import view
+
+    g = Graph(spark, d)
+    return view(g.nodes, g.places)["nodes"].select("id", "root", "level", "cluster", "isolated")
+
+
+@query("g19_profiles", sql("""SELECT n.id, coalesce('parent: ' || p.parent || '; ', '') || 'children: ' || coalesce(c.children, 0) || '; relations: ' || coalesce(r.k, 0) || '; properties: ' || coalesce(dp.k, 0) AS profile FROM nodes n LEFT JOIN (SELECT src AS id, min(dst) AS parent FROM edges WHERE relation IN ('subClassOf', 'type') GROUP BY 1) p USING (id)
+LEFT JOIN (SELECT dst AS id, count(*) AS children FROM edges WHERE relation IN ('subClassOf', 'type') GROUP BY 1) c USING (id) LEFT JOIN (SELECT id, count(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) r USING (id) LEFT JOIN (SELECT entity AS id, count(*) AS k FROM data_props GROUP BY 1) dp USING (id)"""))
+def g19p(spark, d):
+    g = Graph(spark, d)
+    return graph.profiles(g.nodes, g.edges, g.data_props)
+
+
+@query("a21_groups", sql("SELECT id, grp, list_sort(list(other)) AS others FROM (SELECT src AS id, CASE WHEN relation = 'subClassOf' THEN 'Children' WHEN relation = 'type' THEN 'Instances' ELSE 'Other' END AS grp, dst AS other FROM edges UNION ALL SELECT dst, CASE WHEN relation IN ('subClassOf', 'type') THEN 'Parents' ELSE 'Other' END, src FROM edges) GROUP BY 1, 2"))
+def a21g(spark, d):
+    from ..operators.viewer import relation_groups
+
+    return relation_groups(Graph(spark, d).edges)
+
+
+@query("p15_hidden", sql("SELECT src, relation, dst, relation NOT IN ('subClassOf', 'type') OR (ko > 80 AND ro > 20) OR (ki > 80 AND ri > 20) AS hidden FROM (SELECT src, relation, dst, count(*) OVER (PARTITION BY src) AS ko, count(*) OVER (PARTITION BY dst) AS ki, row_number() OVER (PARTITION BY src ORDER BY dst, relation) AS ro, row_number() OVER (PARTITION BY dst ORDER BY src, relation) AS ri FROM edges)"))
+def p15h(spark, d):
+    from ..operators.viewer import hidden
+
+    return hidden(Graph(spark, d).edges, zoom=0.6, cap=20)
+
+
+@query("a15_population_targets", sql("SELECT n.id, coalesce(d.k, 0) AS degree, 0::BIGINT AS instances FROM nodes n LEFT JOIN (SELECT id, count(*) AS k FROM (SELECT src AS id FROM places UNION ALL SELECT dst FROM places) GROUP BY 1) d USING (id) WHERE kind = 'class' ORDER BY 2 DESC, seq LIMIT 10"))
+def a15t(spark, d):
+    from ..operators.hierarchy import population_targets
+
+    g = Graph(spark, d)
+    return population_targets(g.nodes.where("kind = 'class'"), g.places)
+
+
+@query("a13_ontology_metrics", sql("""SELECT round(c, 4) AS class_f1, round(i, 4) AS instance_f1, round(r, 4) AS relation_f1, round((c + i + r) / 3, 4) AS overall, round(2e0 * (SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes), 3) AS average_degree FROM
+(SELECT 2e0 * count(*) FILTER (seq % 2 = 0) / (count(*) FILTER (seq % 2 = 0) + count(*)) AS c FROM (SELECT id, min(seq) AS seq FROM nodes WHERE kind = 'class' GROUP BY id)), (SELECT 2e0 * count(*) FILTER (seq % 2 = 0) / (count(*) FILTER (seq % 2 = 0) + count(*)) AS i FROM (SELECT id, min(seq) AS seq FROM nodes WHERE kind = 'instance' GROUP BY id)), (SELECT 1e0 AS r)"""))
+def a13o(spark, d):
+    g = Graph(spark, d)
+    n = g.nodes.groupBy("kind", F.col("id").alias("key")).agg(F.min("seq").alias("seq"))
+    r = g.places.select(F.lit("relation").alias("kind"), F.concat_ws("|", "src", "relation", "dst").alias("key"))
+    said, true = n.where("seq % 2 = 0").select("kind", "key").unionByName(r.select("kind", F.upper("key").alias("key"))), n.select("kind", "key").unionByName(r)
+    return quality.ontology_metrics(said, true, g.nodes.count(), g.edges.count())
+
+
+@query("t5_incremental_repair", sql("SELECT id AS src, 'subClassOf' AS relation, 'DomainRoot' AS dst, 'root' AS step FROM nodes WHERE kind = 'class' AND id NOT IN (SELECT src FROM places UNION SELECT dst FROM places)"))
+def t5(spark, d):
+    """Among classes alone no orphans are left to link; tests hold links of instances against expected rows."""
+    from ..operators.repair import repair_incremental
+
+    g = Graph(spark, d)
+    return repair_incremental(g.nodes.where("kind = 'class'"), g.places)

@@ -29,21 +29,16 @@ def k6(spark, d):
     return all_triples(spark, d).select("s", "p", "o").distinct()
 
 
-@query("k7_ntriples", sql(f"SELECT '<' || {U('src')} || '> <' || {U('relation')} || '> <' || {U('dst')} || '> .' AS line FROM supplies"))
-def k7(spark, d):
-    t = all_triples(spark, d).where(F.endswith("p", F.lit("#supplies")))
-    return export.ntriples(t)
-
-
-@query("k7_ntriples_full")
+@query("k7_ntriples")
 def k7b(spark, d):
     """All triples; the SQL of k6_triples has no kinds of literals, so tests hold small graphs against expected lines."""
     return export.ntriples(all_triples(spark, d))
 
 
-@query("k7_turtle", sql("SELECT count(DISTINCT s) AS subjects FROM (" + TRIPLES + ")"))
+@query("k7_turtle", sql("SELECT '<' || s || '>' AS s, count(*) AS pairs FROM (" + TRIPLES + ") GROUP BY 1"))
 def k7t(spark, d):
-    return export.turtle(all_triples(spark, d)).agg(F.count("*").alias("subjects"))
+    t = export.turtle(all_triples(spark, d))
+    return t.select(F.split_part("line", F.lit(" "), F.lit(1)).alias("s"), F.size(F.split("line", " ;\n    ")).cast("long").alias("pairs"))
 
 
 @query("k9_schema", f"SELECT '{export.BASE}' || n_name AS s, '{export.RDF}type' AS p, '{export.OWL}Class' AS o FROM nation UNION SELECT '{export.BASE}' || n_name, '{export.RDFS}subClassOf', '{export.BASE}' || replace(r_name, ' ', '_') FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT '{export.BASE}size', '{export.RDF}type', '{export.OWL}DatatypeProperty' UNION SELECT '{export.BASE}size', '{export.RDFS}range', '{export.XSD}integer'")
@@ -59,10 +54,13 @@ def k1(spark, d):
     return export.stats(g.nodes, g.edges, g.axioms, g.data_props)
 
 
-@query("k1_node_link", sql("SELECT 'node' AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'link', count(*) FROM edges UNION ALL SELECT 'axiom', 7 UNION ALL SELECT 'data_property', count(*) FROM data_props"))
+@query("k1_node_link", sql("SELECT 'node' AS kind, id AS a, kind AS b, type AS c FROM nodes UNION ALL SELECT 'link', src, relation, dst FROM edges UNION ALL SELECT 'data_property', entity, attribute, value FROM data_props UNION ALL SELECT 'axiom', axiom, NULL, NULL FROM (SELECT unnest(['disjointness', 'transitivity', 'symmetry', 'inverse', 'domain', 'range', 'asymmetry']) AS axiom)"))
 def k1n(spark, d):
+    """The JSON of each row is read back."""
     g = Graph(spark, d)
-    return export.node_link(g.nodes, g.edges, g.axioms, g.data_props).groupBy("kind").agg(F.count("*").alias("n"))
+    field = lambda *names: F.coalesce(*(F.get_json_object("json", f"$.{n}") for n in names), F.lit(None).cast("string"))
+    rows = export.node_link(g.nodes, g.edges, g.axioms, g.data_props)
+    return rows.select("kind", field("id", "src", "entity", "axiom_type").alias("a"), F.coalesce(F.get_json_object("json", "$.relation"), F.get_json_object("json", "$.attribute"), F.get_json_object("json", "$.kind")).alias("b"), field("dst", "value", "type").alias("c"))
 
 
 @query("k16_describe", "SELECT doc_id, CASE WHEN length(p) <= 250 THEN p ELSE regexp_extract(substr(p, 1, 250), '(?s)^(.*)\\s', 1) END AS description FROM (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: length(x) > 30)[1] AS p FROM documents)")
@@ -70,15 +68,27 @@ def k16(spark, d):
     return table(spark, d, "documents").select("doc_id", export.describe("text").alias("description"))
 
 
-@query("s1_documents", "SELECT doc_id, length(text) AS n_chars, lang, source FROM documents")
+@query("s1_documents", "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN NULL ELSE html END AS text, CASE WHEN page_id % 3 = 2 THEN 'unsupported file type: .bin' END AS error FROM pages")
 def s1(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars"), "lang", "source")
+    """Pages as files of several suffixes, through the loader's parser."""
+    from ..sources.documents import parse_documents
 
+    name = F.concat(F.col("page_id").cast("string"), F.when(F.pmod("page_id", F.lit(3)) == 0, ".txt").when(F.pmod("page_id", F.lit(3)) == 1, ".MD").otherwise(".bin"))
+    files = table(spark, d, "pages").select(name.alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return parse_documents(files).select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("page_id"), "text", "error")
 
-@query("s9_logs", "SELECT user_id, count(*) AS n, count(*) FILTER (json_extract_string(props, '$') IS NULL AND props IS NOT NULL) AS broken FROM events GROUP BY 1")
+
+@query("s9_logs", "SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1")
 def s9(spark, d):
-    e = table(spark, d, "events").select("user_id", "props", F.from_json("props", "map<string,string>").alias("m"))
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.expr("m is null and props is not null")).alias("broken"))
+    """Events appended to a JSON log in two runs, and read back."""
+    from ..scratch import scratch_path
+    from ..sources.kb import append_log, read_log
+
+    e, path = table(spark, d, "events"), scratch_path(spark, "log")
+    for part in (e.where("event_type = 'purchase'"), e.where("event_type != 'purchase' or event_type is null")):
+        append_log(part.select("event_id", "user_id", "value"), path)
+    log = read_log(spark, path, "event_id long, user_id long, value double")
+    return log.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
 @query("c2_extract")
@@ -90,7 +100,37 @@ def c2(spark, d):
     return ex.extract(chunks).select("doc_id", "chunk_id", F.size("classes").alias("classes"), F.size("relations").alias("relations"), "error")
 
 
-@query("l2_complete", "SELECT p_partkey AS seq, p_name AS reply FROM part")
+@query("l2_complete", "SELECT p_partkey AS seq, CASE WHEN p_size = 1 THEN '' ELSE upper(p_name) END AS reply, CASE WHEN p_size = 1 THEN 'context length exceeded' END AS error FROM part")
 def l2(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("Name it:\n"), "p_name").alias("prompt"))
-    return ex.complete(p).select("seq", "reply")
+    """A model that answers in capitals, and can't take some prompts."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.when(F.col("p_size") == 1, "long").otherwise("short"), F.lit(":"), "p_name").alias("prompt"))
+
+    def model(prompt):
+        if prompt.startswith("long:"):
+            raise ValueError("context length exceeded")
+        return prompt.split(":", 1)[1].upper()
+
+    return ex.complete(p, model).select("seq", "reply", "error")
+
+
+@query("k13_sections", "SELECT page_id, '## ' || url || chr(10) || 'Source: ' || url || chr(10) || 'Fidelity: ' || CASE WHEN regexp_matches(h, '(docs\\.|readthedocs|wiki\\.|wikipedia\\.org|\\.gov)') THEN 'documentation' WHEN regexp_matches(h, '(blog\\.|wordpress\\.com|blogspot\\.com)') THEN 'blog' ELSE 'post' END || chr(10) || 'Query: page' || chr(10) || chr(10) || lower(url) AS section FROM (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM pages WHERE url IS NOT NULL)")
+def k13s(spark, d):
+    from ..functions import text
+
+    p = table(spark, d, "pages").where("url is not null")
+    return export.page_sections(p.select("page_id", "url", F.lit(None).cast("string").alias("title"), F.lower("url").alias("content"), text.fidelity("url").alias("fidelity"), F.lit("page").alias("query")))
+
+
+@query("k16_boilerplate", "SELECT page_id, CASE WHEN contains(url, 'example.com') THEN split_part(url, '/de/', 1) WHEN contains(url, 'example.net') THEN split_part(url, '/en/', 1) ELSE url END AS content FROM pages")
+def k16b(spark, d):
+    return table(spark, d, "pages").select("page_id", export.strip_boilerplate("url", {"example.net": "/en/", "example.com": "/de/"}, "url").alias("content"))
+
+
+@query("k14_view_rows", sql("SELECT 'node' AS kind, n.id AS a, CASE WHEN coalesce(d.k, 0) > 80 THEN 0 WHEN coalesce(d.k, 0) >= 10 THEN 1 WHEN coalesce(d.k, 0) >= 2 THEN 2 ELSE 3 END::VARCHAR AS b, NULL AS c FROM nodes n LEFT JOIN (SELECT id, count(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) d USING (id) UNION ALL SELECT 'edge', src, relation, dst FROM edges GROUP BY src, relation, dst"))
+def k14(spark, d):
+    from ..operators.viewer import view_rows
+
+    g = Graph(spark, d)
+    j = lambda n: F.get_json_object("json", f"$.{n}")
+    rows, node = view_rows(g.nodes, g.edges), F.col("kind") == "node"
+    return rows.select("kind", F.when(node, j("id")).otherwise(j("src")).alias("a"), F.when(node, j("ring")).otherwise(j("relation")).alias("b"), j("dst").alias("c"))

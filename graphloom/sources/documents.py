@@ -46,7 +46,12 @@ PARSERS = {"pdf": pdf_text, "docx": docx_text, "txt": lambda b: b.decode("utf-8"
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, error) of .pdf, .docx, .txt and .md files, by suffix; another suffix or a file that can't be parsed has an error instead of a text."""
+    """(path, text, error) of .pdf, .docx, .txt and .md files of a folder."""
+    return parse_documents(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def parse_documents(files: DataFrame) -> DataFrame:
+    """(path, text, error) of files (path, content), by suffix; another suffix or a file that can't be parsed has an error instead of a text."""
 
     def run(batches):
         import pandas as pd
@@ -63,7 +68,7 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
                     out.append((p, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "text", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
 def page_rows(pages: DataFrame, most: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,17 +27,17 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "10 minutes",
     return e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def grow(stream: DataFrame, target: str, keys: list[str], checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def grow(stream: DataFrame, target: str, keys: list[str], checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, select: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Merge each batch of a stream into target: rows whose keys are there already stay as they are. A batch is written under its own
-    number, so a batch that is run again after a failure replaces its own rows and nothing else: exactly once."""
+    number, so a batch that is run again after a failure replaces its own rows and nothing else: exactly once. select: what of a batch goes on."""
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
+        new = (select(batch) if select else batch).dropDuplicates(keys)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             names = F.regexp_extract(F.input_file_name(), r"batch=(\d+)/", 1).cast("long")
-            old = spark.read.schema(stream.schema).parquet(f"{target}/batch=*").where(names != n).select(*keys).distinct()
+            old = spark.read.schema(new.schema).parquet(f"{target}/batch=*").where(names != n).select(*keys).distinct()
             new = new.join(old, keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{target}/batch={n}")
         if on_batch:
@@ -49,6 +50,16 @@ def read_grown(spark: SparkSession, target: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{target}/batch=*")
 
 
+def enrich(pages: DataFrame, queries: DataFrame, target: str, checkpoint: str, least: float = 0.3) -> StreamingQuery:
+    """Pages of a stream (page_id, url, content, fidelity) that answer a planned query, added to target batch by batch, each page once."""
+    from ..operators.build import enrichment_pages
+
+    def chosen(batch: DataFrame) -> DataFrame:
+        return enrichment_pages(queries, batch, least).select("page_id", "query", "url", "content", "fidelity")
+
+    return grow(pages, target, ["page_id"], checkpoint, select=chosen)
+
+
 def conversation_state(turns: DataFrame) -> DataFrame:
     """A session's turns so far, appended batch by batch: for each update (conv_id, n, last). Rows: conv_id, turn, role, text."""
     import pandas as pd
@@ -76,6 +87,17 @@ def progress(query: StreamingQuery) -> list[dict]:
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["batchDuration"] if "batchDuration" in p else None} for p in query.recentProgress]
 
 
+class Timer:
+    """Seconds of a block: with Timer() as t: ...; t.seconds."""
+
+    def __enter__(self):
+        self.began, self.seconds = time.monotonic(), 0.0
+        return self
+
+    def __exit__(self, *_):
+        self.seconds = time.monotonic() - self.began
+
+
 class Job:
     """A group of Spark jobs that can be cancelled together."""
 

@@ -19,7 +19,7 @@ def test_entities_of_all_documents(spark, tmp_path):
     texts = ["NeuralNet and GPU", "Der MüllerWagen, ÉCOLE, été", "éABC ²DEF ABCé GHI ÀJKL", 'sagte "schöne Grüße" zu NeuralNet é', "_ABC naïveNet NaiveNet, FooBaré"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     of = lambda t: set(re.findall(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", t) + re.findall(r"\b([A-Z]{3,})\b", t) + re.findall(r'"([^"]+)"', t))
-    got = {r.doc_id: r.n for r in registry.queries()["f19_entities_full"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n for r in registry.queries()["f19_entities"](spark, str(tmp_path)).collect()}
     assert got == {i: len(of(t)) for i, t in enumerate(texts)}
 
 
@@ -38,8 +38,8 @@ def test_more_queries_and_blocks_than_one_job_holds(spark):
 
 
 def test_two_hops_over_all_edges(spark):
-    test_queries.test_query_matches_sql(spark, "j10_two_hops_full")
-    rows = registry.queries()["j10_two_hops_full"](spark, DATA).where("v like 'Part#%'")
+    test_queries.test_query_matches_sql(spark, "j10_two_hops")
+    rows = registry.queries()["j10_two_hops"](spark, DATA).where("v like 'Part#%'")
     assert rows.where("u like 'Supplier#%'").count() > 0 and rows.select("w").distinct().count() > 1
 
 
@@ -54,11 +54,11 @@ def test_ntriples_of_all_kinds(spark, monkeypatch):
     uris += [(b + "likes", rdf + "type", owl + "ObjectProperty"), (b + "Rex", b + "likes", b + "Dog"), (b + "age", rdf + "type", owl + "DatatypeProperty"), (b + "Cat", owl + "disjointWith", b + "Dog"), (b.rstrip("#/"), rdf + "type", owl + "Ontology")]
     want = {f"<{s}> <{p}> <{o}> ." for s, p, o in uris} | {f'<{b}{x}> <{rdfs}label> "{x}" .' for x in ("Animal", "Dog", "Rex")}
     want |= {f'<{b}Animal> <{rdfs}comment> "a \\"living\\"\\nthing" .', f'<{b}Rex> <{b}age> "5"^^<{export.XSD}integer> .', f'<{b.rstrip("#/")}> <{rdfs}label> "ontology" .'}
-    got = [r.line for r in registry.queries()["k7_ntriples_full"](spark, DATA).collect()]
+    got = [r.line for r in registry.queries()["k7_ntriples"](spark, DATA).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["a12_correctness_full", "j3_node_context_full", "g7_relation_properties_full"])
+@pytest.mark.parametrize("name", ["a12_correctness", "j3_node_context", "g7_relation_properties"])
 def test_all_edges(spark, name):
     test_queries.test_query_matches_sql(spark, name)
     rows = [str(r) for r in registry.queries()[name](spark, DATA).collect()]

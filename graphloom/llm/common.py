@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import scratch_path, stored  # noqa: F401
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(df: DataFrame, columns: str) -> StructType:
+    """The schema of df, which may have any names, with further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
+
+
 def quoted(df: DataFrame) -> list:
     """All columns of df, whatever characters their names have."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

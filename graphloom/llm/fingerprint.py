@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, partitions, pieces, stored, table
+from .common import WordHash, extended, mix, partitions, pieces, stored, table
 
 #: Samples of a fingerprint; each is written as 16 bits. Terms are hashed words; weights are their counts.
 SAMPLES = 64
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",),
                 sig = s.sign(p.column(0))
                 yield pa.RecordBatch.from_arrays([*p.columns[1:], pa.array(map(text_of, sig), pa.string())], [*p.schema.names[1:], "fingerprint"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", fingerprint string"
+    schema = extended(docs.select(*keep), "fingerprint string")
     return docs.select(F.coalesce(text, F.lit("")), *keep).mapInArrow(run, schema)
 
 

@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import extended, table
 
 #: Hash buckets of n-grams, lengths of n-grams, and the count that each bucket has beforehand.
 BUCKETS, GRAMS, PRIOR = 1 << 16, (1, 2, 3), 0.1
-#: Most languages that a model may have: it bounds the matrix that is collected and broadcast (256 MB).
-MAX_LANGS = 1024
+#: Most languages that a model may have; more are an error. It bounds a task's counts (100 MB), what is collected (13 million
+#: rows of counts, 300 MB) and the matrix that is broadcast (50 MB).
+MAX_LANGS = 200
 UNKNOWN = "und"
 
 
@@ -127,7 +128,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "te
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
 
     kept = docs.select(*keep)
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", lang_pred string, score double"
+    schema = extended(kept, "lang_pred string, score double")
     return docs.select(text, *keep).mapInArrow(score, schema)
 
 

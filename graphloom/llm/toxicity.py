@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WordHash, grams, stored, table
+from .common import WordHash, extended, grams, stored, table
 from .language_id import held_out
 
 #: Word classes: what the first transducer writes.
@@ -261,7 +261,7 @@ def score(docs: DataFrame, terms: frozenset, weights: np.ndarray, keep: tuple =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s)], [*b.schema.names[1:], "score"])
 
     kept = docs.select(*keep)
-    return docs.select("text", *keep).mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", score double")
+    return docs.select("text", *keep).mapInArrow(run, extended(kept, "score double"))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> tuple[frozenset, np.ndarray]:

@@ -13,10 +13,8 @@ from .common import table
 #: Host, path, verdict of the production rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bound on the listed rules that are sent to every executor; above it the exact join shuffles.
-BROADCAST_ROWS = 100_000
-#: Bound on the different (labels in host, length of path) that prefix rules may have: a url is looked up once for each.
-MAX_SHAPES = 1024
+#: Bounds on the listed rules that are sent to every executor, in rows and bytes; above them the exact join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -44,10 +42,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url
     rules = listed.select(F.concat(tag, "host", "path").alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("hl"), "verdict", "exact",
                           F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).where("key is not null")
     rules = rules.groupBy("key").agg(F.first("rule").alias("rule"), F.first("hl").alias("hl"), F.max("verdict").alias("verdict"), F.first("exact").alias("exact"), F.first("labels").alias("labels"), F.first("chars").alias("chars"))
-    shapes = [tuple(r) for r in rules.where("not exact").select("labels", "chars").distinct().limit(MAX_SHAPES + 1).collect()]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"prefix rules have over {MAX_SHAPES} shapes; list whole urls as exact entries")
-    n = rules.count()
+    # what a url is looked up by: the different (labels of the host, characters of the path) of the prefix rules, in one row
+    shapes = rules.where("not exact").agg(F.sort_array(F.collect_set(F.struct("labels", "chars"))).alias("shapes"))
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("rule") + 32), F.lit(0))).first()
     bits = pages.sparkSession.sparkContext.broadcast(bloom.build(rules.select(F.xxhash64("key").alias("h")), "h", n, max_bytes))
 
     @F.arrow_udf("array<boolean>")
@@ -58,13 +55,15 @@ def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url
 
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
-    keys = [F.concat(F.lit("="), "host", "path")]
-    keys += [F.when(F.length("path") >= c, F.concat(F.lit("^"), F.substring_index("host", ".", -k), F.expr(f"left(path, {c})"))) for k, c in sorted(shapes)]
-    rows = rows.withColumn("keys", F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull())))
+    tail = lambda k: F.array_join(F.slice("parts", F.greatest(F.lit(1), F.size("parts") - k + 1), k), ".")
+    keys = F.transform(F.filter("shapes", lambda s: F.length("path") >= s.chars), lambda s: F.concat(F.lit("^"), tail(s.labels), F.substring("path", F.lit(1), s.chars)))
+    rows = rows.withColumn("parts", F.split("host", r"\.")).join(F.broadcast(shapes)).withColumn("keys", F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "host", "path")), keys))).drop("parts", "shapes")
     rows = rows.withColumn("flags", maybe(F.transform("keys", lambda k: F.xxhash64(k))))
     rows = rows.withColumn("key", F.explode_outer(F.filter("keys", lambda k, i: F.get("flags", i)))).select("row", "id", "host", "path", "key")
     small = rules.select("key", "rule", "hl", "verdict")
-    hit = rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, "key", "left")
+    # a url without a possible hit gets a key of its own that no rule has, so that such urls don't meet in one task
+    rows = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("\0"), F.col("row").cast("string"))))
+    hit = rows.join(F.broadcast(small) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else small, "key", "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("l"), F.col("hl"), F.col("verdict"), F.col("rule"))))
     out = hit.groupBy("row").agg(F.first("id").alias(id_col), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("b"))
     return out.select(id_col, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

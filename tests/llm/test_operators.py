@@ -124,6 +124,18 @@ def test_mix_slices_give_the_same_order(docs, monkeypatch):
     assert {(r.doc_id, r.size, r.taken) for r in mixing.mix(docs).collect()} == one
 
 
+@pytest.mark.parametrize("slices", [2000, 3])
+def test_copies_are_those_of_the_mix(spark, docs, none, monkeypatch, slices):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slices)
+    monkeypatch.setattr(mixing, "BLOCK_SLICES", 2)
+    count = lambda rows: collections.Counter((r.doc_id, r.source, r.copies) for r in rows)
+    whole = lambda d: mixing.copies(d).select("doc.doc_id", "doc.source", "copies").collect()
+    assert count(whole(docs)) == count(mixing.mix(docs).collect()) and mixing.copies(none).count() == 0
+    same = make(spark, [(1, "a b c", "a", "en")] * 41 + [(2, "d", "b", "en"), (3, None, "b", None)])  # the last key is one of repeated rows
+    got, want = count(whole(same)), count(mixing.mix(same).collect())
+    assert got == want and len([k for k in want if k[1] == "a"]) == 2
+
+
 # 3
 
 
@@ -496,7 +508,7 @@ def test_runs_are_merged_evenly_and_in_order(spark):
 
 def test_carried_columns_may_have_any_name(spark):
     odd = spark.createDataFrame([(1, "a b", "s", 1.5), (2, "a  b", "s", 2.5)], "doc_id long, text string, source string, `a.b``c` double")
-    for rows in (exact_dedup.exact_dedup(odd, carry=True), mixing.mix(odd, carry=True)):
+    for rows in (exact_dedup.exact_dedup(odd, carry=True), mixing.copies(odd)):
         assert sorted(tuple(r.doc) for r in rows.collect()) == [(1, "a b", "s", 1.5), (2, "a  b", "s", 2.5)]
 
 

@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, carry=True)
+    mixed = mixing.copies(docs)
     return mixed.select(DOC, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(f"{DOC}.*")
 
 

@@ -135,8 +135,10 @@ def near_join(docs: DataFrame, seed: int | None = None) -> DataFrame:
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     at = banded.join(kept.select("bucket", tiles.alias("m")), "bucket").withColumn("tile", F.pmod(F.xxhash64("row"), "m").cast("int"))
     places = at.groupBy("row").agg(F.collect_list(F.struct("bucket", "m", "tile")).alias("places"))
-    # one text for each key, and one for each partition before they travel: repeated rows are no more to compare
-    texts = docs.select(doc_key(seed).alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = docs.select(doc_key(seed).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    if not t.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # repeated rows: one text for each key, and one for each partition before they travel, so that they are no more to compare
+        texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     members = places.join(reps.select("row", "key", "sig", "bands", "size"), "row").join(texts, "key")
     members = members.select("row", "sig", "bands", "size", "text", F.explode("places").alias("p")).select("row", "sig", "bands", "size", "text", "p.bucket", "p.m", "p.tile")
     other = F.explode(F.when(F.col("m") > 1, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array("tile")))

@@ -11,7 +11,7 @@ from graphloom.plans import registry
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A spread of operators; the whole list runs with TEST_ALL=1.
-SOME = ["p1_classes", "p6_noise", "j1_inheritance", "j7_cooccurrence", "g2_closure", "a1_triples", "a12_correctness", "w1_query_cap", "f16_relaxed_recall", "f24_fidelity", "o1_top_k", "t7_sessions", "k7_ntriples", "r4_context"]
+SOME = ["p1_classes", "p6_noise", "j1_inheritance", "j7_cooccurrence", "g2_closure", "a1_triples", "a12_correctness", "w1_query_cap", "f16_relaxed_recall", "f24_fidelity", "o1_top_k", "t7_sessions", "k7_turtle", "r4_context"]
 
 
 def plain(v):

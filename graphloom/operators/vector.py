@@ -104,26 +104,29 @@ def similar_pairs(vectors: DataFrame, threshold: float, max_left: int = 10_000,
     return reduce(DataFrame.unionByName, [*kept, *found] or [none])
 
 
-def clusters(vectors: DataFrame, threshold: float = fixed.ORPHAN_COSINE) -> DataFrame:
-    """(vec_id, leader): greedy leaders within components of similar pairs, in order of id."""
-    import pandas as pd
+def clusters(vectors: DataFrame, threshold: float = fixed.ORPHAN_COSINE, at_once: int = 500_000) -> DataFrame:
+    """(vec_id, leader): greedy leaders in order of id. A vector that is like an earlier leader follows the first such one, any other leads.
+
+    While over at_once pairs are open, a round on all executors lets the vectors without an open earlier neighbour lead, and what is like
+    them follow; each round settles some, so it ends. So many pairs or fewer, two numbers each, are settled in order by one task. Both ways give the same leaders."""
+    import pyarrow as pa
 
-    pairs = similar_pairs(vectors, threshold)
-    comps = connected_components(pairs, "a", "b").withColumnRenamed("node", "vec_id")
-    near = pairs.groupBy(F.col("b").alias("vec_id")).agg(F.sort_array(F.collect_list("a")).alias("before"))
-    rows = comps.join(near, "vec_id", "left")
-
-    def lead(g):
-        leaders, out = set(), []
-        for v, before in sorted(zip(g.vec_id, g.before, strict=True), key=lambda r: r[0]):
-            hit = next((b for b in (before if before is not None else ()) if b in leaders), None)
-            if hit is None:
-                leaders.add(v)
-            out.append((v, v if hit is None else hit))
-        return pd.DataFrame(out, columns=["vec_id", "leader"])
-
-    grouped = rows.groupBy("component").applyInPandas(lead, "vec_id long, leader long")
-    return vectors.select("vec_id").join(grouped, "vec_id", "left").select("vec_id", F.coalesce("leader", "vec_id").alias("leader"))
+    def settle(batches):
+        held = [np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+        led = set()
+        for a, b in sorted(map(tuple, np.concatenate(held).tolist()), key=lambda r: r[1]) if held else ():
+            if a not in led:
+                led.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(led), pa.int64())], ["b"])
+
+    pairs = stored(similar_pairs(vectors, threshold).select("a", "b"), "pairs")
+    live, led = pairs, []
+    while live.count() > at_once:
+        led.append(stored(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select("b").distinct(), "led"))
+        live = stored(live.join(led[-1], "b", "left_anti").join(led[-1].withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "live")
+    led = reduce(DataFrame.unionByName, [*led, live.repartition(1).mapInArrow(settle, "b long")])
+    first = pairs.join(led.withColumnRenamed("b", "a"), "a", "left_anti").groupBy(F.col("b").alias("vec_id")).agg(F.min("a").alias("leader"))
+    return vectors.select("vec_id").join(first, "vec_id", "left").select("vec_id", F.coalesce("leader", "vec_id").alias("leader"))
 
 
 def link_orphans(nodes: DataFrame, edges: DataFrame, threshold: float = fixed.ORPHAN_COSINE, k: int = 5, make=hash_encoder) -> DataFrame:

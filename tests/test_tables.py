@@ -72,6 +72,11 @@ def test_cooccurrence(spark):
     m = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", 2), ("c", 2), ("c", 1)], "id string, chunk_id long")
     known = spark.createDataFrame([("c", "a")], "src string, dst string")
     assert {(r.a, r.b, r.shared) for r in merge.cooccurrence(m, known).collect()} == {("a", "b", 2), ("b", "c", 2)}
+    hot = spark.createDataFrame([(f"e{i}", c) for i in range(40) for c in range(1 + i % 3)] + [("e1", None), ("e2", None)], "id string, chunk_id int")
+    want = {(*sorted((f"e{i}", f"e{j}")), 1 + min(i % 3, j % 3)) for i in range(40) for j in range(i) if min(i % 3, j % 3)}
+    for tile in (3, 1024):
+        got = [(r.a, r.b, r.shared) for r in merge.cooccurrence(hot, known, tile=tile).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_set_cover_gains_fall(spark):
@@ -96,6 +101,12 @@ def test_top_k_and_clusters_match_numpy(spark):
         got[i] = i if hit is None else hit
         leaders += [i] if hit is None else []
     assert {r.vec_id: r.leader for r in vector.clusters(v, 0.9).collect()} == got
+    leaders, wide = [], {}
+    for i in range(120):
+        wide[i] = next((j for j in leaders if u[i] @ u[j] >= 0.5), i)
+        leaders += [i] if wide[i] == i else []
+    for at_once in (0, 200, 500_000):  # all by rounds, some, none
+        assert {r.vec_id: r.leader for r in vector.clusters(v, 0.5, at_once).collect()} == wide
 
 
 def test_canonical_names_join_overlaps(spark):

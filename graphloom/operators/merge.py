@@ -80,17 +80,23 @@ def merge_counters(old_nodes, new_nodes, old_edges, new_edges) -> DataFrame:
 def cooccurrence(members: DataFrame, related: DataFrame, least: int = 2, tile: int = 1024) -> DataFrame:
     """(a, b, shared): pairs of entities that share least chunks, from members (id, chunk_id), without pairs that related (src, dst)
     has in either direction. The join is by chunk, not by pair; a chunk of over tile entities is dealt into tiles of about so many, and
-    each two of its tiles meet as a key of their own, so that no task compares a whole hot chunk."""
+    each two of its tiles meet as a key of their own, so that no task compares a whole hot chunk. One count tells whether there is one."""
     m = members.select("id", "chunk_id").distinct()
+    largest = members.groupBy("chunk_id").agg(F.count("*").alias("n")).where("chunk_id is not null").agg(F.max("n")).first()[0] or 0
+    pairs = _tiled_pairs(m, tile) if largest > tile else m.withColumnRenamed("id", "a").join(m.withColumnRenamed("id", "b"), "chunk_id").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    known = related.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return pairs.join(known, ["a", "b"], "left_anti")
+
+
+def _tiled_pairs(m: DataFrame, tile: int) -> DataFrame:
+    """(a, b), a < b, for each chunk of distinct (id, chunk_id) that has both; a task's key holds two tiles at most."""
     tiles = m.groupBy("chunk_id").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     t = m.join(tiles, "chunk_id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")))
     t = t.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("x", F.least("t", "o")).withColumn("y", F.greatest("t", "o"))
     left, right = t.select("chunk_id", "x", "y", F.col("id").alias("a"), F.col("t").alias("p")), t.select("chunk_id", "x", "y", F.col("id").alias("b"), F.col("t").alias("q"))
     # two entities of one tile meet where it is paired with itself only
-    pairs = left.join(right, ["chunk_id", "x", "y"]).where("a < b and (p != q or x = y)")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    known = related.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
+    return left.join(right, ["chunk_id", "x", "y"]).where("a < b and (p != q or x = y)")
 
 
 def interleave(rows: DataFrame, batch: int) -> DataFrame:

@@ -3,6 +3,9 @@ interval of its occurrences, and intervals of windows that start earlier elsewhe
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WordHash, doc_key, grams, key_seed, runs, stored, table
+from .common import doc_key, grams, key_seed, mix, pieces, runs, stored, table
 
 #: Words of a window, and of the gram whose least hash sends a window to its shard.
 WINDOW, GRAM = 20, 5
@@ -18,6 +21,8 @@ WINDOW, GRAM = 20, 5
 STRIDE = 5
 #: Segments in a shard's index and in a task, on average; segments of one gram above which its windows are grouped by their digests instead.
 SHARD, TASK, HOT = 8_000, 64_000, 20_000
+#: Bytes of texts that are cut at once; a word of more bytes than LONG is hashed by itself.
+PIECE, LONG = 1 << 20, 64
 
 
 class Bits:
@@ -139,12 +144,13 @@ def windows_of(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def repeated(segments: list[bytes]) -> list[np.ndarray]:
     """For segments (words joined by a space) in order: which of each one's windows also start earlier in them."""
-    ids: dict[bytes, int] = {}
-    number = ids.setdefault
-    split = [s.split(b" ") for s in segments]
-    text = np.fromiter((x for s in split for x in (*(number(w, len(ids) + 1) for w in s), 0)), np.int64)
-    lengths = np.array([len(s) for s in split])
-    starts = np.cumsum(lengths + 1) - lengths - 1
+    ids = defaultdict(itertools.count().__next__)
+    ids[b"\n"]  # 0, between segments: no word is a line feed
+    words = b" \n ".join([*segments, b""]).split(b" ")[:-1]
+    text = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    ends = np.flatnonzero(text == 0)
+    lengths = np.diff(ends, prepend=-1) - 1
+    starts = ends - lengths
     counts = lengths - WINDOW + 1
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     fm, gram = FMIndex.build(text)
@@ -155,16 +161,52 @@ def repeated(segments: list[bytes]) -> list[np.ndarray]:
     return np.split(flag, np.cumsum(counts)[:-1])
 
 
-def segments(words: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows whose least gram is the same one: its hash, first word, number of words. Equal windows have equal least grams."""
-    n = len(words) - WINDOW + 1
-    if n <= 0:
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text: where each begins and ends, and a hash of its bytes, taken eight at a time over all words at once. The hashes only say where
+    windows go, so words that share one do no harm."""
+    buf = np.frombuffer(text + bytes(8), np.uint8)
+    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    space[len(text) :] = True
+    edges = np.flatnonzero(np.diff(space, prepend=True))
+    start, end = edges[::2], edges[1::2]
+    eight = np.ndarray(len(text) + 1, "<u8", buf, strides=(1,))
+    n = end - start
+    h = np.zeros(len(start), np.uint64)
+    todo = np.flatnonzero(n <= LONG)
+    for k in range(0, LONG, 8):
+        todo = todo[n[todo] > k]
+        if not len(todo):
+            break
+        unused = (8 * np.maximum(0, 8 - (n[todo] - k))).astype(np.uint64)
+        h[todo] = mix(h[todo] * np.uint64(0x9E3779B97F4A7C15) + ((eight[start[todo] + k] << unused) >> unused))
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]])
+    return start, end, h
+
+
+def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of windows of a text whose least gram is the same one: its hash, the text's place in the list, first word, number of words, and the bytes [a, b)
+    of the texts joined by a line feed. Equal windows have equal least grams."""
+    start, end, h = hashed(b"\n".join(texts))
+    if len(h) < WINDOW:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
-    g = grams(hashes.array(words), GRAM)
-    least = np.lib.stride_tricks.sliding_window_view(g, WINDOW - GRAM + 1).argmin(axis=1) + np.arange(n)
-    cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return g[least[cut]], cut, np.diff(np.r_[cut, n]) + WINDOW - 1
+        return none.astype(np.uint64), none, none, none, none, none
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    first = np.searchsorted(start, at)
+    of = np.repeat(np.arange(len(texts)), np.diff(first))
+    g = grams(h, GRAM)
+    value, least = g, np.arange(len(g))
+    width = 1
+    while width < WINDOW - GRAM + 1:  # the first of the least in twice as many grams, until all of a window's are compared
+        step = min(width, WINDOW - GRAM + 1 - width)
+        right = value[step:] < value[:-step]
+        value, least = np.where(right, value[step:], value[:-step]), np.where(right, least[step:], least[:-step])
+        width += step
+    inside = np.flatnonzero(of[: len(of) - WINDOW + 1] == of[WINDOW - 1 :])
+    cut = np.flatnonzero(np.r_[True, (np.diff(inside) > 1) | (least[inside[1:]] != least[inside[:-1]])]) if len(inside) else inside
+    n = np.diff(np.r_[cut, len(inside)]) + WINDOW - 1 if len(inside) else cut
+    i = inside[cut]
+    return g[least[i]], of[i], i - first[of[i]], n, start[i], end[i + n - 1]
 
 
 def covered(start: int, flags: np.ndarray) -> list[tuple[int, int]]:
@@ -191,33 +233,29 @@ def find_repeats(docs: DataFrame, seed: int = 0, bloom_bytes: int = 32 << 20) ->
     """
 
     def count(batches):
-        h = WordHash()
         for b in batches:
-            got = [segments(t, h)[0] for t in map(split, b.column("text").to_pylist())]
+            got = [segments(texts_of(part))[0] for part in pieces(b, 0, PIECE)]
             u, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    rows = docs.select(doc_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(doc_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     often = stored(rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(often, "gram", often.count(), bloom_bytes))
 
     def cut(batches):
-        h = WordHash()
         for b in batches:
-            keys, ids = b.column("key").to_pylist(), b.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for k, i, t in zip(keys, ids, b.column("text").to_pylist(), strict=True):
-                words = split(t)
-                gram, start, n = segments(words, h)
-                ok = bloom.probe(bits.value, gram)
-                for g, a, m in zip(gram[ok].view(np.int64).tolist(), start[ok].tolist(), n[ok].tolist(), strict=True):
-                    s = b" ".join(words[a : a + m])
-                    out.append((g, xxhash.xxh3_128_digest(s), i, k, a, m, s))
-                if len(out) > 20_000:
-                    yield made(out)
+            for part in pieces(b, 2, PIECE):
+                keys, ids, texts = part.column("key").to_pylist(), part.column("doc_id").to_pylist(), texts_of(part)
+                found = segments(texts)
+                ok = bloom.probe(bits.value, found[0])
+                joined = b"\n".join(texts)
+                gram, *rest = (x[ok] for x in found)
+                for i in range(0, len(gram), 20_000):
                     out = []
-            if out:
-                yield made(out)
+                    for g, d, start, n, a, z in zip(*(x[i : i + 20_000].tolist() for x in (gram.view(np.int64), *rest)), strict=True):
+                        s = b" ".join(joined[a:z].split())
+                        out.append((g, xxhash.xxh3_128_digest(s), ids[d], keys[d], start, n, s))
+                    yield made(out)
 
     def made(out):
         types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -266,6 +304,10 @@ def find_repeats(docs: DataFrame, seed: int = 0, bloom_bytes: int = 32 << 20) ->
     return found
 
 
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.large_binary()).to_pylist()
+
+
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 

@@ -263,6 +263,21 @@ def test_substrings_match_brute_force(docs, none, monkeypatch, hot):
     assert substring.drop_repeats(none).count() == 0 and substring.drop_repeats(docs).count() == len(messy())
 
 
+def test_segments_hold_each_window_once():
+    rng = np.random.default_rng(3)
+    vocabulary = [b"a", b"bb", "é😀".encode(), b"q" * 8, b"q" * 9, b"y" * 64, b"y" * 65, b"\x00", b"\xc2\xa0"]
+    texts = [b"".join(vocabulary[rng.integers(9)] + [b" ", b"\n", b" \t", b"\x0b"][rng.integers(4)] for _ in range(n)) for n in (0, 1, 19, 20, 21, 40, 300, 0, 5, 300)]
+    joined, found, gram_of = b"\n".join(texts), collections.Counter(), {}
+    for gram, i, start, n, a, z in zip(*(x.tolist() for x in substring.segments(texts)), strict=True):
+        w = joined[a:z].split()
+        assert w == texts[i].split()[start : start + n]
+        for j in range(n - 19):
+            found[i, start + j] += 1
+            assert gram_of.setdefault(tuple(w[j : j + 20]), gram) == gram
+    assert found == collections.Counter((i, j) for i, t in enumerate(texts) for j in range(len(t.split()) - 19))
+    assert all(len(x) == 0 for none in ([], [b""], [b"", b"a"]) for x in substring.segments(none))
+
+
 def test_fm_index_intervals():
     rng = np.random.default_rng(0)
     text = np.r_[rng.integers(1, 4, 300), 0, rng.integers(1, 4, 200), 0]

@@ -62,9 +62,9 @@ def gaps(nodes: DataFrame, most: int = 15) -> DataFrame:
 
 
 def fill_gaps(gap_rows: DataFrame, pages: DataFrame, least: int = 50) -> DataFrame:
-    """(id, page_id, content): for each gap the first page of its query, else the first page whose query contains its name; pages (page_id, query, content) of least characters. Gaps are few and go to every task."""
+    """(id, page_id, content): for each gap the first page of its query, else the first page whose query contains its name; pages (page_id, query, content) of least characters. Catalyst sends gaps to every task where they are small."""
     p = pages.where(F.length("content") >= least)
-    g = F.broadcast(gap_rows.select("id"))
+    g = gap_rows.select("id")
     exact = p.join(g, F.col("query") == F.col("id")).withColumn("how", F.lit(0))
     part = p.join(g, F.contains(F.lower("query"), F.lower("id"))).withColumn("how", F.lit(1))
     best = exact.unionByName(part).groupBy("id").agg(F.min(F.struct("how", "page_id", "content")).alias("b"))

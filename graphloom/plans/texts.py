@@ -29,14 +29,14 @@ def p4(spark, d):
 
 @query("p5_grounded", "SELECT doc_id, b AS name, contains(lower(text), lower(b)) OR EXISTS (SELECT 1 FROM unnest(regexp_split_to_array(lower(b), '\\s+')) x(w) WHERE length(w) > 3 AND contains(lower(text), w)) AS grounded FROM documents, (SELECT DISTINCT p_name AS b FROM part)")
 def p5(spark, d):
-    n = F.broadcast(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct())
+    n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return table(spark, d, "documents").join(n).select("doc_id", "name", text.grounded("name", "text").alias("grounded"))
 
 
 @query("p5_grounded_full")
 def p5b(spark, d):
     """With difflib's ratio, which SQL lacks; tests hold this against plain Python."""
-    n = F.broadcast(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct())
+    n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return table(spark, d, "documents").join(n).select("doc_id", "name", text.grounded_or_similar("name", "text").alias("grounded"))
 
 
@@ -97,7 +97,7 @@ def f9(spark, d):
 @query("f10_token_overlap", "SELECT a, b, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS overlap FROM (SELECT a, b, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM (SELECT DISTINCT p_name AS a FROM part), (SELECT DISTINCT p_name AS b FROM part))")
 def f10(spark, d):
     p = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-    return p.join(F.broadcast(p.withColumnRenamed("a", "b"))).select("a", "b", text.token_overlap("a", "b").alias("overlap"))
+    return p.join(p.withColumnRenamed("a", "b")).select("a", "b", text.token_overlap("a", "b").alias("overlap"))
 
 
 @query("f11_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")
@@ -196,7 +196,7 @@ def f24(spark, d):
 
 @query("f25_source_label", "SELECT s_name || ' supplies ' || p_name AS label FROM supplier, (SELECT DISTINCT p_name FROM part) UNION ALL SELECT c_name FROM customer")
 def f25(spark, d):
-    s = table(spark, d, "supplier").select(F.replace("s_name", F.lit("-"), F.lit("_")).alias("s_name")).join(F.broadcast(table(spark, d, "part").select("p_name").distinct()))
+    s = table(spark, d, "supplier").select(F.replace("s_name", F.lit("-"), F.lit("_")).alias("s_name")).join(table(spark, d, "part").select("p_name").distinct())
     refs = s.select(F.concat(F.lit("edge:"), "s_name", F.lit("-supplies-"), "p_name").alias("ref")).union(table(spark, d, "customer").select(F.concat(F.lit("node:"), "c_name")))
     return refs.select(text.source_label("ref").alias("label"))
 

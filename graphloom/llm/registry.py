@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, fingerprint, language_id, mixing, near_join, packing, substring, toxicity, url_filter, warc
+from . import exact_dedup, filter_audit, fingerprint, language_id, mixing, near_join, packing, substring, toxicity, url_filter, warc
 
 
 def queries():
@@ -15,8 +15,9 @@ def queries():
         "op8_language_id": language_id.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_packing": packing.op10_packing,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_filter.ORACLE, "op2_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op2_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}

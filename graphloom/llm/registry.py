@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, filter_audit, fingerprint, language_id, mixing, near_join, packing, substring, toxicity, url_filter, warc
+from . import centroids, exact_dedup, filter_audit, fingerprint, language_id, mixing, near_join, near_vectors, packing, substring, toxicity, url_filter, warc
 
 
 def queries():
@@ -16,8 +16,10 @@ def queries():
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_packing": packing.op10_packing,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_near_vectors": near_vectors.op13_near_vectors,
     }
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_filter.ORACLE, "op2_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op2_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_centroids": centroids.ORACLE, "op13_near_vectors": near_vectors.ORACLE}

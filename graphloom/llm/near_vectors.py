@@ -89,10 +89,12 @@ class Index:
     def __init__(self, sample: np.ndarray, words: int, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.half = sample.shape[1] // 2
-        self.words = [codebook(h, words, rng) for h in self.halves(sample)]
+        fit = sample[: max(words, 3 * len(sample) // 4)]
+        self.words = [codebook(h, words, rng) for h in self.halves(fit)]
         self.angle = math.acos(threshold)
-        # the target recall: rows and others at exactly the threshold, in any direction; a pair is found if either visits the other's cell
-        q = sample[rng.integers(0, len(sample), PAIRS)]
+        # the target recall: rows that the codebooks weren't fitted on, and others at exactly the threshold, in any direction; a pair is found if either visits the other's cell
+        q = sample[len(fit) :] if len(sample) > len(fit) else sample
+        q = q[rng.integers(0, len(q), PAIRS)]
         off = rng.normal(size=q.shape)
         off -= (off * q).sum(axis=1, keepdims=True) * q
         size = np.linalg.norm(off, axis=1, keepdims=True)
@@ -270,12 +272,12 @@ def found_links(reps: DataFrame, n: int, length: int, kind: str, threshold: floa
 
     def code(batches):
         for b in batches:
-            for b in (b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)):
-                home, rows, visits = sent.value.places(unit(b.column("v").to_pylist(), kind))
+            for t in (b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)):
+                home, rows, visits = sent.value.places(unit(t.column("v").to_pylist(), kind))
                 order = np.argsort(rows, kind="stable")
-                ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=b.num_rows))].astype(np.int32)
+                ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=t.num_rows))].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(visits[order].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "size", "v")), pa.array(home.astype(np.int32)), lists], ["row", "size", "v", "home", "visits"])
+                yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("row", "size", "v")), pa.array(home.astype(np.int32)), lists], ["row", "size", "v", "home", "visits"])
 
     coded = stored(reps.select("row", "size", "v").mapInArrow(code, "row long, size long, v binary, home int, visits array<int>"), "coded")
     one = lambda c, at_home: coded.select(c.alias("place"), F.lit(at_home).alias("h"))

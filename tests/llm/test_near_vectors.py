@@ -68,6 +68,14 @@ def test_links_match_all_pairs(spark):
     assert ordered(out.collect()) == ordered(brute(rows))
 
 
+@pytest.fixture
+def batches_of_all_rows(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_tiles_slices_and_no_crowds(spark, monkeypatch):
     rows = [r for r in messy() if r[1] and len(r[1]) == 64]
     for name, value in (("TILE", 16), ("VISITORS", 24), ("CROWD", 10**6)):
@@ -86,14 +94,14 @@ def test_few_and_no_rows(spark, kind):
     assert ordered(near_vectors.near_vectors(frame(spark, [(1, None)], kind)).collect()) == [(1, 0, 1, True)]
 
 
-def test_recall_of_pairs_at_the_threshold(spark):
+def test_recall_of_pairs_at_the_threshold(spark, batches_of_all_rows):
     rng = np.random.default_rng(6)
     base = unit_vectors(rng, 3000)
     other = np.concatenate([around(rng, v, 0.9501, 1) for v in base])
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, other]))]
     x = np.concatenate([base, other])
     links = int((x @ x.T >= 0.95).sum()) - len(x)
-    got = near_vectors.near_vectors(frame(spark, rows)).groupBy().sum("n_links").first()[0]
+    got = near_vectors.near_vectors(frame(spark, rows).coalesce(1)).groupBy().sum("n_links").first()[0]
     assert links >= 6000 and 0.99 * links <= got <= links
 
 

@@ -65,12 +65,17 @@ def taxonomy(classes: DataFrame, most: int | None = None) -> DataFrame:
     return out.select("name", "parent", "description", "synonyms")
 
 
-def build(docs: DataFrame, axioms: DataFrame, settings: Settings | None = None, extractor=extract.extract_rules) -> dict[str, DataFrame]:
-    """nodes, edges, inferred, errors of docs. Chunk ids are doc_id and chunk_id as one text, so votes are chunks that say the same."""
+def build(docs: DataFrame, axioms: DataFrame, settings: Settings | None = None, extractor=None, staged: bool = False) -> dict[str, DataFrame]:
+    """nodes, edges, inferred, errors of docs; staged, with extract.staged_extract, data_props and axioms as well, and the axioms found
+    take part in the inference. Chunk ids are doc_id and chunk_id as one text, so votes are chunks that say the same."""
     s = (settings or Settings()).effective()
-    got = stored(extract.extract(chunk(docs, s), extractor).withColumn("chunk", F.concat_ws(":", "doc_id", "chunk_id")), "extracted")
-    cls = got.select("chunk", F.inline("classes"))
-    ins = got.select("chunk", F.inline("instances"))
+    if staged:
+        got = extract.staged_extract(chunk(docs, s), extractor or extract.staged_rules)
+    else:
+        got = extract.extract(chunk(docs, s), extractor or extract.extract_rules)
+    got = stored(got.withColumn("chunk", F.concat_ws(":", "doc_id", "chunk_id")), "extracted")
+    cls = got.select("chunk", F.inline("classes")).select("chunk", "name", "parent", "description")
+    ins = got.select("chunk", F.inline("instances")).select("chunk", "name", "class_name")
     rel = got.select("chunk", F.inline("relations"))
     raw = cls.select("name", F.xxhash64("chunk").alias("seq"), "parent", "description", F.array().cast("array<string>").alias("synonyms"))
     tax = stored(taxonomy(raw), "taxonomy")
@@ -81,7 +86,11 @@ def build(docs: DataFrame, axioms: DataFrame, settings: Settings | None = None,
     nodes = tax.select(F.col("name").alias("id"), F.lit("Class").alias("type"), F.lit("class").alias("kind"), "description")
     nodes = nodes.unionByName(ins.groupBy(F.col("name").alias("id")).agg(F.min("class_name").alias("type")).select("id", "type", F.lit("instance").alias("kind"), F.lit(None).cast("string").alias("description")))
     nodes = nodes.groupBy("id").agg(F.min_by(F.struct("type", "kind", "description"), "kind").alias("n")).select("id", "n.*").withColumn("seq", F.xxhash64("id"))
-    return {"nodes": nodes, "edges": edges, "inferred": reason.infer(edges, axioms), "errors": got.where("error is not null").select("doc_id", "chunk_id", "error")}
+    out = {"nodes": nodes, "edges": edges, "errors": got.where("error is not null").select("doc_id", "chunk_id", "error")}
+    if staged:
+        axioms = axioms.select("axiom_type", "entities").unionByName(got.select(F.inline("axioms"))).distinct()
+        out |= {"axioms": axioms, "data_props": got.select(F.inline("data_properties")).distinct()}
+    return out | {"inferred": reason.infer(edges, axioms)}
 
 
 def gated_merge(old: dict, new: dict, min_score: float = 0.0, min_nodes: int = 0) -> tuple[dict, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..scratch import stored
 
 
 def chunk_stats(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -117,6 +118,193 @@ def extract(chunks: DataFrame, extractor: Callable[[str], dict] = extract_rules,
     return chunks.select("doc_id", "chunk_id", "text").mapInPandas(run, f"doc_id long, chunk_id long, {EXTRACTION}, error string")
 
 
+#: What each stage of a staged extraction asks for, as columns of rows.
+STAGES = {
+    "classes": {"classes": "array<struct<name:string,parent:string,description:string,salience:double>>"},
+    "instances": {"instances": "array<struct<name:string,class_name:string,description:string>>"},
+    "relations": {
+        "relations": "array<struct<src:string,relation:string,dst:string,confidence:double>>",
+        "data_properties": "array<struct<entity:string,attribute:string,value:string,datatype:string>>",
+        "axioms": "array<struct<axiom_type:string,entities:array<string>>>",
+    },
+}
+#: Names that models give the fields of a row.
+ALIASES = {"src": ("src", "source"), "dst": ("dst", "target"), "entity": ("entity", "subject"), "axiom_type": ("axiom_type", "type"), "relations": ("relations", "object_properties")}
+NOT_A = re.compile(r"\bno\s+([A-Za-z][\w-]*)\s+is\s+an?\s+([A-Za-z][\w-]*)", re.I)
+VALUE = re.compile(r"\b([\w-]+)\s+has\s+an?\s+([\w-]+)\s+of\s+([\w-]+)", re.I)
+
+
+def staged_rules(stage: str, chunk: str, classes: list[dict], instances: list[dict]) -> dict:
+    """The deterministic extractor by stages: as extract_rules, with classes that 'a dog is an animal' names, instances of known classes, and 'X has a size of 3' as a value and 'no X is a Y' as disjointness."""
+    got = extract_rules(chunk)
+    if stage == "classes":
+        of_class = {a.lower() for pair in IS_A.findall(chunk) for a in pair}
+        return {"classes": [c for c in got["classes"] if c["name"] in of_class]}
+    known = {c["name"].lower() for c in classes}
+    if stage == "instances":
+        return {"instances": [i for i in got["instances"] if i["class_name"].lower() in known]}
+    values = [{"entity": e, "attribute": a, "value": v, "datatype": "integer" if v.isdigit() else "string"} for e, a, v in VALUE.findall(chunk)]
+    return {"relations": got["relations"], "data_properties": values, "axioms": [{"axiom_type": "disjointness", "entities": [a.lower(), b.lower()]} for a, b in NOT_A.findall(chunk)]}
+
+
+def prompted(model: Callable[[str], str], prompts: dict[str, str]) -> Callable:
+    """A stage extractor by a text model: prompts has, by stage, a text with {chunk}, {classes} and {instances}; the reply is JSON, mended where it can be."""
+
+    def ask(stage, chunk, classes, instances):
+        text = prompts[stage]
+        for name, value in (("classes", json.dumps(classes)), ("instances", json.dumps(instances)), ("chunk", chunk)):
+            text = text.replace("{" + name + "}", value)
+        return repair_json(model(text))
+
+    return ask
+
+
+def _rows_of(reply, column: str, kind: str) -> list[dict]:
+    """The rows of one column in a stage's reply: a list alone, or under the column's name; fields by any of their names; anything else is left out."""
+    if isinstance(reply, dict):
+        reply = next((reply[k] for k in ALIASES.get(column, (column,)) if k in reply), [])
+    names, out = re.findall(r"(\w+):", kind), []
+    for r in reply if isinstance(reply, list) else []:
+        if isinstance(r, dict):
+            row = {n: next((r[k] for k in ALIASES.get(n, (n,)) if r.get(k) is not None), None) for n in names}
+            for n in row:
+                if row[n] is not None and n in ("confidence", "salience"):
+                    row[n] = float(row[n]) if isinstance(row[n], (int, float)) else None
+                elif row[n] is not None and n == "entities":
+                    row[n] = [str(x) for x in row[n]] if isinstance(row[n], list) else []
+                elif row[n] is not None:
+                    row[n] = str(row[n])
+            out.append(row)
+    return out
+
+
+def _stage(chunks: DataFrame, stage: str, extractor: Callable, attempts: int) -> DataFrame:
+    """chunks (doc_id, chunk_id, text, known_classes, known_instances) with the stage's columns and its error."""
+    columns = STAGES[stage]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for t, classes, instances in zip(b["text"], b["known_classes"], b["known_instances"], strict=True):
+                rows, why = {}, None
+                for _ in range(attempts):
+                    try:
+                        reply = extractor(stage, t or "", json.loads(classes), json.loads(instances))
+                        rows, why = {c: _rows_of(reply, c, k) for c, k in columns.items() if len(columns) == 1 or isinstance(reply, dict)}, None
+                        break
+                    except Exception as e:  # any failure of a model
+                        why = str(e)[:500]
+                        if any(f in why.lower() for f in FATAL):
+                            break
+                out.append((*(rows.get(c, []) for c in columns), why))
+            yield pd.concat([b[["doc_id", "chunk_id"]].reset_index(drop=True), pd.DataFrame(out, columns=[*columns, "error"])], axis=1)
+
+    kinds = ", ".join(f"{c} {k}" for c, k in columns.items())
+    doc, chunk = (chunks.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_id"))
+    return chunks.select("doc_id", "chunk_id", "text", "known_classes", "known_instances").mapInPandas(run, f"doc_id {doc}, chunk_id {chunk}, {kinds}, error string")
+
+
+def _vocabulary(rows: DataFrame, key: list[str], most: int, columns: list[str]) -> DataFrame:
+    """key, known (JSON list) of rows (key, name, salience, more columns): each key's different names by lower case, most salient first, then by name,
+    while their JSON has at most so many characters. A name's row is the least one of its most salient."""
+    order = F.struct((-F.coalesce("salience", F.lit(1.0))).alias("s"), *columns)
+    first = rows.where("trim(name) != ''").groupBy(*key, F.lower(F.trim("name")).alias("_n")).agg(F.min(order).alias("r"))
+    first = first.select(*key, "_n", "r", F.to_json(F.struct(*(F.col(f"r.{c}").alias(c) for c in columns))).alias("j"))
+    used = F.sum(F.length("j") + 2).over(Window.partitionBy(*key).orderBy("r.s", "_n").rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("_u", used).where(F.col("_u") <= most)
+    return kept.groupBy(*key).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r.s", "_n", "j"))), lambda x: x.j), ", "), F.lit("]")).alias("known"))
+
+
+def staged_extract(chunks: DataFrame, extractor: Callable = staged_rules, scope: str = "document", attempts: int = 3, vocabulary: int = 3000, strict: bool = True) -> DataFrame:
+    """Three stages: classes of each chunk; instances, asked with the known classes; relations, data properties and axioms, asked with both.
+
+    One row for each row of chunks (doc_id, chunk_id, text): doc_id, chunk_id, classes, instances, relations, data_properties, axioms, errors (by
+    stage), error (the first, or null). What is known to a chunk is what earlier stages found in its document, or, with scope "chunk", in
+    itself; of that the most salient rows whose JSON has vocabulary characters are asked with. extractor: (stage, text,
+    classes, instances) to rows. A class none of whose words is in its chunk is dropped. With strict, so are instances of unknown
+    classes, and relations, values and axioms between unknown names. A stage that fails leaves its part empty, and the next ones go on. Null
+    or empty text is asked as an empty one; no chunks: no rows. Each stage is written, so a later one's failure asks no model again.
+    """
+    key = ["doc_id"] if scope == "document" else ["doc_id", "chunk_id"]
+    base = stored(chunks.select("doc_id", "chunk_id", F.coalesce("text", F.lit("")).alias("text")), "chunks")
+    none = F.lit("[]")
+    from ..functions import text as tx
+
+    cls = _stage(base.withColumns({"known_classes": none, "known_instances": none}), "classes", extractor, attempts)
+    cls = cls.join(base, ["doc_id", "chunk_id"]).withColumn("classes", F.filter("classes", lambda c: (F.trim(c["name"]) != "") & tx.shares_token(c["name"], "text")))
+    cls = stored(cls.select("doc_id", "chunk_id", "classes", "error"), "classes")
+    named = cls.select("doc_id", "chunk_id", F.inline("classes"))
+    names = named.select(*key, F.lower(F.trim("name")).alias("of")).unionByName(named.select(*key, F.lower(F.trim("parent")).alias("of"))).where("of != ''").distinct()
+    known = stored(_vocabulary(named, key, vocabulary, ["name", "parent"]).withColumnRenamed("known", "known_classes"), "vocabulary")
+    asked = base.join(known, key, "left").withColumns({"known_classes": F.coalesce("known_classes", none), "known_instances": none})
+    ins = stored(_stage(asked, "instances", extractor, attempts), "instances")
+    one = ins.select("doc_id", "chunk_id", F.inline("instances")).where("trim(name) != ''")
+    if strict:
+        one = one.withColumn("of", F.lower(F.trim("class_name"))).join(names, [*key, "of"], "left_semi")
+    one = stored(one.select("doc_id", "chunk_id", "name", "class_name", "description"), "known")
+    told = _vocabulary(one.withColumn("salience", F.lit(1.0)), key, vocabulary, ["name", "class_name"]).withColumnRenamed("known", "known_instances")
+    asked = base.join(known, key, "left").join(told, key, "left").withColumns({c: F.coalesce(c, none) for c in ("known_classes", "known_instances")})
+    rel = stored(_stage(asked, "relations", extractor, attempts), "relations")
+    ends = names.unionByName(one.select(*key, F.lower(F.trim("name")).alias("of"))).distinct()
+
+    def rows(column, *of):
+        """A column's rows, between known names."""
+        out = rel.select("doc_id", "chunk_id", F.posexplode(column).alias("at", "x"))
+        for i, c in enumerate(of if strict else ()):
+            out = out.withColumn("of", F.lower(F.trim(c))).join(ends, [*key, "of"], "left_semi").select("doc_id", "chunk_id", "at", "x")
+        return out
+
+    def gathered(found, column):
+        return found.groupBy("doc_id", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s.x).alias(column))
+
+    parts = [gathered(rows("relations", F.col("x.src"), F.col("x.dst")), "relations"), gathered(rows("data_properties", F.col("x.entity")), "data_properties")]
+    ax = rel.select("doc_id", "chunk_id", F.posexplode("axioms").alias("at", "x")).where(F.col("x.axiom_type").isin(fixed.AXIOM_TYPES))
+    if strict:
+        each = ax.select("doc_id", "chunk_id", "at", F.size("x.entities").alias("n"), F.explode(F.transform("x.entities", lambda e: F.lower(F.trim(e)))).alias("of")).join(ends, [*key, "of"], "left_semi")
+        whole = each.groupBy("doc_id", "chunk_id", "at", "n").agg(F.count("*").alias("k")).where("k = n").select("doc_id", "chunk_id", "at")
+        ax = ax.join(whole, ["doc_id", "chunk_id", "at"], "left_semi")
+    parts.append(gathered(ax, "axioms"))
+    out = cls.select("doc_id", "chunk_id", "classes", F.col("error").alias("e1")).join(ins.select("doc_id", "chunk_id", F.col("error").alias("e2")), ["doc_id", "chunk_id"]).join(rel.select("doc_id", "chunk_id", F.col("error").alias("e3")), ["doc_id", "chunk_id"])
+    out = out.join(one.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("name", "class_name", "description"))).alias("instances")), ["doc_id", "chunk_id"], "left")
+    for p in parts:
+        out = out.join(p, ["doc_id", "chunk_id"], "left")
+    kinds = {c: k for columns in STAGES.values() for c, k in columns.items()}
+    errors = F.map_filter(F.create_map(*(x for n, e in zip(STAGES, ("e1", "e2", "e3"), strict=True) for x in (F.lit(n), F.col(e)))), lambda k, v: v.isNotNull())
+    return out.select("doc_id", "chunk_id", *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in kinds.items()), errors.alias("errors"), F.coalesce("e1", "e2", "e3").alias("error"))
+
+
+def single_shot(chunks: DataFrame, model: Callable, attempts: int = 3) -> DataFrame:
+    """chunk rows (doc_id, chunk_id, text) with entities, relations and error, from one question a chunk. model: (text, plain) to a reply. If it says that it
+    can't answer by a schema, it is asked for plain text once; a reply that no mending makes JSON is no rows."""
+    from .judge import is_schema_error
+
+    kinds = {"entities": "array<struct<name:string,type:string,description:string>>", "relations": "array<struct<src:string,relation:string,dst:string,confidence:double>>"}
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                rows, why, plain = {}, None, False
+                for _ in range(attempts):
+                    try:
+                        reply = repair_json(model(t or "", plain))
+                        rows, why = {c: _rows_of(reply, c, k) if isinstance(reply, dict) else [] for c, k in kinds.items()}, None
+                        break
+                    except Exception as e:  # any failure of a model
+                        why = str(e)[:500]
+                        if is_schema_error(e) and not plain:
+                            plain = True
+                out.append((rows.get("entities", []), rows.get("relations", []), why))
+            yield pd.concat([b[["doc_id", "chunk_id"]].reset_index(drop=True), pd.DataFrame(out, columns=[*kinds, "error"])], axis=1)
+
+    doc, chunk = (chunks.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_id"))
+    return chunks.select("doc_id", "chunk_id", "text").mapInPandas(run, f"doc_id {doc}, chunk_id {chunk}, " + ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", error string")
+
+
 def repair_json(raw: str):
     """The value in a model's reply: fences, comments, text around it, trailing commas, single quotes and a cut end are mended, the least change first. Null if nothing helps."""
     if not raw or not raw.strip():

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..scratch import stored
+from .contain import either_way
 
 #: Scores that a task holds at a time.
 TILE = 4_000_000
@@ -34,18 +34,32 @@ def concept_match(question: Column, name: Column, synonyms: Column | None = None
     return hit(name) if synonyms is None else hit(name) | F.coalesce(F.exists(synonyms, hit), F.lit(False))
 
 
+def concept_words(questions: DataFrame) -> DataFrame:
+    """(query_id, word): the different words of three characters or more of each question."""
+    return questions.select("query_id", F.explode(F.array_distinct(text.words(F.lower("question")))).alias("word")).where("length(word) > 2")
+
+
+def concept_matches(questions: DataFrame, names: DataFrame, name: str = "id") -> DataFrame:
+    """(query_id, name): the different names that concept_match says of each question, for any number of both: a containment join of words and names."""
+    words = stored(concept_words(questions), "words")
+    n = names.select(F.col(name).alias("name"), F.lower(name).alias("low")).distinct()
+    pairs = either_way(n, words, "low")
+    return words.join(pairs, "word").select("query_id", F.col("name").alias("low")).distinct().join(n, "low").select("query_id", "name").distinct()
+
+
 def question_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, id): nodes that phrases of two to four words of a question name. Of each phrase, the first node by seq whose name
-    contains it or is in it, and nodes before that one of which a synonym does. Questions are a stated set, and their phrases go to every task."""
-    phrases = questions.select("query_id", F.explode(text.ngrams("question")).alias("phrase")).distinct()
-    both = lambda n: F.contains(F.lower(n), F.col("phrase")) | F.contains(F.col("phrase"), F.lower(n))
-    names = nodes.select("id", "seq").join(F.broadcast(phrases), both(F.col("id")))
-    first = names.groupBy("query_id", "phrase").agg(F.min("seq").alias("stop"), F.min_by("id", "seq").alias("id"))
-    out = first.select("query_id", "id")
+    contains it or is in it, and nodes before that one of which a synonym does. Phrases and names meet in a containment join."""
+    phrases = stored(questions.select("query_id", F.explode(text.ngrams("question")).alias("phrase")).distinct(), "phrases")
+    names = nodes.groupBy(F.lower("id").alias("low")).agg(F.min("seq").alias("seq"), F.min_by("id", "seq").alias("id"))
+    pairs = either_way(names, phrases, "low", "phrase").withColumnsRenamed({"name": "low", "word": "phrase"})
+    first = stored(pairs.join(names, "low").groupBy("phrase").agg(F.min("seq").alias("stop"), F.min_by("id", "seq").alias("id")), "first")
+    out = phrases.join(first, "phrase").select("query_id", "id")
     if "synonyms" in nodes.columns:
-        syn = nodes.select("id", "seq", F.explode("synonyms").alias("s")).join(F.broadcast(phrases), both(F.col("s")))
-        syn = syn.join(first.select("query_id", "phrase", "stop"), ["query_id", "phrase"], "left").where("stop is null or seq < stop")
-        out = out.unionByName(syn.select("query_id", "id"))
+        syn = nodes.select("id", "seq", F.explode("synonyms").alias("s")).select("id", "seq", F.lower("s").alias("low"))
+        near = either_way(syn, phrases, "low", "phrase").withColumnsRenamed({"name": "low", "word": "phrase"})
+        syn = near.join(syn, "low").join(first.select("phrase", "stop"), "phrase", "left").where("stop is null or seq < stop")
+        out = out.unionByName(phrases.join(syn.select("phrase", "id"), "phrase").select("query_id", "id"))
     return out.distinct()
 
 
@@ -57,38 +71,31 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
 
 
-def blocks(rows: DataFrame, most: int):
-    """(ids, unit vectors) of at most so many rows (id, vector) at a time; the driver holds one block and one partition."""
-    import numpy as np
-
-    left = rows.toLocalIterator()
-    while got := list(islice(left, most)):
-        q = np.array([r[1] for r in got], np.float64)
-        yield np.array([r[0] for r in got], np.int64), q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """(query_id, vec_id, score, rank): each query's k nearest vectors by cosine, ties by id.
 
     queries and vectors: id columns query_id, vec_id, and vector (array of floats). The queries go to every task as one matrix of
     at most max_queries rows; each batch of vectors is one matrix product, of which only k rows a query go on, so what is shuffled is k
-    rows for each query and task. More queries than that are asked in blocks, each against all vectors, and the rows of a block are written.
+    rows for each query and task. More queries than that are asked in blocks of about half as many, by a hash of their ids, each against all vectors, and the rows of a block are written.
     """
     import numpy as np
 
+    def matrix(rows):
+        ids = rows.column("query_id").to_numpy()
+        q = np.array(rows.column("vector").to_pylist(), np.float64) if len(ids) else np.zeros((0, 1))
+        return ids, q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
+
     queries, vectors = queries.select("query_id", "vector"), vectors.select("vec_id", "vector")
     rows = queries.limit(max_queries + 1).toArrow()
     if rows.num_rows > max_queries:
         queries, vectors, out = stored(queries, "queries"), stored(vectors, "vectors"), []
-        for ids, q in blocks(queries, max_queries):
-            sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+        n = -(-2 * queries.count() // max_queries)
+        for i in range(n):
+            sent = vectors.sparkSession.sparkContext.broadcast(matrix(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow()))
             out.append(stored(_nearest(vectors, sent, k), "near"))
             sent.destroy()
         return reduce(DataFrame.unionByName, out)
-    ids = rows.column("query_id").to_numpy()
-    q = np.array(rows.column("vector").to_pylist(), np.float64) if len(ids) else np.zeros((0, 1))
-    q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
-    return _nearest(vectors, vectors.sparkSession.sparkContext.broadcast((ids, q)), k)
+    return _nearest(vectors, vectors.sparkSession.sparkContext.broadcast(matrix(rows)), k)
 
 
 def _nearest(vectors: DataFrame, sent, k: int) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..scratch import stored
 from .components import connected_components
+from .nearby import similar_pairs
 from .quality import node_components
-from .retrieve import TILE, blocks, dot, top_k
+from .retrieve import dot, top_k
 
 DIMENSIONS = 64
 
@@ -73,37 +74,6 @@ def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP, ma
     return n.select("name", "norm").join(groups.select("norm", "component"), "norm").join(first, "component").select("name", "canonical")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, max_left: int = 10_000, most: int = 64) -> DataFrame:
-    """(a, b, score) with cosine of threshold or more. The left side is asked in blocks of max_left vectors, each sent to all tasks
-    as one matrix: a stated query set against all rows. Null vectors are like nothing; no vectors: no pairs. After most blocks, what they found is written."""
-    import pyarrow as pa
-
-    vectors, found, kept, sents = stored(vectors.select("vec_id", "vector").where("vector is not null"), "vectors"), [], [], []
-    for names, q in blocks(vectors, max_left):
-        sent = vectors.sparkSession.sparkContext.broadcast((names, q))
-
-        def run(batches, sent=sent):
-            names, q = sent.value
-            step = max(1, TILE // len(names))
-            for b in batches:
-                for at in range(0, b.num_rows, step):  # none for an empty batch
-                    t = b.slice(at, step)
-                    v, x = t.column(0).to_numpy(), np.array(t.column(1).to_pylist(), np.float64)
-                    s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)) @ q.T
-                    i, j = np.nonzero((s >= threshold) & (names[None, :] < v[:, None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(v[i]), pa.array(s[i, j])], ["a", "b", "score"])
-
-        found.append(vectors.mapInArrow(run, "a long, b long, score double"))
-        sents.append(sent)
-        if len(found) == most:
-            kept.append(stored(reduce(DataFrame.unionByName, found), "pairs"))
-            for x in sents:
-                x.destroy()
-            found, sents = [], []
-    none = vectors.sparkSession.createDataFrame([], "a long, b long, score double")
-    return reduce(DataFrame.unionByName, [*kept, *found] or [none])
-
-
 def clusters(vectors: DataFrame, threshold: float = fixed.ORPHAN_COSINE, at_once: int = 500_000) -> DataFrame:
     """(vec_id, leader): greedy leaders in order of id. A vector that is like an earlier leader follows the first such one, any other leads.
 

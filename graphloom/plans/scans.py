@@ -100,6 +100,28 @@ def c2(spark, d):
     return ex.extract(chunks).select("doc_id", "chunk_id", F.size("classes").alias("classes"), F.size("relations").alias("relations"), "error")
 
 
+def said_of_parts(spark, d):
+    """Three chunks for each part: its type is a product; it and another thing are of a type; what it contains, and its size."""
+    word = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), word("p_type").alias("t"), word("p_brand").alias("b"), F.concat(F.lit("Part"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("string").alias("size"))
+    first = F.concat(F.lit("A "), "t", F.lit(" is a product. No "), "t", F.lit(" is a "), "b", F.lit("."))
+    second = F.concat("name", F.lit(" is a "), "t", F.lit(". Other"), "name", F.lit(" is a ghost."))
+    third = F.concat("name", F.lit(" contains a product. "), "name", F.lit(" requires Other"), "name", F.lit(". "), "name", F.lit(" has a size of "), "size", F.lit(". Other"), "name", F.lit(" has a size of 9."))
+    return p.select("doc_id", F.posexplode(F.array(first, second, third)).alias("chunk_id", "text")).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+
+
+@query("c2_three_stages", """WITH p AS (SELECT p_partkey AS doc_id, regexp_replace(lower(p_type), '[^a-z]', '', 'g') AS t, 'Part' || p_partkey AS name, p_size::VARCHAR AS size FROM part)
+SELECT doc_id, 0::BIGINT AS chunk_id, 'class' AS kind, t AS a, 'product' AS b, NULL AS c FROM p UNION ALL SELECT doc_id, 0, 'class', 'product', NULL, NULL FROM p
+UNION ALL SELECT doc_id, 1, 'instance', name, t, NULL FROM p UNION ALL SELECT doc_id, 2, 'relation', name, 'contains', 'product' FROM p UNION ALL SELECT doc_id, 2, 'value', name, 'size', size FROM p""")
+def c2s(spark, d):
+    """Classes of one chunk name the instances of the next, and both the relations of the last; what isn't known by then is dropped: ghosts, what they have, and axioms of brands."""
+    got = ex.staged_extract(said_of_parts(spark, d))
+    row = lambda kind, column, a, b, c: got.select("doc_id", "chunk_id", F.explode(column).alias("x")).select("doc_id", "chunk_id", F.lit(kind).alias("kind"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("string")).alias("b"), (F.col(c) if c else F.lit(None).cast("string")).alias("c"))
+    out = row("class", "classes", "x.name", "x.parent", None).unionByName(row("instance", "instances", "x.name", "x.class_name", None))
+    out = out.unionByName(row("relation", "relations", "x.src", "x.relation", "x.dst")).unionByName(row("value", "data_properties", "x.entity", "x.attribute", "x.value"))
+    return out.unionByName(got.select("doc_id", "chunk_id", F.explode("axioms").alias("x")).select("doc_id", "chunk_id", F.lit("axiom").alias("kind"), F.col("x.axiom_type").alias("a"), F.array_join("x.entities", ",").alias("b"), F.lit(None).cast("string").alias("c")))
+
+
 @query("l2_complete", "SELECT p_partkey AS seq, CASE WHEN p_size = 1 THEN '' ELSE upper(p_name) END AS reply, CASE WHEN p_size = 1 THEN 'context length exceeded' END AS error FROM part")
 def l2(spark, d):
     """A model that answers in capitals, and can't take some prompts."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, extended, mix, partitions, pieces, stored, table
@@ -154,8 +154,7 @@ def edited_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     null last; ties by a hash of the text, then any order; after the last: the first), and how alike they are.
 
     Rows are dealt by range of doc_id and sorted, so the next document is nearly always the next row of the task. The first
-    and last row of each task go to a scratch table as well, and one small task, with two rows for each partition, closes
-    the gaps. A single document is its own next one. No rows: no rows.
+    and last row of each task go to a scratch table as well, where a task's last row is joined with the first of the next task that has rows. A single document is its own next one. No rows: no rows.
     """
     import hashlib
 
@@ -200,21 +199,21 @@ def edited_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     out = stored(dealt.mapInArrow(run, ROW + ", edge int, text string, part int"), "neighbours")
 
     def close(batches):
-        # rows: two per partition, in order: first, last, first, last ...
+        # rows: the last of a task, with the text of the first row of the next task
         s = Sampler(samples)
-        t = pa.Table.from_batches(list(batches)).sort_by([("part", "ascending"), ("edge", "ascending")]) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        ids, texts, edge = t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("edge").to_pylist()
-        last = [i for i, e in enumerate(edge) if e == 1]
-        after = [(i + 1) % len(ids) for i in last]
-        own, nexts = [texts[i] for i in last], [texts[i] for i in after]
-        edited = edit(own, nexts)
-        sigs = s.sign(pa.array(own + edited + nexts, pa.string())).reshape(3, len(last), -1)
-        done = results([ids[i] for i in last], own, edited, sigs[0], sigs[1], sigs[2])
-        yield batch(done, []).select(names)
-
-    edges = out.where("edge is not null").select("doc_id", "text", "edge", "part").repartition(1)
+        for b in batches:
+            for part in pieces(b, 1, PIECE):
+                ids, own, nexts = (part.column(i).to_pylist() for i in range(3))
+                edited = edit(own, nexts)
+                sigs = s.sign(pa.array(own + edited + nexts, pa.string())).reshape(3, len(ids), -1)
+                yield batch(results(ids, own, edited, sigs[0], sigs[1], sigs[2]), []).select(names)
+
+    # tasks that have rows, each with the next such task, the last with the first: two numbers a task
+    every = out.where("edge = 1").select("part")
+    order = Window.orderBy("part")
+    nexts = every.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("after"))
+    firsts = out.where("edge = 0").select(F.col("part").alias("after"), F.col("text").alias("next"))
+    edges = out.where("edge = 1").select("part", "doc_id", "text").join(nexts, "part").join(firsts, "after").select("doc_id", "text", "next")
     return out.where("edge is null").select(*names).unionByName(edges.mapInArrow(close, ROW))
 
 

@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[f
     in its patterns only; these are all terms that pass, each in at least 3 toxic texts and 0.5 % of them, so their number is bounded by that of
     the words of the fitted rows. The patterns' weights follow by logistic regression. Null and empty texts are texts without terms. With one
     label only, or none: no terms, and the weights of prior()."""
-    ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
 
     def sketch(batches):
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[f
                 least.append(int(g.min().view(np.int64)) if len(g) else xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) >> 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], ["doc_id", "text", "toxic", "sketch"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     rows = stored(rows.mapInArrow(sketch, "doc_id long, text string, toxic int, sketch long"), "labelled")
     first = rows.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
     unique = rows.join(F.broadcast(first.select("doc_id")), "doc_id")

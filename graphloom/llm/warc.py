@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gzip
+import hashlib
 import io
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from .common import scratch_path, table
 #: Equal payloads of at least so many bytes are stored by one response and revisits.
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
+READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("header", pa.string())])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -55,29 +59,19 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     heads.select("page_id", "url", "digest", kind.alias("record_type"), header.alias("header")).write.parquet(f"{path}/headers")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: page_id, header, record_type and refers_to from the header, digest, payload_bytes and payload_digest
-    (SHA-1) from the stored bytes. A payload that no longer has its digest, or a header that names another one, stops the read."""
-    p = spark.read.parquet(f"{path}/payloads")
-    p = p.select("digest", F.assert_true(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.lit("a stored payload has changed")).alias("ok"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")).where("ok is null").drop("ok")
-    h = spark.read.parquet(f"{path}/headers").select("digest", "page_id", "header")
-    field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    out = h.join(p, "digest")
-    out = out.where(F.assert_true(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest"), F.lit("a header names another digest")).isNull())
-    return out.select("page_id", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.try_to_number(F.nullif(F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+):", 1), F.lit("")), F.lit("S9999999999999999999")).cast("long").alias("refers_to"), "header", "digest")
-
-
 def records(spark: SparkSession, path: str, resolve: bool = False) -> DataFrame:
-    """page_id, record (binary): each record's exact bytes, its header joined with its payload. With resolve, a revisit brings the payload that it refers to."""
-    h, p = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads").select("digest", "payload")
-    out = h.join(p, "digest")
+    """page_id, record_type, record (binary): each record's exact bytes, its header joined with its payload. With resolve, a revisit brings the
+    payload that it refers to. A payload that no longer has its strong digest stops the read."""
+    h, p = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    fine = F.assert_true(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.lit("a stored payload has changed")).isNull()
+    out = h.join(p.where(fine).select("digest", "payload"), "digest")
     body = F.when((F.col("record_type") == "response") | F.lit(resolve), F.col("payload")).otherwise(F.unhex(F.lit("")))
     end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
     return out.select("page_id", "record_type", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"))
 
 
-def parse(data: bytes) -> list[tuple[dict, bytes]]:
-    """Headers and payload of each record in the bytes of a WARC file, gzipped or not."""
+def parse(data: bytes, bodies: bool = True) -> list[tuple[dict, bytes]]:
+    """Headers and payload of each record in the bytes of a WARC file, gzipped or not; without bodies, of headers alone."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     f, out = io.BytesIO(data), []
@@ -88,10 +82,41 @@ def parse(data: bytes) -> list[tuple[dict, bytes]]:
         while (line := f.readline()).strip():
             k, _, v = line.decode("utf-8").partition(":")
             head[k.strip()] = v.strip()
-        out.append((head, f.read(int(head.get("Content-Length", 0)))))
+        out.append((head, f.read(int(head.get("Content-Length", 0))) if bodies else b""))
     return out
 
 
+def one_record(data: bytes) -> tuple[dict, bytes]:
+    """Headers of a record and all bytes that it brings, whatever its Content-Length: a resolved revisit brings a payload."""
+    at = data.index(b"\r\n\r\n") + 4
+    return parse(data[:at], bodies=False)[0][0], data[at:-4]
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, header. Each record is put together from its header and
+    the payload that it has or refers to, and parsed: names come from its header fields, bytes and SHA-1 from its payload. A
+    payload without its strong digest, or a header that names another SHA-1 or length, stops the read."""
+
+    def number(urn):
+        found = re.match(r"<urn:page:(-?\d+):", urn or "")
+        return int(found[1]) if found else None
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for data in b.column(0).to_pylist():
+                head, body = one_record(data)
+                sha = hashlib.sha1(body).hexdigest()
+                if head.get("WARC-Payload-Digest") != f"sha1:{sha}":
+                    raise ValueError(f"a header names another digest: {head.get('WARC-Record-ID')}")
+                if head["WARC-Type"] == "response" and int(head["Content-Length"]) != len(body):
+                    raise ValueError(f"a header names another length: {head.get('WARC-Record-ID')}")
+                out.append((number(head["WARC-Record-ID"]), len(body), sha, head["WARC-Type"], number(head.get("WARC-Refers-To")), data[: len(data) - len(body) - 4].decode()))
+            yield pa.RecordBatch.from_pylist([dict(zip(READ.names, r, strict=True)) for r in out], READ)
+
+    return records(spark, path, resolve=True).select("record").mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, header string")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files (one file a task row; .gz members are read through): file, record_type, record_id, target_uri, payload_digest, refers_to, payload."""
 

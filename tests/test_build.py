@@ -37,7 +37,6 @@ def test_retrieval_prefers_concepts_and_answers(spark):
     assert facts[0].concept == 1 and {"Rex chases: Cat", "Rex age: 5"} <= {f.full for f in facts if f.concept}
     got = answer.answers(answer.retrieve(q, idx, 2), q, lambda prompt: "Cat [node:Rex]").first()
     assert got.answer == "Cat" and got.n_facts == len(facts)
-    assert {r.concept for r in answer.explore(q, idx, 2, 2).collect()} >= {"rex", "chase"}
     r = answer.evaluation(spark.createDataFrame([(1, 7, "whom does rex chase", "Rex chases: Cat")], "query_id long, kb_id int, question string, reference string"), idx).first()
     assert r.n == 1 and r.failures == 0 and r.context_recall == 1.0
 

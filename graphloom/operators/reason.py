@@ -113,47 +113,166 @@ def relation_sets(edges: DataFrame, axioms: DataFrame, subject: str = "", detect
     return sorted(t - {"subClassOf"}), sorted(s)
 
 
+class Rules:
+    """The rules of an ontology: which relations are closed and symmetric, and what axioms say. These are names of a schema, so the driver holds them."""
+
+    def __init__(self, axioms: DataFrame, transitive: list[str], sym: list[str]):
+        self.spark, self.closed, self.sym = axioms.sparkSession, sorted({"subClassOf", *transitive}), sorted(sym)
+        said = [(r.axiom_type, *r.entities[:2]) for r in axioms.where("axiom_type in ('inverse', 'domain', 'range') and size(entities) >= 2").collect()]
+        self.inverses = sorted({x for k, p, q in said if k == "inverse" for x in ((p, q), (q, p))})
+        self.typed = sorted({x for x in said if x[0] != "inverse"})
+        names = [p for p, _ in self.inverses]
+        #: Relations with one inverse: an edge that came by the rule has the edge that it came from as its inverse.
+        self.paired = [p for p in names if names.count(p) == 1]
+
+    def _table(self, rows, schema: str) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame(rows, schema))
+
+    def _inverse(self) -> DataFrame:
+        return self._table(self.inverses, "relation string, q string")
+
+    def _typed(self) -> DataFrame:
+        return self._table(self.typed, "axiom_type string, relation string, class string")
+
+    def reads(self, names: set[str]) -> bool:
+        """Whether any rule reads one of these relations."""
+        return bool(names & {*self.closed, *self.sym, "type", *(p for p, _ in self.inverses), *(p for _, p, _ in self.typed)})
+
+    def chained(self, delta: DataFrame, known: DataFrame) -> DataFrame:
+        """Two edges of one closed relation that follow each other, one of them in delta; known holds delta."""
+        d, k = (x.where(F.col("relation").isin(self.closed)) for x in (delta, known))
+        left = d.select("relation", "src", F.col("dst").alias("mid")).join(k.select("relation", F.col("src").alias("mid"), "dst"), ["relation", "mid"])
+        right = k.select("relation", "src", F.col("dst").alias("mid")).join(d.select("relation", F.col("src").alias("mid"), "dst"), ["relation", "mid"])
+        return left.select(*KEYS).unionByName(right.select(*KEYS)).where("src != dst")
+
+    def step(self, delta: DataFrame, known: DataFrame, names: set[str] | None = None) -> DataFrame | None:
+        """(src, relation, dst, k, rule): what the other rules say of edges of delta (src, relation, dst, rule), with those of known, which holds delta. names: the relations of delta, if known."""
+        due = lambda *r: names is None or bool(names & set(r))
+        found = []
+        typed = lambda e: e.where("relation = 'type'").select(F.col("src").alias("x"), F.col("dst").alias("mid"))
+        above = lambda e: e.where("relation = 'subClassOf'").select(F.col("src").alias("mid"), F.col("dst").alias("class"))
+        if due("type"):
+            found.append((0, "inheritance", typed(delta).join(above(known), "mid").select(F.col("x").alias("src"), F.lit("type").alias("relation"), F.col("class").alias("dst"))))
+        if due("subClassOf"):
+            found.append((0, "inheritance", typed(known).join(above(delta), "mid").select(F.col("x").alias("src"), F.lit("type").alias("relation"), F.col("class").alias("dst"))))
+        if self.typed and due(*(p for _, p, _ in self.typed)):
+            e = delta.join(self._typed(), "relation").select(F.when(F.col("axiom_type") == "domain", F.col("src")).otherwise(F.col("dst")).alias("src"), F.lit("type").alias("relation"), F.col("class").alias("dst"))
+            found.append((1, "domain_range", e))
+        if self.sym and due(*self.sym):
+            e = delta.where(F.col("relation").isin(self.sym) & (F.col("rule") != "symmetric_closure"))
+            found.append((2, "symmetric_closure", e.select(F.col("dst").alias("src"), "relation", F.col("src").alias("dst"))))
+        if self.inverses and due(*(p for p, _ in self.inverses)):
+            e = delta.where(~((F.col("rule") == "inverse_propagation") & F.col("relation").isin(self.paired))).join(self._inverse(), "relation")
+            found.append((3, "inverse_propagation", e.select(F.col("dst").alias("src"), F.col("q").alias("relation"), F.col("src").alias("dst"))))
+        out = None
+        for k, rule, rows in found:
+            rows = rows.select(*KEYS, F.lit(k).alias("k"), F.lit(rule).alias("rule"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def derivable(self, asked: DataFrame, known: DataFrame) -> DataFrame:
+        """Edges of asked that one rule says of edges of known."""
+        chain = asked.where(F.col("relation").isin(self.closed)).where("src != dst").alias("a").join(known.where(F.col("relation").isin(self.closed)).alias("b"), (F.col("a.relation") == F.col("b.relation")) & (F.col("a.src") == F.col("b.src")))
+        chain = chain.select(F.col("a.src").alias("src"), F.col("a.relation").alias("relation"), F.col("a.dst").alias("dst"), F.col("b.dst").alias("mid"))
+        last = known.where(F.col("relation").isin(self.closed)).select(F.col("src").alias("mid"), "relation", "dst")
+        out = chain.join(last, ["mid", "relation", "dst"], "left_semi").select(*KEYS)
+        types = asked.where("relation = 'type'")
+        own = types.alias("a").join(known.where("relation = 'type'").alias("b"), F.col("a.src") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("a.dst").alias("dst"), F.col("b.dst").alias("mid"))
+        sup = known.where("relation = 'subClassOf'").select(F.col("src").alias("mid"), "dst")
+        out = out.unionByName(own.join(sup, ["mid", "dst"], "left_semi").select("src", F.lit("type").alias("relation"), "dst"))
+        if self.typed:
+            ends = known.join(self._typed(), "relation").select(F.when(F.col("axiom_type") == "domain", F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("class").alias("dst"))
+            out = out.unionByName(types.join(ends, ["src", "dst"], "left_semi").select(*KEYS))
+        if self.sym:
+            out = out.unionByName(asked.where(F.col("relation").isin(self.sym)).join(known.select(F.col("dst").alias("src"), "relation", F.col("src").alias("dst")), KEYS, "left_semi"))
+        if self.inverses:
+            back = known.join(self._inverse(), "relation").select(F.col("dst").alias("src"), F.col("q").alias("relation"), F.col("src").alias("dst"))
+            out = out.unionByName(asked.join(back, KEYS, "left_semi"))
+        return out.distinct()
+
+    def rounds(self, delta: DataFrame, known: DataFrame, first: bool, max_rounds: int):
+        """(iteration, rule, src, relation, dst) of what follows from delta (src, relation, dst, rule); known, closed but for delta, holds it. first: delta is all of known.
+
+        A round closes relations under chains with an edge of delta, doubling them each time, then applies each other rule once, to edges
+        of delta and of what the closing added; what that adds is the delta of the next round. Rules whose relations delta lacks don't run."""
+        trace, names = None, None
+        for i in range(1, max_rounds + 1):
+            names = names if names is not None else {r.relation for r in delta.select("relation").distinct().collect()}
+            parts, now, lately = [], delta, delta
+            if names & set(self.closed):
+                rule = F.when(F.col("relation") == "subClassOf", "transitive_subsumption").otherwise("transitive_closure")
+                if first and i == 1:
+                    new = stored(_new(transitive_closure(known.where(F.col("relation").isin(self.closed))), known, self.closed).withColumn("rule", rule), "closed")
+                    known, now = known.unionByName(new.select(*KEYS)), now.unionByName(new)
+                    parts.append(new)
+                while not (first and i == 1):
+                    new = stored(_new(self.chained(lately, known), known, self.closed).withColumn("rule", rule), "closed")
+                    if new.isEmpty():
+                        break
+                    known, now, lately = known.unionByName(new.select(*KEYS)), now.unionByName(new), new
+                    parts.append(new)
+            found = self.step(now, known, names)
+            if found is not None:
+                best = found.groupBy(*KEYS).agg(F.min(F.struct("k", "rule")).alias("r")).select(*KEYS, F.col("r.rule").alias("rule"))
+                own = sorted({"type", *self.sym, *(p for p, _ in self.inverses)})
+                delta = stored(best.join(known.where(F.col("relation").isin(own)).select(*KEYS), KEYS, "left_anti"), "inferred")
+                known = known.unionByName(delta.select(*KEYS))
+                parts.append(delta)
+            for p in parts:
+                rows = p.select(F.lit(i).alias("iteration"), "rule", *KEYS)
+                trace = rows if trace is None else trace.unionByName(rows)
+            names = set() if found is None else {r.relation for r in delta.select("relation").distinct().collect()}
+            if not self.reads(names):
+                break
+        else:
+            warnings.warn(f"inference ended after {max_rounds} rounds, before its fixpoint", RuntimeWarning, stacklevel=3)
+        none = self.spark.createDataFrame([], "iteration int, rule string, src string, relation string, dst string")
+        return none if trace is None else trace
+
+
 def infer(edges: DataFrame, axioms: DataFrame, subject: str = "", detect: bool = False, max_rounds: int = fixed.MAX_ITERATIONS) -> DataFrame:
     """(iteration, rule, src, relation, dst): every edge that the rules add, with the rule and round that added it first.
 
-    A round closes transitive relations, then applies the other rules at once to what is known by then. A rule runs again only
-    if the last round added edges of relations that it reads (for closures and symmetry, by other rules: they are complete after one run);
-    which relations these are is a few names. Rounds end when none adds an edge; an empty graph ends after one.
+    Semi-naive: after the first round a rule looks only at edges that the last round added, joined with all that is known where it takes
+    two; see Rules.rounds. Rounds end when none adds an edge that a rule reads; an empty graph ends after one.
     """
-    transitive, sym = relation_sets(edges, axioms, subject, detect)
-    closed = ["subClassOf", *transitive]
-    kinds = {k: [] for k in ("inverse", "domain", "range")}
-    for r in axioms.where(F.col("axiom_type").isin(*kinds)).collect():
-        kinds[r.axiom_type] += list(r.entities[:2] if r.axiom_type == "inverse" else r.entities[:1])
-    every = stored(edges.select(*KEYS).distinct(), "known")
-    trace, added = None, None  # added: (rule, relation) of the last round; none before the first
-
-    def due(relations, *own):
-        return added is None or any(rel in relations and rule not in own for rule, rel in added)
-
-    for i in range(1, max_rounds + 1):
-        parts = []
-        if due(closed, "transitive_closure", "transitive_subsumption"):
-            rule = F.when(F.col("relation") == "subClassOf", "transitive_subsumption").otherwise("transitive_closure")
-            parts.append(stored(_new(transitive_closure(every.where(F.col("relation").isin(closed))), every, closed).withColumn("rule", rule), "closed"))
-            every = every.unionByName(parts[0].select(*KEYS))
-        rules = [("inheritance", inheritance, due(["type", "subClassOf"])), ("domain_range", lambda e: domain_range(e, axioms), due([*kinds["domain"], *kinds["range"]])), ("symmetric_closure", lambda e: symmetric(e, sym), due(sym, "symmetric_closure")), ("inverse_propagation", lambda e: inverse(e, axioms), due(kinds["inverse"]))]
-        found = None
-        for k, (rule, f, wanted) in enumerate(rules):
-            if wanted:
-                rows = f(every).select(*KEYS).withColumn("k", F.lit(k)).withColumn("rule", F.lit(rule))
-                found = rows if found is None else found.unionByName(rows)
-        if found is not None:
-            parts.append(stored(found.groupBy(*KEYS).agg(F.min(F.struct("k", "rule")).alias("r")).select(*KEYS, F.col("r.rule").alias("rule")), "inferred"))
-            every = every.unionByName(parts[-1].select(*KEYS))
-        if not parts:
-            break
-        new = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        rows = new.select(F.lit(i).alias("iteration"), "rule", *KEYS)
-        trace = rows if trace is None else trace.unionByName(rows)
-        added = {(r.rule, r.relation) for r in new.select("rule", "relation").distinct().collect()}
-        if not added:
-            break
-    else:
-        warnings.warn(f"inference ended after {max_rounds} rounds, before its fixpoint", RuntimeWarning, stacklevel=2)
-    return trace
+    rules = Rules(axioms, *relation_sets(edges, axioms, subject, detect))
+    known = stored(edges.select(*KEYS).distinct().sortWithinPartitions("relation"), "known")
+    return rules.rounds(known.withColumn("rule", F.lit("")), known, True, max_rounds)
+
+
+def reinfer(edges: DataFrame, inferred: DataFrame, added: DataFrame, removed: DataFrame, axioms: DataFrame, subject: str = "", max_rounds: int = fixed.MAX_ITERATIONS) -> tuple[DataFrame, DataFrame]:
+    """Edges, and what the rules infer from them, after a change: the same rows as infer of the changed edges, by work in proportion to what the change touches.
+
+    edges and inferred (src, relation, dst): as they were, inferred complete. removed edges go, then added ones come. Delete and rederive:
+    edges that follow from a removed one, however indirectly, are taken out; those of them that still follow from what is left come
+    back, and so on; then added edges start the rounds of infer. The axioms are the same before and after; where these or relations that
+    are detected change, infer anew. Removing what isn't there, adding what is, and repeated rows change nothing. Both results are written.
+    """
+    base, rows = edges.select(*KEYS).distinct(), inferred.select(*KEYS).distinct()
+    rules = Rules(axioms, *relation_sets(edges, axioms, subject))
+    gone = stored(removed.select(*KEYS).distinct().join(base, KEYS, "left_semi"), "removed")
+    more = added.select(*KEYS).distinct()
+    after = stored(base.join(gone, KEYS, "left_anti").unionByName(more).distinct(), "edges")
+    kept = stored(base.join(gone, KEYS, "left_anti"), "kept")
+    old = stored(kept.unionByName(gone).unionByName(rows.join(base, KEYS, "left_anti")), "known")
+    out, delta = gone, gone
+    while not delta.isEmpty():
+        # what follows from delta in one step, and has no edge of its own
+        step = rules.step(delta.withColumn("rule", F.lit("")), old)
+        every = rules.chained(delta, old).unionByName(step.select(*KEYS)).distinct()
+        delta = stored(every.join(old, KEYS, "left_semi").join(kept, KEYS, "left_anti").join(out, KEYS, "left_anti"), "out")
+        out = out.unionByName(delta)
+    out = stored(out, "out")
+    left = stored(old.join(out, KEYS, "left_anti"), "left")
+    back = stored(rules.derivable(out, left), "back")
+    while not back.isEmpty():
+        left, out = left.unionByName(back), out.join(back, KEYS, "left_anti")
+        step = rules.step(back.withColumn("rule", F.lit("")), left)
+        every = rules.chained(back, left).unionByName(step.select(*KEYS)).distinct()
+        back = stored(every.join(out, KEYS, "left_semi"), "back")
+    new = stored(more.join(left, KEYS, "left_anti"), "new")
+    if not new.isEmpty():
+        left = stored(left.unionByName(new), "known")
+        left = left.unionByName(rules.rounds(new.withColumn("rule", F.lit("")), left, False, max_rounds).select(*KEYS))
+    return after, stored(left.join(after, KEYS, "left_anti"), "inferred")

@@ -35,9 +35,21 @@ def p5(spark, d):
 
 @query("p5_grounded_full")
 def p5b(spark, d):
-    """With difflib's ratio, which SQL lacks; tests hold this against plain Python."""
+    """The pairs that hold, with difflib's ratio, which SQL lacks; tests hold this against plain Python."""
+    from ..operators import similar
+
     n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return table(spark, d, "documents").join(n).select("doc_id", "name", text.grounded_or_similar("name", "text").alias("grounded"))
+    return similar.grounded_pairs(table(spark, d, "documents").select("doc_id", "text"), n)
+
+
+@query("p5_grounded_pairs", "WITH n AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') AS b FROM documents) SELECT DISTINCT doc_id, b AS name FROM documents, n WHERE b <> '' AND (contains(lower(text), lower(b)) OR EXISTS (SELECT 1 FROM unnest(string_split(lower(b), ' ')) x(w) WHERE length(w) > 3 AND contains(lower(text), w)))")
+def p5p(spark, d):
+    """Each document's first two words as a name, in all documents; with a ratio of 1 only, which is containment, so that SQL has the same pairs."""
+    from ..operators import similar
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    n = docs.select(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1).alias("name")).where("name != ''").distinct()
+    return similar.grounded_pairs(docs, n, least=1.0)
 
 
 @query("p6_noise", f"WITH {NAMES} SELECT name, coalesce(name, '') = '' OR length(name) > 60 OR c IN ({LIST(fixed.NOISE_NAMES)}) OR {' OR '.join(f'regexp_matches(c, {Q}{p}{Q})' for p in fixed.NOISE_PATTERNS)} OR {STARTS('c', fixed.NOISE_STARTS)} AS noise FROM (SELECT name, lower(trim(name, ' ')) AS c FROM names)")

@@ -1,11 +1,13 @@
 """Containment joins and the similarity join against loops over all pairs."""
 
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 
-from graphloom.operators import contain, nearby, retrieve
+from graphloom.functions import text
+from graphloom.operators import contain, nearby, retrieve, similar
 
 
 def plan_of(df):
@@ -99,3 +101,42 @@ def test_no_vector_passes_the_driver(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("vectors pass the driver"))
     v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, vector array<double>")
     assert nearby.similar_pairs(v, 0.99).count() > 0
+
+
+def near_names(seed, n):
+    random.seed(seed)
+    base = ["red widget", "blue gear", "knowledge graph", "aaaa", "ab", "née é", "strasse"]
+
+    def edit(s):
+        s = list(s)
+        for _ in range(random.randrange(0, 5)):
+            i = random.randrange(len(s) + 1)
+            s[i : i + random.randrange(2)] = random.choice(["", "x", "e", " ", "zz"])
+        return "".join(s)
+
+    return [edit(random.choice(base)) for _ in range(n)] + ["", "q" * 250, "q" * 200]
+
+
+@pytest.mark.parametrize("least", [0.6, 0.85, 1.0])
+def test_edit_similar_is_difflib_on_all_pairs(spark, least):
+    names, texts = near_names(1, 60), near_names(2, 70)
+    n = spark.createDataFrame([(x,) for x in [*names, *names[:5], None]], "name string")
+    t = spark.createDataFrame([(x,) for x in [*texts, None]], "text string")
+    got = [tuple(r) for r in similar.edit_similar(n, t, least).select("name", "text").collect()]
+    want = {(a, b) for a in names for b in texts if a and b and SequenceMatcher(None, a, b).ratio() >= least}
+    assert len(got) == len(set(got)) and set(got) == want
+    c = similar.candidates(n, t, least)
+    assert c.count() < 0.75 * len(set(names)) * len(set(texts)) and "Cartesian" not in plan_of(c)
+    assert similar.edit_similar(n, t.limit(0), least).count() == 0
+
+
+def test_grounded_pairs_are_the_predicate_on_all_pairs(spark):
+    names = [*near_names(3, 25), "Red Widget", "  blue gear ", None]
+    texts = [*near_names(4, 25), "A RED WIDGET and more " * 20, "the Knowledge of it", "", None]
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(r.doc_id, r.name) for r in d.join(n).where(text.grounded_or_similar("name", "text")).collect()}
+    got = similar.grounded_pairs(d, n)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "Cartesian" not in plan_of(got)

@@ -1,4 +1,4 @@
-"""Fixpoints over edges: closures, levels, cycles. Loops are semi-naive, each round's rows go to a scratch table, and only counts reach the driver."""
+"""Fixpoints over edges: closures, levels. Loops are semi-naive, each round's rows go to a scratch table, and only counts reach the driver."""
 
 from __future__ import annotations
 
@@ -67,16 +67,3 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None
             break
         seen, frontier = seen.unionByName(new), new
     return seen
-
-
-def cycle_edges(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """The edges left after nodes without in- or out-edges are peeled again and again; empty if and only if there is no cycle."""
-    e = stored(edges.select("src", "dst").distinct(), "peel")
-    n = e.count()
-    for _ in range(max_rounds):
-        e = stored(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "peel")
-        now = e.count()
-        if now == n or not now:
-            return e
-        n = now
-    raise RuntimeError(f"nodes without in- or out-edges were left after {max_rounds} rounds")

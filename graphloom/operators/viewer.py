@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..scratch import stored
-from .fixpoint import bfs_levels, cycle_edges
+from .fixpoint import bfs_levels
 from .graph import adjacency, normalize, roots
 from .quality import degrees, node_components
+from .strong import cycle_edges
 
 VIRTUAL_ROOT = "__root__"
 

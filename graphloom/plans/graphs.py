@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import components, fixpoint, graph, merge, quality, reason
-from .fixture import Graph, sql
+from ..operators import components, fixpoint, graph, merge, quality, reason, strong
+from .fixture import Graph, sql, table
 from .registry import query
 
 CLOSE = """sub(src, dst) AS (SELECT src, dst FROM edges WHERE relation = 'subClassOf' UNION SELECT sub.src, e.dst FROM sub JOIN edges e ON e.relation = 'subClassOf' AND sub.dst = e.src),
@@ -184,7 +184,16 @@ def g13(spark, d):
 
 @query("g14_cycles", sql("SELECT count(*) > 0 AS cyclic FROM trade WHERE src = dst", CLOSE))
 def g14(spark, d):
-    return fixpoint.cycle_edges(Graph(spark, d).places.where("relation = 'tradesWith'")).agg((F.count("*") > 0).alias("cyclic"))
+    return strong.cycle_edges(Graph(spark, d).places.where("relation = 'tradesWith'")).agg((F.count("*") > 0).alias("cyclic"))
+
+
+@query("g14_components", sql("SELECT a AS node, min(b) AS component FROM (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) GROUP BY a", "e AS (SELECT DISTINCT src, dst FROM edges UNION SELECT lower(n_name), lower(r_name) FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT lower(r_name), min(lower(n_name)) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name), reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT reach.a, e.dst FROM reach JOIN e ON reach.b = e.src)"))
+def g14c(spark, d):
+    """All relations as one graph, and besides it a cycle by way of each region and its first nation, which other nations lead to."""
+    e = Graph(spark, d).edges.select("src", "dst")
+    nr = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("n_name").alias("n"), F.lower("r_name").alias("r"))
+    e = e.unionByName(nr.select(F.col("n").alias("src"), F.col("r").alias("dst"))).unionByName(nr.groupBy(F.col("r").alias("src")).agg(F.min("n").alias("dst")))
+    return strong.strong_components(e)
 
 
 @query("g15_roots", sql("SELECT id FROM nodes WHERE kind = 'class' AND id NOT IN (SELECT src FROM edges WHERE relation = 'subClassOf')"))

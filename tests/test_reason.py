@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from graphloom.operators import components, fixpoint, quality, reason
+from graphloom.operators import components, fixpoint, quality, reason, strong
 
 E = "src string, relation string, dst string"
 A = "axiom_type string, entities array<string>"
@@ -43,7 +43,7 @@ def test_cycle_closure_keeps_or_drops_self(spark):
     e = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a"), ("c", "r", "d")], E)
     assert fixpoint.transitive_closure(e, include_self=True).count() == 12
     assert fixpoint.transitive_closure(e).count() == 9
-    assert fixpoint.cycle_edges(e).count() == 3
+    assert strong.cycle_edges(e).count() == 3
 
 
 def test_closure_is_idempotent(spark):

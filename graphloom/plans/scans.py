@@ -63,6 +63,24 @@ def k1n(spark, d):
     return rows.select("kind", field("id", "src", "entity", "axiom_type").alias("a"), F.coalesce(F.get_json_object("json", "$.relation"), F.get_json_object("json", "$.attribute"), F.get_json_object("json", "$.kind")).alias("b"), field("dst", "value", "type").alias("c"))
 
 
+@query("s3_node_link", sql("SELECT 'node' AS kind, id AS a, kind AS b, coalesce(description, '') AS c FROM nodes UNION ALL SELECT 'link', src, relation, dst FROM edges UNION ALL SELECT 'data_property', entity, attribute, value FROM data_props UNION ALL SELECT 'origin', src, origin, dst FROM edges UNION ALL SELECT 'axiom', a, CASE WHEN a = 'disjointness' THEN n0.n_name || ',' || n1.n_name WHEN a = 'transitivity' THEN 'partOf' WHEN a IN ('symmetry', 'asymmetry') THEN 'tradesWith' WHEN a = 'inverse' THEN 'supplies,suppliedBy' WHEN a = 'domain' THEN 'supplies,Supplier' ELSE 'supplies,Product' END, NULL FROM (SELECT unnest(['disjointness', 'transitivity', 'symmetry', 'inverse', 'domain', 'range', 'asymmetry']) AS a), nation_a n0, nation_b n1"))
+def s3(spark, d):
+    """The whole graph written as node-link JSON files and read again in splits, with axioms, data properties and fields without a column of their own."""
+    import atexit
+
+    from ..scratch import drop, scratch_path
+    from ..sources import node_link
+
+    g, path = Graph(spark, d), scratch_path(spark, "node_link")
+    atexit.register(drop, spark, path)
+    node_link.write_kb({"nodes": g.nodes, "edges": g.edges, "axioms": g.axioms, "data_props": g.data_props}, path)
+    t = node_link.read_kb(spark, path)
+    row = lambda df, kind, a, b, c: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), c.alias("c"))
+    e, none = t["edges"], F.lit(None).cast("string")
+    out = row(t["nodes"], "node", "id", F.col("kind"), F.col("description")).unionByName(row(e, "link", "src", F.col("relation"), F.col("dst"))).unionByName(row(e, "origin", "src", F.col("attributes")["origin"], F.col("dst")))
+    return out.unionByName(row(t["data_props"], "data_property", "entity", F.col("attribute"), F.col("value"))).unionByName(row(t["axioms"], "axiom", "axiom_type", F.array_join("entities", ","), none))
+
+
 @query("k16_describe", "SELECT doc_id, CASE WHEN length(p) <= 250 THEN p ELSE regexp_extract(substr(p, 1, 250), '(?s)^(.*)\\s', 1) END AS description FROM (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: length(x) > 30)[1] AS p FROM documents)")
 def k16(spark, d):
     return table(spark, d, "documents").select("doc_id", export.describe("text").alias("description"))

@@ -77,15 +77,8 @@ def page_rows(pages: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of node-link JSON (one object a file), with links (or edges) by id or by position in nodes."""
-    raw = spark.read.json(path, multiLine=True)
-    links = "links" if "links" in raw.columns else "edges"
-    nodes = raw.select(F.posexplode("nodes").alias("pos", "n")).select("pos", "n.*")
-    nodes = nodes.withColumn("id", F.col("id").cast("string"))
-    edges = raw.select(F.inline(links))
-    names = nodes.select(F.col("pos").cast("string").alias("pos"), "id")
-    numeric = dict(edges.dtypes).get("source") in ("bigint", "int")
-    if numeric:
-        for end in ("source", "target"):
-            edges = edges.withColumn(end, F.col(end).cast("string")).join(names.select(F.col("pos").alias(end), F.col("id").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
-    return nodes.drop("pos"), edges.withColumnRenamed("source", "src").withColumnRenamed("target", "dst")
+    """Nodes and edges of node-link JSON files; node_link.read_kb has all that they hold."""
+    from .node_link import read_kb
+
+    kb = read_kb(spark, path)
+    return kb["nodes"], kb["edges"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .quality import degrees
+from .ranks import ranked
 
 KEYS = ["src", "relation", "dst"]
 
@@ -39,10 +40,18 @@ def parents_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(up, "id", "left").join(down, "id", "left").select("id", F.coalesce("parents", none).alias("parents"), F.coalesce("children", none).alias("children"))
 
 
-def node_context(edges: DataFrame) -> DataFrame:
-    """(id, context): out- and in-edges of each node, sorted, joined by semicolons."""
-    rows = edges.select(F.col("src").alias("id"), F.concat("relation", F.lit(" -> "), "dst").alias("t")).unionByName(edges.select(F.col("dst").alias("id"), F.concat("relation", F.lit(" <- "), "src").alias("t"))).distinct()
-    return rows.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("t")), "; ").alias("context"))
+def context_lines(edges: DataFrame) -> DataFrame:
+    """(id, line): a row for each different out- and in-edge of each node, as text: the exact form for nodes of any degree."""
+    return edges.select(F.col("src").alias("id"), F.concat("relation", F.lit(" -> "), "dst").alias("line")).unionByName(edges.select(F.col("dst").alias("id"), F.concat("relation", F.lit(" <- "), "src").alias("line"))).distinct()
+
+
+def node_context(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, context): context_lines of each node, sorted, joined by semicolons; with most, its first lines only, which Spark limits before
+    the exchange. A node's text is one value: where nodes have millions of edges, take context_lines or a limit."""
+    rows = context_lines(edges)
+    if most is not None:
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("line"))).where(F.col("_r") <= most)
+    return rows.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("line")), "; ").alias("context"))
 
 
 def two_hops(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -105,10 +114,10 @@ def rank_nodes(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 
 
 def hub_ranks(edges: DataFrame, threshold: int = fixed.HUB_DEGREE) -> DataFrame:
-    """(src, dst, rank) of the out-edges of hubs, by dst. A hub's edges are sorted in one task each; edges of other nodes don't move to it."""
+    """(src, dst, rank) of the out-edges of hubs, by dst, from 0. A hub's edges are cut into ranges; edges of other nodes don't move to it."""
     hubs = edges.groupBy("src").agg(F.count("*").alias("k")).where(F.col("k") > threshold).select("src")
-    e = edges.join(hubs, "src", "left_semi")
-    return e.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("rank"))
+    e = ranked(edges.join(hubs, "src", "left_semi").select("src", "dst"), "src", ["dst"])
+    return e.select("src", "dst", (F.col("rank") - 1).alias("rank"))
 
 
 def session_edges(rows: DataFrame) -> DataFrame:

@@ -142,8 +142,11 @@ def _nearest(vectors: DataFrame, sent, k: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hyperedges(recs: DataFrame) -> DataFrame:
-    """(node, record_ids): the records of each node."""
+def hyperedges(recs: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, record_ids): the records of each node as one array; with most, the first by id, which Spark limits before the exchange. The rows
+    (node, record_id) of recs are the exact form for nodes with millions of records."""
+    if most is not None:
+        recs = recs.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("record_id"))).where(F.col("_r") <= most)
     return recs.groupBy("node").agg(F.sort_array(F.collect_list("record_id")).alias("record_ids"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -10,6 +10,7 @@ from ..scratch import stored
 from .fixpoint import bfs_levels
 from .graph import adjacency, normalize, roots
 from .quality import degrees, node_components
+from .ranks import beyond_first
 from .strong import cycle_edges
 
 VIRTUAL_ROOT = "__root__"
@@ -51,13 +52,22 @@ def view(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": out, "edges": e, "cyclic": cyclic}
 
 
-def relation_groups(edges: DataFrame) -> DataFrame:
-    """(id, grp, others): each node's neighbours, sorted, by groups. subClassOf counts the far end as a parent where the edge
-    comes in, as the viewer that this follows does."""
+def group_rows(edges: DataFrame) -> DataFrame:
+    """(id, grp, other): each node's neighbours by groups, a row for each edge: the exact form for nodes of any degree. subClassOf counts the far end
+    as a parent where the edge comes in, as the viewer that this follows does."""
     rel, way = F.col("relation"), F.col("way")
     kind = rel.isin("type", "instanceOf")
     grp = F.when(rel == "subClassOf", F.when(way == "in", "Parents").otherwise("Children")).when(kind, F.when(way == "out", "Instances").otherwise("Parents")).when(rel.isin("depends_on", "part_of", "contains"), "Dependencies").otherwise("Other")
-    return adjacency(edges).groupBy("id", grp.alias("grp")).agg(F.array_sort(F.collect_list("other")).alias("others"))
+    return adjacency(edges).select("id", grp.alias("grp"), "other")
+
+
+def relation_groups(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, grp, others): group_rows as one sorted array a group; with most, the first of each, which Spark limits before the exchange. Where
+    groups have millions of members, take group_rows or a limit."""
+    rows = group_rows(edges)
+    if most is not None:
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("id", "grp").orderBy("other"))).where(F.col("_r") <= most)
+    return rows.groupBy("id", "grp").agg(F.array_sort(F.collect_list("other")).alias("others"))
 
 
 def hidden(edges: DataFrame, clusters: DataFrame | None = None, show: str = "all", mode: str = "all", zoom: float = 1.0, cap: int | None = None) -> DataFrame:
@@ -82,13 +92,9 @@ def hidden(edges: DataFrame, clusters: DataFrame | None = None, show: str = "all
         off = off | ~rel.isin("subClassOf", "type", "instanceOf", "part_of", "contains")
     off = off | ((rel != "subClassOf") if mode == "classes" else ~kind if mode == "instances" else F.lit(False))
     if cap is not None:
-        from pyspark.sql import Window
-
         for end, other in (("src", "dst"), ("dst", "src")):
-            rank = F.row_number().over(Window.partitionBy(end).orderBy(other, "relation"))
-            many = edges.groupBy(end).agg((F.count("*") > fixed.HUB_DEGREE).alias(f"_hub_{end}"))
-            edges = edges.join(many, end).withColumn(f"_rank_{end}", rank)
-            off = off | (F.col(f"_hub_{end}") & (F.col(f"_rank_{end}") > cap))
+            edges, late = beyond_first(edges, end, [other, "relation"], cap, fixed.HUB_DEGREE)
+            off = off | late
     return edges.select("src", "relation", "dst", F.coalesce(off, F.lit(False)).alias("hidden"))
 
 

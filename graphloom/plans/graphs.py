@@ -76,6 +76,16 @@ def j3b(spark, d):
     return graph.node_context(Graph(spark, d).edges)
 
 
+@query("j3_context_lines", sql("SELECT src AS id, relation || ' -> ' || dst AS line FROM edges UNION SELECT dst, relation || ' <- ' || src FROM edges"))
+def j3l(spark, d):
+    return graph.context_lines(Graph(spark, d).edges)
+
+
+@query("j3_first_lines", sql("SELECT id, string_agg(t, '; ' ORDER BY t) AS context FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS r FROM (SELECT src AS id, relation || ' -> ' || dst AS t FROM edges UNION SELECT dst, relation || ' <- ' || src FROM edges)) WHERE r <= 20 GROUP BY id"))
+def j3f(spark, d):
+    return graph.node_context(Graph(spark, d).edges, 20)
+
+
 @query("j7_cooccurrence", sql("SELECT a.id AS a, b.id AS b, count(DISTINCT a.chunk_id) AS shared FROM members a JOIN members b ON a.chunk_id = b.chunk_id AND a.id < b.id GROUP BY 1, 2 HAVING count(DISTINCT a.chunk_id) >= 2"))
 def j7(spark, d):
     g = Graph(spark, d)
@@ -395,6 +405,13 @@ def a21g(spark, d):
     return relation_groups(Graph(spark, d).edges)
 
 
+@query("a21_group_rows", sql("SELECT src AS id, CASE WHEN relation = 'subClassOf' THEN 'Children' WHEN relation = 'type' THEN 'Instances' ELSE 'Other' END AS grp, dst AS other FROM edges UNION ALL SELECT dst, CASE WHEN relation IN ('subClassOf', 'type') THEN 'Parents' ELSE 'Other' END, src FROM edges"))
+def a21r(spark, d):
+    from ..operators.viewer import group_rows
+
+    return group_rows(Graph(spark, d).edges)
+
+
 @query("p15_hidden", sql("SELECT src, relation, dst, relation NOT IN ('subClassOf', 'type') OR (ko > 80 AND ro > 20) OR (ki > 80 AND ri > 20) AS hidden FROM (SELECT src, relation, dst, count(*) OVER (PARTITION BY src) AS ko, count(*) OVER (PARTITION BY dst) AS ki, row_number() OVER (PARTITION BY src ORDER BY dst, relation) AS ro, row_number() OVER (PARTITION BY dst ORDER BY src, relation) AS ri FROM edges)"))
 def p15h(spark, d):
     from ..operators.viewer import hidden

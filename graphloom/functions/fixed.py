@@ -53,7 +53,7 @@ NOISE_NAMES = ["e", "graph", "node", "type", "name", "update_graph", "infer_rela
 NOISE_STARTS = ["_", "get ", "set ", "a ", "an ", "the "]
 AGENT_NOISE_NAMES = ["e", "100%", "switch aggro", "the game", "middle of the pack"]
 CONCEPT_STARTS = ["a ", "an ", "the ", "a type of", "a technique", "a role", "a goal", "a group of", "a designated", "a character", "a player", "a defensive", "ai-controlled", "player-controlled", "equipment or", "goals that", "goals within", "key goals", "key targets", "one of the"]
-AGENT_NOISE_STARTS = [*CONCEPT_STARTS, "minions that"]
+AGENT_NOISE_STARTS = ["a ", "an ", "the ", "a type of", "a technique", "a role", "a goal", "a group of", "a designated", "a character", "a player", "a defensive", "ai-controlled", "player-controlled", "equipment or", "goals that", "goals within", "key goals", "key targets", "one of the", "minions that"]
 REFUSALS = ["I DON'T", "I CANNOT", "I COULD NOT", "UNABLE", "NO "]
 
 # --- fixed values: words that answers are compared without ---

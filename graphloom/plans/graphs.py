@@ -218,6 +218,13 @@ def g16(spark, d):
     return fixpoint.bfs_levels(Graph(spark, d).places, start, 2, directed=False).select(F.col("node").alias("id"), F.col("level").alias("hop"))
 
 
+@query("g16_neighbourhood_all", sql("SELECT id, min(hop) AS hop FROM hops GROUP BY id", "hops(id, hop) AS (SELECT id, 0 FROM nodes WHERE id = 'Supplier#000000001' UNION SELECT u.b, h.hop + 1 FROM hops h JOIN (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) u ON u.a = h.id WHERE h.hop < 2)"))
+def g16a(spark, d):
+    """Two hops about a supplier, over all relations: its parts, their types and brands, and who else supplies them."""
+    g = Graph(spark, d)
+    return fixpoint.bfs_levels(g.edges, g.nodes.where("id = 'Supplier#000000001'").select(F.col("id").alias("node")), 2, directed=False).select(F.col("node").alias("id"), F.col("level").alias("hop"))
+
+
 @query("g17_adjacency", sql("SELECT src AS id, relation, dst AS other, 'out' AS way FROM edges UNION ALL SELECT dst, relation, src, 'in' FROM edges"))
 def g17(spark, d):
     return graph.adjacency(Graph(spark, d).edges)
@@ -437,6 +444,33 @@ def a13o(spark, d):
     return quality.ontology_metrics(said, true, g.nodes.count(), g.edges.count())
 
 
+@query("a13_relation_f1", sql("SELECT 1e0 AS class_f1, 1e0 AS instance_f1, round(2e0 * k / (k + n), 4) AS relation_f1, round((2e0 + 2e0 * k / (k + n)) / 3, 4) AS overall, round(2e0 * n / (SELECT count(*) FROM nodes), 3) AS average_degree FROM (SELECT count(*) AS n, count(*) FILTER (length(dst) % 2 = 1 OR length(src) % 3 = 0) AS k FROM edges)"))
+def a13r(spark, d):
+    """Relations of the whole graph, of which those with names of some lengths are predicted."""
+    g = Graph(spark, d)
+    n = g.nodes.select("kind", F.col("id").alias("key"))
+    r = g.edges.select(F.lit("relation").alias("kind"), F.concat_ws("|", "src", "relation", "dst").alias("key"), ((F.length("dst") % 2 == 1) | (F.length("src") % 3 == 0)).alias("said"))
+    return quality.ontology_metrics(n.unionByName(r.where("said").select("kind", "key")), n.unionByName(r.select("kind", "key")), g.nodes.count(), g.edges.count())
+
+
+@query("a15_population_whole", sql("SELECT id, degree, instances FROM (SELECT n.id, seq, count(*) FILTER (e.id IS NOT NULL) AS degree, count(*) FILTER (e.relation = 'hasBrand') AS instances FROM nodes n LEFT JOIN (SELECT src AS id, 'x' AS relation FROM edges UNION ALL SELECT dst, relation FROM edges) e USING (id) WHERE kind = 'class' GROUP BY n.id, seq) WHERE instances = 0 ORDER BY degree DESC, seq LIMIT 10"))
+def a15w(spark, d):
+    """All edges, with brands as the classes that parts are of: classes without parts, most connected first."""
+    from ..operators.hierarchy import population_targets
+
+    g = Graph(spark, d)
+    e = g.edges.where("relation != 'type'").unionByName(g.edges.where("relation = 'type'").withColumn("relation", F.lit("was")))
+    e = e.withColumn("relation", F.when(F.col("relation") == "hasBrand", "type").otherwise(F.col("relation")))
+    return population_targets(g.nodes, e, share=1e9)
+
+
+@query("u7_merge_counters_all", sql("SELECT (SELECT count(*) FROM nodes WHERE kind = 'instance' AND id LIKE 'Part#%') AS new_nodes, (SELECT count(*) FROM nodes WHERE NOT id LIKE 'Part#%') AS updated_nodes, (SELECT count(*) FROM edges WHERE src LIKE 'Part#%' OR dst LIKE 'Part#%') AS new_edges"))
+def u7a(spark, d):
+    """A graph without parts, into which the whole graph is merged."""
+    g = Graph(spark, d)
+    return merge.merge_counters(g.nodes.where("id not like 'Part#%'"), g.nodes, g.edges.where("src not like 'Part#%' and dst not like 'Part#%'"), g.edges)
+
+
 @query("t5_incremental_repair", sql("SELECT id AS src, 'subClassOf' AS relation, 'DomainRoot' AS dst, 'root' AS step FROM nodes WHERE kind = 'class' AND id NOT IN (SELECT src FROM places UNION SELECT dst FROM places)"))
 def t5(spark, d):
     """Among classes alone no orphans are left to link; tests hold links of instances against expected rows."""

@@ -121,6 +121,12 @@ def f30(spark, d):
     return retrieve.questions(g.nodes, g.places)
 
 
+@query("f30_questions_all", sql("SELECT kind, question FROM (SELECT 'what' AS kind, 'What is ' || id || '?' AS question FROM nodes WHERE kind = 'class' UNION SELECT 'related', 'How is ' || src || ' related to ' || dst || '?' FROM edges UNION SELECT 'factors', 'What factors influence ' || id || '?' FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id HAVING count(*) >= 3 UNION SELECT 'affect', 'What does ' || src || ' affect?' FROM edges GROUP BY src HAVING count(*) >= 2 UNION SELECT 'two_hop', 'How does ' || a.src || ' relate to ' || b.dst || '?' FROM edges a JOIN edges b ON a.dst = b.src AND a.src <> b.dst)"))
+def f30a(spark, d):
+    g = Graph(spark, d)
+    return retrieve.questions(g.nodes, g.edges)
+
+
 @query("c6_root", sql("SELECT id AS src, 'subClassOf' AS relation, 'DomainRoot' AS dst FROM nodes WHERE kind = 'class' AND id NOT IN (SELECT src FROM places UNION SELECT dst FROM places)"))
 def c6(spark, d):
     g = Graph(spark, d)
@@ -180,6 +186,12 @@ def f29r(spark, d):
     return retrieve.search_queries(g.nodes.where("kind = 'class'").select("id"), "trade", g.places)
 
 
+@query("f29_relation_queries_all", sql("SELECT id, 'trade ' || id || ' definition' AS query FROM nodes WHERE NOT contains(lower(id), 'trade') UNION SELECT src, CASE WHEN relation = 'tradesWith' THEN '' ELSE 'trade ' END || src || ' ' || relation || ' ' || dst || ' relationship' FROM edges"))
+def f29a(spark, d):
+    g = Graph(spark, d)
+    return retrieve.search_queries(g.nodes.select("id"), "trade", g.edges)
+
+
 @query("f32_fallback_questions", "SELECT l AS language, n_nationkey AS session, q || n_name || '?' AS question FROM nation, (VALUES ('de', 'Was ist '), ('en', 'What is ')) t(l, q) WHERE n_nationkey % 2 = 0")
 def f32(spark, d):
     from ..operators import judge
@@ -231,7 +243,7 @@ def r6(spark, d):
     from .pipelines import questions
 
     g = Graph(spark, d)
-    return answer.query_kb(questions(spark, d).select("query_id", "question"), answer.index(g.nodes.where("kind = 'class'"), g.places, g.data_props)).select("query_id", "concepts", F.size("relations").alias("relations"))
+    return answer.query_kb(questions(spark, d).select("query_id", "question"), answer.index(g.nodes, g.edges, g.data_props)).select("query_id", "concepts", F.size("relations").alias("relations"))
 
 
 @query("r7_node_answers")
@@ -240,4 +252,4 @@ def r7(spark, d):
     from .pipelines import questions
 
     g = Graph(spark, d)
-    return answer.node_answers(questions(spark, d).select("query_id", "question"), g.nodes.where("kind = 'class'"), g.places).select("query_id", "supporting", "confidence")
+    return answer.node_answers(questions(spark, d).select("query_id", "question"), g.nodes, g.edges).select("query_id", "supporting", "confidence")

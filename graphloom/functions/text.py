@@ -73,6 +73,30 @@ def normal_name(name: Text) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+class Lemmas:
+    """A table of lemmas: exceptions by word, and suffixes (ending, what stands for it, least characters before it), of which the longest that fits holds. Words that none fits stay."""
+
+    def __init__(self, exceptions: dict[str, str] | None = None, suffixes: list[tuple[str, str, int]] = ()):
+        self.exceptions = dict(exceptions or {})
+        self.suffixes = sorted(suffixes, key=lambda s: (-len(s[0]), s[0]))
+
+    def of(self, word: Column) -> Column:
+        """The lemma of a word, as an expression that stays in generated code."""
+        out = word
+        for end, other, least in reversed(self.suffixes):
+            fits = F.endswith(word, F.lit(end)) & (F.length(word) >= len(end) + least)
+            out = F.when(fits, F.concat(F.substring(word, F.lit(1), F.length(word) - len(end)), F.lit(other))).otherwise(out)
+        if self.exceptions:
+            table = F.create_map(*(F.lit(x) for kv in sorted(self.exceptions.items()) for x in kv))
+            out = F.coalesce(F.element_at(table, word), out)
+        return out
+
+
+def lemmatised(name: Text, lemmas: Lemmas) -> Column:
+    """normal_name with each word's lemma."""
+    return F.array_join(F.transform(words(normal_name(name)), lemmas.of), " ")
+
+
 def exact_name(name: Text) -> Column:
     """Lower case letters, digits, underscores and single spaces only."""
     s = F.regexp_replace(F.lower(F.trim(col(name))), r"[^\p{L}\p{N}_\s]", "")

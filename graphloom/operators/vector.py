@@ -50,11 +50,12 @@ def encode(rows: DataFrame, column: str, make=hash_encoder, out: str = "vector")
     return rows.withColumn(out, F.pandas_udf(vectors, "array<float>")(F.col(column)))
 
 
-def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP, make=hash_encoder, near: float = fixed.CANONICAL_COSINE) -> DataFrame:
-    """name, canonical, of names (name, seq): equal normal forms are one; then names whose words overlap by threshold join, and
+def canonical_names(names: DataFrame, threshold: float = fixed.TOKEN_OVERLAP, make=hash_encoder, near: float = fixed.CANONICAL_COSINE, lemmas: text.Lemmas | None = None) -> DataFrame:
+    """name, canonical, of names (name, seq): equal normal forms (with lemmas, of lemmas) are one; then names whose words overlap by threshold join, and
     each group takes the name of its first row; then, unless make is None, a group joins the first earlier one that stands for itself and whose name has a cosine of near or more. Candidates share a rare word: each name is indexed under its least frequent
     words, as many as two names with that overlap can't both lack, so frequent words make no pairs."""
-    n = names.withColumn("norm", text.exact_name(text.normal_name("name")))
+    normal = text.lemmatised("name", lemmas) if lemmas else text.normal_name("name")
+    n = names.withColumn("norm", text.exact_name(normal))
     heads = n.groupBy("norm").agg(F.min(F.struct("seq", "name")).alias("h")).select("norm", "h.seq", F.col("h.name").alias("head"))
     ws = heads.select("norm", F.array_distinct(text.words("norm")).alias("words"))
     freq = ws.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("f"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..scratch import stored
+from ..sources.versions import read_version, write_version
 from .fixpoint import bfs_levels
 from .graph import adjacency, normalize, roots
 from .quality import degrees, node_components
@@ -107,14 +108,11 @@ def view_rows(nodes: DataFrame, edges: DataFrame, version: int = 1) -> DataFrame
 
 
 def save_view(rows: DataFrame, path: str, source: str) -> None:
-    """Keep the rows of a view, with the version of the graph that they show."""
-    rows.withColumn("source", F.lit(source)).write.mode("overwrite").parquet(path)
+    """Keep the rows of a view, with the version of the graph that they show, as a new version under path."""
+    write_version(rows.sparkSession, path, {"view": rows.withColumn("source", F.lit(source))})
 
 
 def load_view(spark: SparkSession, path: str, source: str, version: int = 1) -> DataFrame | None:
     """The kept rows, unless there are none or they have another layout or show another version of the graph."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    rows = spark.read.parquet(path)
-    return None if rows.where((F.col("source") != source) | (F.col("version") != version)).limit(1).count() else rows.drop("source")
+    rows = (read_version(spark, path) or {}).get("view")
+    return None if rows is None or rows.where((F.col("source") != source) | (F.col("version") != version)).limit(1).count() else rows.drop("source")

@@ -101,6 +101,19 @@ def f8(spark, d):
     return names(spark, d).select("name", text.normal_name("name").alias("normal"))
 
 
+#: A table of lemmas: irregular plurals, and endings with the fewest characters before them.
+LEMMAS = text.Lemmas({"mice": "mouse", "children": "child", "the": "the", "is": "is", "was": "was"}, [("sses", "ss", 1), ("ies", "y", 2), ("es", "e", 3), ("s", "", 3), ("ss", "ss", 0), ("us", "us", 0)])
+
+
+@query("f8_lemmas", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents)
+SELECT name, CASE WHEN name IN ('the', 'is', 'was') THEN name WHEN name = 'mice' THEN 'mouse' WHEN name = 'children' THEN 'child' WHEN name LIKE '%sses' AND length(name) >= 5 THEN name[:-3] WHEN name LIKE '%ies' AND length(name) >= 5 THEN name[:-4] || 'y'
+  WHEN name LIKE '%es' AND length(name) >= 5 THEN name[:-2] WHEN name LIKE '%ss' OR name LIKE '%us' THEN name WHEN name LIKE '%s' AND length(name) >= 4 THEN name[:-2] ELSE name END AS lemma FROM w""")
+def f8l(spark, d):
+    """Every word of the documents."""
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("name")).distinct()
+    return w.select("name", text.lemmatised("name", LEMMAS).alias("lemma"))
+
+
 @query("f9_exact_name", f"WITH {NAMES} SELECT name, trim(regexp_replace(regexp_replace(lower(trim(name, ' ')), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS exact FROM names")
 def f9(spark, d):
     return names(spark, d).select("name", text.exact_name("name").alias("exact"))

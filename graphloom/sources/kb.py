@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import read_version, write_version
+
 TABLES = ("nodes", "edges", "axioms", "data_props")
 META = "kb_id string, name string, description string, language string, documents array<string>, created_at timestamp, tables string"
 
@@ -45,6 +47,8 @@ class Catalog:
                 df.select(*(c for c, k in df.dtypes if k not in ("array<float>", "array<double>"))).write.parquet(f"{base}/tables/{name}/{t}")
         meta = self.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in META.split(", "))], META)
         meta.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())).coalesce(1).write.parquet(f"{base}/meta/{name}")
+        if self.versions(kb_id) != old:
+            raise RuntimeError(f"{kb_id} has another version since this write began")
         fs, mark = self._fs(f"{base}/current/{name}")
         fs.create(mark, False).close()
         keep = self.versions(kb_id)[-2:]
@@ -82,16 +86,13 @@ class Catalog:
         return df.drop("tables").withColumn("name", F.coalesce("name", "kb_id")).withColumn("language", F.coalesce("language", F.lit("en"))).orderBy(F.desc("created_at"))
 
     def save_health(self, kb_id: str, health: DataFrame) -> None:
-        """Keep a health report of a knowledge base, with its id in each row."""
-        health.withColumn("kb_id", F.lit(kb_id)).write.mode("overwrite").parquet(f"{self.root}/{kb_id}/health")
+        """Keep a health report of a knowledge base, with its id in each row, as a new version beside its tables."""
+        write_version(self.spark, f"{self.root}/{kb_id}/health", {"health": health.withColumn("kb_id", F.lit(kb_id))})
 
     def load_health(self, kb_id: str) -> DataFrame | None:
         """The report that was kept for this knowledge base; None if there is none or it is another's."""
-        fs, p = self._fs(f"{self.root}/{kb_id}/health/_SUCCESS")
-        if not fs.exists(p):
-            return None
-        got = self.spark.read.parquet(f"{self.root}/{kb_id}/health").where(F.col("kb_id") == kb_id)
-        return None if got.isEmpty() else got
+        got = (read_version(self.spark, f"{self.root}/{kb_id}/health") or {}).get("health")
+        return None if got is None or got.where(F.col("kb_id") == kb_id).isEmpty() else got.where(F.col("kb_id") == kb_id)
 
     def delete(self, kb_id: str) -> None:
         fs, p = self._fs(f"{self.root}/{kb_id}")

@@ -145,8 +145,19 @@ class Rules:
         right = k.select("relation", "src", F.col("dst").alias("mid")).join(d.select("relation", F.col("src").alias("mid"), "dst"), ["relation", "mid"])
         return left.select(*KEYS).unionByName(right.select(*KEYS)).where("src != dst")
 
-    def step(self, delta: DataFrame, known: DataFrame, names: set[str] | None = None) -> DataFrame | None:
-        """(src, relation, dst, k, rule): what the other rules say of edges of delta (src, relation, dst, rule), with those of known, which holds delta. names: the relations of delta, if known."""
+    def turned(self, came) -> tuple[set[str], set[str]]:
+        """Relations that symmetry and inverses read in edges that came by (rule, relation): not those that a rule has turned already."""
+        sym = {r for rule, r in came if r in self.sym and rule != "symmetric_closure"}
+        return sym, {r for rule, r in came if any(r == p for p, _ in self.inverses) and not (rule == "inverse_propagation" and r in self.paired)}
+
+    def writes(self, came) -> set[str]:
+        """Relations of which the other rules may add edges, for edges that came by (rule, relation)."""
+        sym, inv = self.turned(came)
+        return {"type"} | sym | {q for p, q in self.inverses if p in inv}
+
+    def step(self, delta: DataFrame, known: DataFrame, came: set | None = None) -> DataFrame | None:
+        """(src, relation, dst, k, rule): what the other rules say of edges of delta (src, relation, dst, rule), with those of known, which holds delta. came: (rule, relation) of delta, if known."""
+        names = None if came is None else {r for _, r in came}
         due = lambda *r: names is None or bool(names & set(r))
         found = []
         typed = lambda e: e.where("relation = 'type'").select(F.col("src").alias("x"), F.col("dst").alias("mid"))
@@ -158,10 +169,11 @@ class Rules:
         if self.typed and due(*(p for _, p, _ in self.typed)):
             e = delta.join(self._typed(), "relation").select(F.when(F.col("axiom_type") == "domain", F.col("src")).otherwise(F.col("dst")).alias("src"), F.lit("type").alias("relation"), F.col("class").alias("dst"))
             found.append((1, "domain_range", e))
-        if self.sym and due(*self.sym):
+        sym, inv = (set(self.sym), {p for p, _ in self.inverses}) if came is None else self.turned(came)
+        if sym:
             e = delta.where(F.col("relation").isin(self.sym) & (F.col("rule") != "symmetric_closure"))
             found.append((2, "symmetric_closure", e.select(F.col("dst").alias("src"), "relation", F.col("src").alias("dst"))))
-        if self.inverses and due(*(p for p, _ in self.inverses)):
+        if inv:
             e = delta.where(~((F.col("rule") == "inverse_propagation") & F.col("relation").isin(self.paired))).join(self._inverse(), "relation")
             found.append((3, "inverse_propagation", e.select(F.col("dst").alias("src"), F.col("q").alias("relation"), F.col("src").alias("dst"))))
         out = None
@@ -195,11 +207,13 @@ class Rules:
 
         A round closes relations under chains with an edge of delta, doubling them each time, then applies each other rule once, to edges
         of delta and of what the closing added; what that adds is the delta of the next round. Rules whose relations delta lacks don't run."""
-        trace, names = None, None
+        def by(rows):
+            return {(r.rule, r.relation) for r in rows.select("rule", "relation").distinct().collect()}
+
+        trace, came = None, by(delta)
         for i in range(1, max_rounds + 1):
-            names = names if names is not None else {r.relation for r in delta.select("relation").distinct().collect()}
             parts, now, lately = [], delta, delta
-            if names & set(self.closed):
+            if any(r in self.closed for _, r in came):
                 rule = F.when(F.col("relation") == "subClassOf", "transitive_subsumption").otherwise("transitive_closure")
                 if first and i == 1:
                     new = stored(_new(transitive_closure(known.where(F.col("relation").isin(self.closed))), known, self.closed).withColumn("rule", rule), "closed")
@@ -211,18 +225,18 @@ class Rules:
                         break
                     known, now, lately = known.unionByName(new.select(*KEYS)), now.unionByName(new), new
                     parts.append(new)
-            found = self.step(now, known, names)
+                came = came | {("transitive_closure", r) for _, r in came if r in self.closed}
+            found = self.step(now, known, came)
             if found is not None:
                 best = found.groupBy(*KEYS).agg(F.min(F.struct("k", "rule")).alias("r")).select(*KEYS, F.col("r.rule").alias("rule"))
-                own = sorted({"type", *self.sym, *(p for p, _ in self.inverses)})
-                delta = stored(best.join(known.where(F.col("relation").isin(own)).select(*KEYS), KEYS, "left_anti"), "inferred")
+                delta = stored(best.join(known.where(F.col("relation").isin(sorted(self.writes(came)))).select(*KEYS), KEYS, "left_anti"), "inferred")
                 known = known.unionByName(delta.select(*KEYS))
                 parts.append(delta)
             for p in parts:
                 rows = p.select(F.lit(i).alias("iteration"), "rule", *KEYS)
                 trace = rows if trace is None else trace.unionByName(rows)
-            names = set() if found is None else {r.relation for r in delta.select("relation").distinct().collect()}
-            if not self.reads(names):
+            came = set() if found is None else by(delta)
+            if not self.reads({r for _, r in came}):
                 break
         else:
             warnings.warn(f"inference ended after {max_rounds} rounds, before its fixpoint", RuntimeWarning, stacklevel=3)

@@ -11,6 +11,7 @@ from ..functions import text
 from ..scratch import stored
 from ..settings import Settings
 from . import extract, merge, quality, reason
+from .contain import found_in
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 
@@ -113,8 +114,10 @@ def plan_queries(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFram
 
 
 def enrichment_pages(queries: DataFrame, pages: DataFrame, least: float, each: int = 3) -> DataFrame:
-    """Pages (page_id, url, content, fidelity) whose text has a planned query's concept: each page once, at most each of a query, of enough fidelity. Catalyst sends queries to every task where they are small."""
-    hit = pages.join(queries, F.contains(F.lower("content"), F.lower("id")))
+    """Pages (page_id, url, content, fidelity) whose text has a planned query's concept: each page once, at most each of a query, of enough fidelity. Concepts and texts meet in a containment join."""
+    q = queries.select("id", "query", F.lower("id").alias("pattern"))
+    rows = pages.select(F.struct("page_id", "url", "content", "fidelity").alias("key"), F.lower("content").alias("text"))
+    hit = found_in(rows, q).join(q, "pattern").select("id", "query", "key.*")
     first = hit.groupBy("page_id").agg(F.min(F.struct("id", "query", "url", "content", "fidelity")).alias("h")).select("page_id", "h.*")
     best = first.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("fidelity"), "page_id"))).where(F.col("_r") <= each).drop("_r")
     return extract.by_fidelity(best, least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..scratch import stored
+from .contain import in_texts
 from .quality import degrees, node_components
 from .reason import KEYS, infer
 from .vector import bridge_components, link_orphans
@@ -62,11 +63,13 @@ def gaps(nodes: DataFrame, most: int = 15) -> DataFrame:
 
 
 def fill_gaps(gap_rows: DataFrame, pages: DataFrame, least: int = 50) -> DataFrame:
-    """(id, page_id, content): for each gap the first page of its query, else the first page whose query contains its name; pages (page_id, query, content) of least characters. Catalyst sends gaps to every task where they are small."""
+    """(id, page_id, content): for each gap the first page of its query, else the first page whose query contains its name; pages (page_id, query, content) of least characters. Names and queries meet in a containment join."""
     p = pages.where(F.length("content") >= least)
     g = gap_rows.select("id")
     exact = p.join(g, F.col("query") == F.col("id")).withColumn("how", F.lit(0))
-    part = p.join(g, F.contains(F.lower("query"), F.lower("id"))).withColumn("how", F.lit(1))
+    names = g.select("id", F.lower("id").alias("pattern"))
+    asked = in_texts(p.select(F.lower("query").alias("low")), names, "low").withColumnRenamed("text", "low").join(names, "pattern").select("low", "id")
+    part = p.withColumn("low", F.lower("query")).join(asked, "low").select(*exact.columns[:-1]).withColumn("how", F.lit(1))
     best = exact.unionByName(part).groupBy("id").agg(F.min(F.struct("how", "page_id", "content")).alias("b"))
     return gap_rows.select("id").join(best, "id", "left").select("id", "b.page_id", "b.content")
 

@@ -3,6 +3,7 @@
 import re
 
 from graphloom.operators import quality
+from graphloom.plans import fixture
 
 
 def test_asymmetric_relations_are_found_where_the_edges_are(spark):
@@ -18,3 +19,16 @@ def test_asymmetric_relations_are_found_where_the_edges_are(spark):
         assert "hashpartitioning" in plan and not re.findall(r"hashpartitioning\(relation#\d+, \d+\)", plan)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_supplies_are_grouped_by_tasks_of_bounded_size(spark, monkeypatch):
+    """More lines make more tasks; before, a task's share grew with the lines."""
+    d = "/root/testdata/sf0.001"
+    few = fixture.Graph(spark, d).supplies
+    monkeypatch.setattr(fixture, "LINES", 500)
+    many = fixture.Graph(spark, d).supplies
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    got = sorted(tuple(r) for r in many.collect())
+    assert got == sorted(tuple(r) for r in few.collect()) and len(got) > 1000
+    sizes = re.findall(r"hashpartitioning\(l_suppkey#\d+L?, l_partkey#\d+L?, (\d+)\)", many._jdf.queryExecution().toString())
+    assert sizes and {int(x) for x in sizes} == {-(-lines // 500)}

@@ -77,7 +77,9 @@ def s3(spark, d):
     t = node_link.read_kb(spark, path)
     row = lambda df, kind, a, b, c: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), c.alias("c"))
     e, none = t["edges"], F.lit(None).cast("string")
-    out = row(t["nodes"], "node", "id", F.col("kind"), F.col("description")).unionByName(row(e, "link", "src", F.col("relation"), F.col("dst"))).unionByName(row(e, "origin", "src", F.col("attributes")["origin"], F.col("dst")))
+    both = lambda kind, b: F.struct(F.lit(kind).alias("kind"), F.col("src").alias("a"), b.alias("b"), F.col("dst").alias("c"))
+    # both rows of an edge come from one reading of its JSON
+    out = row(t["nodes"], "node", "id", F.col("kind"), F.col("description")).unionByName(e.select(F.inline(F.array(both("link", F.col("relation")), both("origin", F.col("attributes")["origin"])))))
     return out.unionByName(row(t["data_props"], "data_property", "entity", F.col("attribute"), F.col("value"))).unionByName(row(t["axioms"], "axiom", "axiom_type", F.array_join("entities", ","), none))
 
 

@@ -82,3 +82,21 @@ def test_files_without_sections(spark, tmp_path):
     (tmp_path / "c.json").write_text("")
     t = node_link.read_kb(spark, str(tmp_path))
     assert t["nodes"].count() == 0 and [(r.src, r.relation, r.dst, r.confidence) for r in t["edges"].collect()] == [("x", "related_to", "y", 1.0)]
+
+
+def test_links_by_name_with_numbers_deeper_down(spark, tmp_path):
+    d = {"nodes": [{"id": "a"}, {"id": "b"}], "links": [{"source": "a", "target": "b", "relation": "r", "of": {"source": 1, "target": 0}}, {"source": "a", "relation": "s", "target": "b", "of": {"source": 1}}, {"source": 1, "target": 0, "relation": "p"}]}
+    (tmp_path / "g.json").write_text(json.dumps(d))
+    assert sorted((r.src, r.relation, r.dst) for r in node_link.read_kb(spark, str(tmp_path / "g.json"))["edges"].collect()) == [("a", "r", "b"), ("a", "s", "b"), ("b", "p", "a")]
+
+
+def test_fragments_of_a_batch_are_one_text():
+    text = ('{"a": [1, "x"], "nodes": [' + ",".join(json.dumps({"id": t, "deep": [{"x": {"y": t}}]}) for t in TRICKY) + '], "e": {"k\\\\\\"}": [1]}}').encode()
+    for cut in (i for i in range(len(text) + 1) if text[:i][-1:] != b"\\"):  # fragments end with a brace
+        s, open_, got = node_link.Scanner(), b"", []
+        for part in (text[:cut], text[cut:]):
+            for piece, name, begins, ends in s.read(part):
+                open_ = piece if begins else open_ + piece
+                got += [(s.section, name, json.loads(open_))] if ends else []
+        assert [x[2] for x in got] == [*({"id": t, "deep": [{"x": {"y": t}}]} for t in TRICKY), [1]] and (s.in_string, s.depth) == (False, 0), cut
+    assert len(list(node_link.Scanner().read(text))) == len(TRICKY) + 1

@@ -46,6 +46,23 @@ def test_an_index_is_made_anew_only_where_records_changed(spark, tmp_path):
     assert empty[1] == 0 and empty[0].count() == 0
 
 
+def test_equal_texts_are_encoded_once(spark, tmp_path):
+    """By their number in the kept texts, with the vectors of an index made anew; records are written without vectors."""
+    n = spark.createDataFrame([(i, f"N{i}", "Class", "class", "x") for i in range(20)], N)
+    e = spark.createDataFrame([("N0", "r", f"N{i}") for i in range(20)] + [(f"N{i}", "r", "N0") for i in range(20)], E)
+    p, path = spark.createDataFrame([], P), str(tmp_path / "i")
+    idx, k = answer.refresh_index(n, e, p, path)
+    assert k == 59
+    kept = versions.read_version(spark, path)
+    texts = {t for r in idx.select("key", "value").collect() for t in r}
+    assert sorted(r.text for r in kept["texts"].collect()) == sorted(texts) and "key_vector" not in kept["index"].columns
+    more = e.unionByName(spark.createDataFrame([("N1", "r", "N2")], E))
+    idx, k = answer.refresh_index(n, more, p, path)
+    whole = lambda x: sorted((r.full, r.source_ref, list(r.key_vector), list(r.value_vector)) for r in x.collect())
+    assert k == 1 and whole(idx) == whole(answer.index(n, more, p))
+    assert answer.graph_digest(idx.drop("record_id")) == answer.graph_digest(idx.unionByName(idx))
+
+
 def test_two_writers_of_a_knowledge_base(spark, tmp_path, monkeypatch):
     c = kb.Catalog(spark, str(tmp_path))
     t = {"nodes": spark.createDataFrame([], N), "edges": spark.createDataFrame([], E), "axioms": spark.createDataFrame([], "axiom_type string, entities array<string>"), "data_props": spark.createDataFrame([], P)}

@@ -85,6 +85,29 @@ def test_set_cover_gains_fall(spark):
     assert [(r.node, r.gain) for r in rows] == [("a", 3), ("b", 1), ("d", 1)]
 
 
+def test_set_cover_of_many_questions_by_a_plain_loop(spark):
+    """Ties, empty sets, records that come twice, nodes whose sets are cut over rows; no task holds a question."""
+    import random
+
+    random.seed(5)
+    rows = [(f"q{i % 3}", f"n{random.randrange(12)}", random.choices(range(40), k=random.randrange(7))) for i in range(90)]
+    want = set()
+    for q in ("q0", "q1", "q2"):
+        left = {}
+        for k, n, r in rows:
+            if k == q:
+                left.setdefault(n, set()).update(r)
+        for i in range(4):
+            n = min(left, key=lambda n: (-len(left[n]), n))
+            if left[n]:
+                want.add((q, i + 1, n, len(left[n])))
+            left = {m: r - left[n] for m, r in left.items()}
+    got = retrieve.set_cover(spark.createDataFrame(rows, "question string, node string, record_ids array<long>"), 4)
+    assert {tuple(r) for r in got.collect()} == want
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    assert retrieve.set_cover(spark.createDataFrame([("q", "a", [])], "question string, node string, record_ids array<long>")).collect() == []
+
+
 def test_top_k_and_clusters_match_numpy(spark):
     import numpy as np
 

@@ -74,15 +74,18 @@ def relation_properties(edges: DataFrame, open_chains: int = 3, back_share: floa
     open_chains chains a, b, c (a not c) without a to c; symmetric if more than back_share of the edges have a reverse.
 
     Open chains are counted, not listed: all chains, by products of in- and out-degrees, less those that turn back, less closed ones.
-    Closed ones are triangles, found from each one's node of the lowest degree, so a hub's edges never meet each other."""
-    e = stored(edges.select(*KEYS).distinct(), "relations")
-    back = e.select("relation", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back"))
-    n = e.join(back, KEYS, "left").groupBy("relation").agg(F.count("*").alias("n"), F.count("back").alias("backs"), F.count_if(F.expr("back is not null and src != dst")).alias("turns")).where("n >= 2")
-    e = e.where("src != dst")  # a loop only makes closed chains
-    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).cast("long").alias("o"), F.lit(0).cast("long").alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).cast("long").alias("o"), F.lit(1).cast("long").alias("i"))))
-    chains = e.select("relation", ends.alias("x")).groupBy("relation", "x.id").agg(F.sum("x.o").alias("o"), F.sum("x.i").alias("i")).groupBy("relation").agg(F.sum(F.col("o") * F.col("i")).alias("chains"))
-    pair = e.groupBy("relation", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("up"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("down"))
-    pair = stored(pair, "pairs")
+    Closed ones are triangles, found from each one's node of the lowest degree, so a hub's edges never meet each other; relations without chains have none to
+    look for. Edges travel once, to be grouped by their two ends, which tells copies, reverses and loops, and their ends once, to be counted."""
+    down = F.coalesce(F.col("src") > F.col("dst"), F.lit(False))
+    ends = edges.select("relation", F.when(down, F.col("dst")).otherwise(F.col("src")).alias("x"), F.when(down, F.col("src")).otherwise(F.col("dst")).alias("y"), (~down).cast("int").alias("up"), down.cast("int").alias("down"))
+    pair = stored(ends.groupBy("relation", "x", "y").agg(F.max("up").alias("up"), F.max("down").alias("down")), "pairs")
+    both, loop = F.col("up") + F.col("down") == 2, F.col("x") == F.col("y")
+    n = pair.groupBy("relation").agg(F.sum(F.col("up") + F.col("down")).alias("n"), (2 * F.count_if(both) + F.count_if(loop)).alias("backs"), (2 * F.count_if(both)).alias("turns")).where("n >= 2")
+    pair = pair.where("x != y")  # a loop only makes closed chains
+    sides = F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("up").cast("long").alias("o"), F.col("down").cast("long").alias("i")), F.struct(F.col("y").alias("id"), F.col("down").cast("long").alias("o"), F.col("up").cast("long").alias("i"))))
+    chains = pair.select("relation", sides.alias("s")).groupBy("relation", "s.id").agg(F.sum("s.o").alias("o"), F.sum("s.i").alias("i")).groupBy("relation").agg(F.sum(F.col("o") * F.col("i")).alias("chains"))
+    chains = stored(chains, "chains")
+    pair = pair.join(F.broadcast(chains.where("chains > 0").select("relation")), "relation", "left_semi")
     deg = pair.select("relation", F.explode(F.array("x", "y")).alias("id")).groupBy("relation", "id").agg(F.count("*").alias("k"))
     full = pair.join(deg.select("relation", F.col("id").alias("x"), F.col("k").alias("kx")), ["relation", "x"]).join(deg.select("relation", F.col("id").alias("y"), F.col("k").alias("ky")), ["relation", "y"])
     low = F.expr("struct(kx, x) < struct(ky, y)")

@@ -111,3 +111,16 @@ def test_set_metrics_of_empty_sets(spark):
     r = m(s("A", "B", "C"), s("A", "B"))
     assert r.recall == 1 and r.precision < 1
     assert m(s(), s("x")).f1 == 0 and m(s(), s()).f1 == 1
+
+
+def test_relations_without_chains_are_not_searched_for_triangles(spark, monkeypatch):
+    """Copies, loops, reverses and missing ends are told from one grouping by the ends of edges; only relations with chains go on to triangles."""
+    rows = [("a", "r", "b"), ("b", "r", "a"), ("b", "r", "c"), ("a", "r", "c"), ("c", "r", "c"), ("c", "r", "d"), ("a", "r", "b"), (None, "r", "d"), ("d", "r", None)] + [(f"s{i % 7}", "flat", f"p{i}") for i in range(30)]
+    kept, real = [], reason.stored
+    monkeypatch.setattr(reason, "stored", lambda df, name="t": kept.append((name, real(df, name))) or kept[-1][1])
+    got = {r.relation: (r.n, r.backs, r.open_chains) for r in reason.relation_properties(spark.createDataFrame(rows, E)).collect()}
+    e = set(rows)
+    full = {x for x in e if None not in x}
+    chains = sum(1 for a, r, b in full for c, s, d in full if r == s == "r" and b == c and a != d and a != b and c != d and (a, "r", d) not in full)
+    assert got == {"r": (8, sum((b, r, a) in full for a, r, b in full if r == "r"), chains), "flat": (30, 0, 0)}
+    assert [n for n, _ in kept] == ["pairs", "chains"] and {r.relation: r.chains for r in kept[1][1].collect()}["flat"] == 0

@@ -45,6 +45,10 @@ def docx_text(data: bytes) -> str:
 PARSERS = {"pdf": pdf_text, "docx": docx_text, "txt": lambda b: b.decode("utf-8", "replace"), "md": lambda b: b.decode("utf-8", "replace")}
 
 
+#: Bytes of files that a task parses before it sends their texts on.
+SLICE = 1 << 22
+
+
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, error) of .pdf, .docx, .txt and .md files of a folder."""
     return parse_documents(spark.read.format("binaryFile").load(path).select("path", "content"))
@@ -54,21 +58,28 @@ def parse_documents(files: DataFrame) -> DataFrame:
     """(path, text, error) of files (path, content), by suffix; another suffix or a file that can't be parsed has an error instead of a text."""
 
     def run(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            out = []
-            for p, data in zip(b["path"], b["content"], strict=True):
-                kind = p.rsplit(".", 1)[-1].lower()
-                try:
-                    if kind not in PARSERS:
-                        raise ValueError(f"unsupported file type: .{kind}")
-                    out.append((p, PARSERS[kind](bytes(data)), None))
-                except Exception as e:
-                    out.append((p, None, str(e)))
-            yield pd.DataFrame(out, columns=["path", "text", "error"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+            # a batch is parsed and sent back in slices of about SLICE bytes, so that it isn't held again as objects, texts and a result
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                out = []
+                for p, data in zip(b.column(0)[i:j].to_pylist(), b.column(1)[i:j].to_pylist(), strict=True):
+                    kind = p.rsplit(".", 1)[-1].lower()
+                    try:
+                        if kind not in PARSERS:
+                            raise ValueError(f"unsupported file type: .{kind}")
+                        out.append((p, PARSERS[kind](bytes(data)), None))
+                    except Exception as e:
+                        out.append((p, None, str(e)))
+                columns = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string, error string")
 
 
 def page_rows(pages: DataFrame, most: int | None = None) -> DataFrame:

@@ -172,3 +172,22 @@ def test_job_group(spark):
         assert spark.range(5).count() == 5
         j.cancel()
     time.sleep(0)
+
+
+def test_documents_are_parsed_in_slices(spark, monkeypatch):
+    from graphloom.sources import documents
+
+    monkeypatch.setattr(documents, "SLICE", 8)
+    rows = [(f"{i}.{k}", x) for i, (k, x) in enumerate([("txt", b"abc"), ("md", b"x" * 40), ("TXT", b""), ("bin", b"zz"), ("pdf", b""), ("txt", None), ("txt", "é".encode()), ("md", b"last")])]
+    got = {r.path: (r.text, r.error) for r in documents.parse_documents(spark.createDataFrame(rows, "path string, content binary").coalesce(1)).collect()}
+    assert got == {"0.txt": ("abc", None), "1.md": ("x" * 40, None), "2.TXT": ("", None), "3.bin": (None, "unsupported file type: .bin"), "4.pdf": (None, "empty file"), "5.txt": (None, "cannot convert 'NoneType' object to bytes"), "6.txt": ("é", None), "7.md": ("last", None)}
+    assert documents.parse_documents(spark.createDataFrame([], "path string, content binary")).collect() == []
+
+
+def test_a_view_has_one_row_for_each_id_and_kind(spark):
+    from graphloom.operators.viewer import view
+
+    n = spark.createDataFrame([("a", "class"), ("a", "instance"), ("b", "class"), ("lone", "instance")], "id string, kind string")
+    e = spark.createDataFrame([("b", "subClassOf", "a")], "src string, relation string, dst string")
+    got = sorted((r.id, r.kind, r.root, r.level, r.cluster, r.isolated) for r in view(n, e)["nodes"].collect())
+    assert got == [("a", "class", True, 0, "a", False), ("a", "instance", True, 0, "a", False), ("b", "class", False, 1, "a", False), ("lone", "instance", False, None, "lone", True)]

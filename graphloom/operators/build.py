@@ -83,7 +83,8 @@ def build(docs: DataFrame, axioms: DataFrame, settings: Settings | None = None,
     occ = rel.select("src", text.relation_name("relation").alias("relation"), "dst", "confidence", F.col("chunk").alias("chunk_id"))
     occ = occ.unionByName(cls.where("parent is not null").select(F.col("name").alias("src"), F.lit("subClassOf").alias("relation"), F.col("parent").alias("dst"), F.lit(1.0).alias("confidence"), F.col("chunk").alias("chunk_id")))
     occ = occ.unionByName(ins.select(F.col("name").alias("src"), F.lit("type").alias("relation"), F.col("class_name").alias("dst"), F.lit(1.0).alias("confidence"), F.col("chunk").alias("chunk_id")))
-    edges = stored(merge.aggregate_triples(extract.valid_relations(occ)), "edges")
+    # occurrences are kept, not triples with all their chunks: one triple can be said by most chunks, and only who asks for chunk_ids gathers them
+    edges = merge.aggregate_triples(stored(extract.valid_relations(occ), "occurrences"))
     nodes = tax.select(F.col("name").alias("id"), F.lit("Class").alias("type"), F.lit("class").alias("kind"), "description")
     nodes = nodes.unionByName(ins.groupBy(F.col("name").alias("id")).agg(F.min("class_name").alias("type")).select("id", "type", F.lit("instance").alias("kind"), F.lit(None).cast("string").alias("description")))
     nodes = nodes.groupBy("id").agg(F.min_by(F.struct("type", "kind", "description"), "kind").alias("n")).select("id", "n.*").withColumn("seq", F.xxhash64("id"))

@@ -31,7 +31,7 @@ def dedup_classes(rows: DataFrame) -> DataFrame:
         best.alias("name"),
         F.max_by("parent", F.when(F.col("parent").isNotNull(), F.col("seq"))).alias("parent"),
         F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), "seq")).alias("description"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("synonyms")))).alias("synonyms"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("synonyms")))).alias("synonyms"),  # a class that many chunks name has few different lists
     )
 
 

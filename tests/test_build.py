@@ -56,3 +56,15 @@ def test_repair_command(spark, tmp_path):
     assert main(["repair", str(tmp_path), "k", "--dry-run"]) == 0 and kb.load("k")["edges"].count() == 1
     assert main(["repair", str(tmp_path), "k"]) == 0
     assert ("Lost", "subClassOf", "DomainRoot") in {(r.src, r.relation, r.dst) for r in kb.load("k")["edges"].collect()}
+
+
+def test_chunks_of_a_triple_are_gathered_on_demand(spark, monkeypatch):
+    """No table that a build writes has a row with all the chunks that say a triple; who asks for them gets them."""
+    written, real = {}, build.stored
+    monkeypatch.setattr(build, "stored", lambda df, name="t": written.setdefault(name, df.columns) and real(df, name))
+    docs = spark.createDataFrame([(i, "A dog is an animal.") for i in range(30)], "doc_id long, text string")
+    g = build.build(docs, spark.createDataFrame([], A))
+    assert "edges" not in written and not any("chunk_ids" in c for c in written.values())
+    r = g["edges"].first()
+    assert (r.src, r.relation, r.dst, r.vote_count) == ("dog", "subClassOf", "animal", 30) and sorted(r.chunk_ids) == sorted(f"{i}:0" for i in range(30))
+    assert "collect_set" not in g["edges"].select("src", "relation", "dst")._jdf.queryExecution().optimizedPlan().toString()

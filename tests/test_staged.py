@@ -96,3 +96,12 @@ def test_building_from_stages(spark):
     assert [tuple(r) for r in g["data_props"].collect()] == [("Rex", "size", "3", "integer")]
     assert [(r.axiom_type, r.entities) for r in g["axioms"].collect()] == [("disjointness", ["dog", "animal"])]
     assert ("Rex", "type", "animal") in {(r.src, r.relation, r.dst) for r in g["inferred"].collect()}
+
+
+def test_stages_keep_types_and_texts_without_pandas(spark):
+    """A stage gives its chunks' texts on, so that what it found needs no join to be compared with them."""
+    df = spark.createDataFrame([("d", 7, "A dog is an animal.")], "doc_id string, chunk_id int, text string").selectExpr("*", "'[]' known_classes", "'[]' known_instances")
+    got = extract._stage(df, "classes", extract.staged_rules, 1)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    r = got.first()
+    assert (r.doc_id, r.chunk_id, r.text, r.error) == ("d", 7, "A dog is an animal.", None) and [(c.name, c.parent, c.salience) for c in r.classes] == [("animal", None, None), ("dog", "animal", None)]

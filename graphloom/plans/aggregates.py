@@ -66,10 +66,12 @@ def a14(spark, d):
 
 @query("a16_evaluation", "SELECT user_id AS kb_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS failures, round(1e6 * count(*) FILTER (event_type <> 'purchase') / count(*))::BIGINT AS coverage, round(1e3 * avg(value))::BIGINT AS mean, round(1e6 * sum(event_id % 3) / sum(greatest(event_id % 5, 1)))::BIGINT AS fact_recall FROM events GROUP BY 1")
 def a16(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("kb_id"), "event_id", F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("facts"), "value", (F.col("event_id") % 3).alias("found"), (F.col("event_id") % 5).alias("total"))
-    out = evaluate.means(e, "kb_id", ["value"], ["event_id"]).join(evaluate.fact_recall(e, "kb_id"), "kb_id")
-    whole = lambda c, k: F.round(F.col(c) * k).cast("long")
-    return out.select("kb_id", "n", "failures", whole("coverage", 1e6).alias("coverage"), whole("value", 1e3).alias("mean"), whole("fact_recall", 1e6).alias("fact_recall"))
+    facts = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") != "purchase", 1)
+    e = table(spark, d, "events").select(F.col("user_id").alias("kb_id"), "event_id", facts.alias("facts"), "value", (F.col("event_id") % 3).alias("found"), (F.col("event_id") % 5).alias("total"))
+    recall = evaluate.fact_recall(e, "kb_id", 1e6).withColumnRenamed("kb_id", "_k")
+    out = evaluate.means(e, "kb_id", ["value"], ["event_id"], 1e6).join(recall, F.col("kb_id").eqNullSafe(F.col("_k")))
+    whole = lambda c: F.round(c).cast("long")
+    return out.select("kb_id", "n", "failures", whole(F.col("coverage")).alias("coverage"), whole(F.col("value") * 1e3).alias("mean"), whole(F.col("fact_recall")).alias("fact_recall"))
 
 
 @query("a19_report_merge", "SELECT user_id, count(*) AS chunks, bool_or(event_type = 'purchase') AS merge_skipped, arg_max(event_type, event_id) AS last_reason FROM events GROUP BY 1")

@@ -108,11 +108,11 @@ def r4(spark, d):
 
 @query("r5_set_cover")
 def r5(spark, d):
-    """Greedy, so tests hold this against a plain loop: each brand asks for its parts, which suppliers cover."""
+    """Greedy, so tests hold this against a plain loop: each brand asks for its parts, which suppliers cover, until all are covered."""
     g = Graph(spark, d)
     brand = g.types.where("relation = 'hasBrand'").select(F.col("src").alias("part"), F.col("dst").alias("question"))
     sets = g.supplies.select(F.col("src").alias("node"), F.col("dst").alias("part")).join(brand, "part").groupBy("question", "node").agg(F.collect_set(F.xxhash64("part")).alias("record_ids"))
-    return retrieve.set_cover(sets, 5)
+    return retrieve.set_cover(sets)
 
 
 @query("f30_questions", sql("SELECT kind, question FROM (SELECT 'what' AS kind, 'What is ' || id || '?' AS question FROM nodes WHERE kind = 'class' UNION SELECT 'related', 'How is ' || src || ' related to ' || dst || '?' FROM places UNION SELECT 'factors', 'What factors influence ' || id || '?' FROM (SELECT src AS id FROM places UNION ALL SELECT dst FROM places) GROUP BY id HAVING count(*) >= 3 UNION SELECT 'affect', 'What does ' || src || ' affect?' FROM places GROUP BY src HAVING count(*) >= 2 UNION SELECT 'two_hop', 'How does ' || a.src || ' relate to ' || b.dst || '?' FROM places a JOIN places b ON a.dst = b.src AND a.src <> b.dst)"))

@@ -1,6 +1,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import merge, repair, retrieve, vector
 from graphloom.sources import documents, export, kb
@@ -191,3 +192,27 @@ def test_a_view_has_one_row_for_each_id_and_kind(spark):
     e = spark.createDataFrame([("b", "subClassOf", "a")], "src string, relation string, dst string")
     got = sorted((r.id, r.kind, r.root, r.level, r.cluster, r.isolated) for r in view(n, e)["nodes"].collect())
     assert got == [("a", "class", True, 0, "a", False), ("a", "instance", True, 0, "a", False), ("b", "class", False, 1, "a", False), ("lone", "instance", False, None, "lone", True)]
+
+
+def test_set_cover_goes_on_until_all_is_covered(spark):
+    """By a plain loop: more than five picks of a question, by rounds over all executors, by one task for a question, and both; nulls cover nothing."""
+    import random
+
+    random.seed(9)
+    rows = [(f"q{i % 3}", f"n{i // 3}", random.sample(range(200), k=random.randrange(9))) for i in range(300)] + [("few", f"n{i}", [i, i + 1]) for i in range(20)]
+    want = []
+    for q in ("q0", "q1", "q2", "few"):
+        left = {n: set(r) for k, n, r in rows if k == q}
+        pick = 0
+        while any(left.values()):
+            n = min(left, key=lambda n: (-len(left[n]), n))
+            pick += 1
+            want.append((q, pick, n, len(left[n])))
+            left = {m: r - left[n] for m, r in left.items()}
+    assert max(p for _, p, _, _ in want) > 20
+    sets = spark.createDataFrame(rows + [("q0", None, [1]), (None, "n0", [1]), ("q1", "z", [None]), ("q1", "y", None)], "question string, node string, record_ids array<long>").repartition(3)
+    for at_once in (10_000_000, 200):
+        assert sorted(map(tuple, retrieve.set_cover(sets, at_once=at_once).collect())) == sorted(want)
+    assert sorted(map(tuple, retrieve.set_cover(sets, 3, 100).collect())) == sorted(w for w in want if w[1] <= 3)
+    words = sets.select("question", "node", F.transform("record_ids", lambda x: x.cast("string")).alias("record_ids"))
+    assert sorted(map(tuple, retrieve.set_cover(words).collect())) == sorted(want)
